@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, let, quoted, splice, strings, when
+from maskloom.functions.text import each, let, quoted, splice, when
 
 ENTRY_TYPE = "array<struct<entity_type:string,idx:int,placeholder_key:string,value:string>>"
 PLACEHOLDER = r"\{\{([A-Z_]+)_([0-9]+)\}\}"
@@ -33,7 +32,7 @@ def entries(spans: str, order: str = "right_to_left") -> str:
                 f"'placeholder_key', concat({t}, '_', i), 'value', substring(k, length({t}) + 2)))"
             )
 
-        types = strings(book.ENTITY_ORDER + book.EXTENDED_ENTITIES)
+        types = f"array_distinct({each('transform', spans, lambda s: f'{s}.entity_type')})"
         return f"flatten({each('transform', types, numbered)})"
 
     none = f"CAST(array() AS {ENTRY_TYPE})"

@@ -6,16 +6,13 @@ very many values never compares all its spans with each other.
 
 from __future__ import annotations
 
-from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, empty, per_island, slice_of, span, strings, when
-
+from collections.abc import Callable
 
-def _rebuilt(s: str, **changes: str) -> str:
-    f = {k: f"{s}.{k}" for k in ("start", "end", "entity_type", "score", "rule", "value")} | changes
-    return span(f["start"], f["end"], f["entity_type"], f["score"], f["rule"], f["value"])
+from maskloom.functions import rulebook as book
+from maskloom.functions.text import each, empty, let, per_island, slice_of, span, strings, when
 
 
-def without_contained(spans: str) -> str:
+def without_contained(run: str) -> str:
     """R1: of one type, drop a span inside a better one (score, start, length)."""
     def better(y: str, x: str) -> str:
         return (
@@ -24,14 +21,13 @@ def without_contained(spans: str) -> str:
             f"{y}.end > {x}.end OR {y}.rule < {x}.rule))))"
         )
 
-    return per_island(spans, lambda run: each(
-        "filter", run, lambda x: f"NOT {each('exists', run, lambda y: better(y, x))}"))
+    return each("filter", run, lambda x: f"NOT {each('exists', run, lambda y: better(y, x))}")
 
 
-def merged_same_type(text: str, spans: str) -> str:
+def merged_same_type(text: str, run: str) -> str:
     """R2: overlapping spans of one type become their union with the best score."""
     by_type = (
-        "array_sort({run}, (p, q) -> CASE WHEN p.entity_type < q.entity_type THEN -1 "
+        f"array_sort({run}, (p, q) -> CASE WHEN p.entity_type < q.entity_type THEN -1 "
         "WHEN p.entity_type > q.entity_type THEN 1 WHEN p.start < q.start THEN -1 "
         "WHEN p.start > q.start THEN 1 ELSE p.end - q.end END)"
     )
@@ -41,11 +37,10 @@ def merged_same_type(text: str, spans: str) -> str:
                  slice_of(text, f"{last}.start", f"greatest({last}.end, s.end)"))
     touching = f"size(acc) > 0 AND {last}.entity_type = s.entity_type AND s.start < {last}.end"
     step = when(touching, f"concat(slice(acc, 1, size(acc) - 1), array({union}))", "concat(acc, array(s))")
-    return per_island(spans, lambda run: (
-        f"aggregate({by_type.format(run=run)}, {empty()}, (acc, s) -> {step})"))
+    return f"aggregate({by_type}, {empty()}, (acc, s) -> {step})"
 
 
-def without_conflicts(spans: str) -> str:
+def without_conflicts(run: str) -> str:
     """R3, R4: equal span: the higher score stays, then the earlier entity type;
     a span inside a longer one of another type goes whatever its score."""
     order = strings(book.ENTITY_ORDER + book.EXTENDED_ENTITIES)
@@ -62,8 +57,21 @@ def without_conflicts(spans: str) -> str:
         )
         return f"(({same} AND {wins}) OR ({inside}))"
 
-    return per_island(spans, lambda run: each(
-        "filter", run, lambda x: f"NOT {each('exists', run, lambda y: beaten(x, y))}"))
+    return each("filter", run, lambda x: f"NOT {each('exists', run, lambda y: beaten(x, y))}")
+
+
+def clipped(text: str, run: str) -> str:
+    """R5: the left one of two overlapping spans ends where the next begins.
+
+    Its stored value is clipped too, so restoring gives the text back exactly.
+    """
+    def cut(items: str) -> str:
+        end = f"least(s.end, coalesce(get({items}, i + 1).start, s.end))"
+        value = when(f"{end} = s.end", "s.value", slice_of(text, "s.start", end))
+        done = span("s.start", end, "s.entity_type", "s.score", "s.rule", value)
+        return f"transform({items}, (s, i) -> {done})"
+
+    return let(f"array_sort({run})", cut)
 
 
 def merged_across_blanks(text: str, spans: str) -> str:
@@ -77,25 +85,26 @@ def merged_across_blanks(text: str, spans: str) -> str:
         f"AND rlike({gap}, '^ +$')"
     )
     step = when(near, f"concat(slice(acc, 1, size(acc) - 1), array({joined}))", "concat(acc, array(s))")
-    return f"aggregate(array_sort({spans}), {empty()}, (acc, s) -> {step})"
+    return let(spans, lambda items: when(
+        f"size({items}) > 1", f"aggregate(array_sort({items}), {empty()}, (acc, s) -> {step})", items))
 
 
-def clipped(text: str, spans: str) -> str:
-    """R5: the left one of two overlapping spans ends where the next begins.
+def resolved(text: str, spans: str, merge_blanks: bool = True,
+             rescore: Callable[[str], str] | None = None) -> str:
+    """All steps; the result is sorted by start and disjoint.
 
-    Its stored value is clipped too, so restoring gives the text back exactly.
+    Scores matter only where spans overlap, so ``rescore`` may be left to the
+    runs.  Clipping stays inside a run and never opens a gap, so it commutes with
+    the merge across blanks.
     """
-    def cut(items: str) -> str:
-        end = f"least(s.end, coalesce(get({items}, i + 1).start, s.end))"
-        whole = when(f"{end} = s.end", "s.value", slice_of(text, "s.start", end))
-        return f"transform({items}, (s, i) -> {_rebuilt('s', end=end, value=whole)})"
-
-    return f"get(transform(array(array_sort({spans})), items -> {cut('items')}), 0)"
-
-
-def resolved(text: str, spans: str, merge_blanks: bool = True) -> str:
-    """All steps in order; the result is sorted by start and disjoint."""
-    found = without_conflicts(merged_same_type(text, without_contained(spans)))
-    if merge_blanks:
-        found = merged_across_blanks(text, found)
-    return clipped(text, found)
+    def settle(run: str) -> str:
+        scored = rescore(run) if rescore else run
+        steps = [without_contained, lambda r: merged_same_type(text, r), without_conflicts,
+                 lambda r: clipped(text, r)]
+        out = scored
+        for step in steps:
+            out = let(out, step)
+        return out
+
+    found = per_island(spans, settle)
+    return merged_across_blanks(text, found) if merge_blanks else found

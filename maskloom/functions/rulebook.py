@@ -166,9 +166,17 @@ class Rule:
 
     @property
     def inline(self) -> str:
-        """The pattern with its flags, for ``java.util.regex``."""
-        flags = "iU" if self.ignore_case else "U"
-        return f"(?{flags}:{self.pattern})"
+        """The pattern with its flags, for ``java.util.regex``.
+
+        Folding case costs most where it is tried most: in the boundaries, at
+        every character.  There the letters that fold to ASCII (long s, Kelvin
+        sign) are named instead, and the flags are off.
+        """
+        if not self.ignore_case:
+            return f"(?U:{self.pattern})"
+        folded = "[A-Za-z0-9\\u017f\\u212a]"
+        body = self.pattern.replace(LEFT, f"(?-iU:(?<!{folded}))").replace(RIGHT, f"(?-iU:(?!{folded}))")
+        return f"(?iU:{body})"
 
 
 def _possessive_street_run(word: str, suffix: str) -> str:

@@ -33,26 +33,48 @@ from maskloom.functions.text import (
 
 # A number-shaped value is at most three characters (two letters and a blank, or
 # a plus) followed by nothing but these, and HKID's closing "A)".
-_RUN_CHARS = r"[\p{Nd}\s\x85\p{Z}()+./-]"
-_GAP_CHARS = r"[\s\x85\p{Z}()+./-]"
-_RUN = rf"\p{{Nd}}(?:{_GAP_CHARS}*+\p{{Nd}}){{3}}{_RUN_CHARS}*+"
+_RUN = r"(?U)\d(?:[\s()+./-]*+\d){3}[\d\s()+./-]*+"
 _BEFORE, _AFTER = 4, 2
 _HAN = "[一-鿿]"
-_BLANK = r"[\s\x85\p{Z}]"
+_BLANK = r"(?U:\s)"
 
 
-def _hits(rules: list[Rule], text: str) -> str:
+# Characters without which a rule cannot match; the Kelvin sign folds to K.
+_MUST_HOLD = {
+    "D02": "+", "D03": "+", "D07": ".", "D08": "(", "D09": "(", "D12": "HKhk\u212a", "D14": "-",
+    "D30a": "-/", "D30b": "-/",
+}
+_CARD_LENGTH = r"(?U)\d(?:[\s-]?\d){12}"
+
+
+def _hits(rules: list[Rule], text: str, needs: bool = False) -> str:
     """``array<struct<rule, entity, score, text>>``: the text as each rule marks it.
 
     Only rules that marked something stay.  The patterns are literals, so each is
-    compiled once per task.
+    compiled once per task.  With ``needs`` a rule runs only on a text that holds
+    the characters it cannot do without.
     """
-    marked_by = ", ".join(
-        f"named_struct('rule', {quoted(r.rule_id)}, 'entity', {quoted(r.entity_type)}, "
-        f"'score', {r.score}D, 'text', {mark(text, r.inline, r.value_group)})"
-        for r in rules
-    )
-    return each("filter", f"array({marked_by})", lambda h: marked(f"{h}.text"))
+    def marked_by(some: list[Rule]) -> str:
+        parts = []
+        for r in some:
+            done = mark(text, r.inline, r.value_group)
+            must = _MUST_HOLD.get(r.rule_id) if needs else None
+            if must:
+                holds = " OR ".join(f"contains({text}, '{c}')" for c in must)
+                done = when(holds, done, text)
+            parts.append(
+                f"named_struct('rule', {quoted(r.rule_id)}, 'entity', {quoted(r.entity_type)}, "
+                f"'score', {r.score}D, 'text', {done})")
+        return f"array({', '.join(parts)})"
+
+    cards = [r for r in rules if needs and r.entity_type == "CREDIT_CARD"]
+    others = [r for r in rules if r not in cards]
+    groups = [marked_by(others)] if others else []
+    if cards:
+        none = "CAST(array() AS array<struct<rule:string,entity:string,score:double,text:string>>)"
+        groups.append(when(f"rlike({text}, {quoted(_CARD_LENGTH)})", marked_by(cards), none))
+    every = groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
+    return each("filter", every, lambda h: marked(f"{h}.text"))
 
 
 def _spans_of(hit: str, text: str, base: str) -> str:
@@ -91,7 +113,7 @@ def _digit_family(rules: list[Rule], text: str) -> str:
         return f"flatten(zip_with({windows}, split({hit}.text, {quoted(CUT)}), (w, piece) -> {inside}))"
 
     def run_rules(windows: str, digest: str) -> str:
-        spans = each("transform", _hits(rules, digest), lambda h: place(windows, h))
+        spans = each("transform", _hits(rules, digest, needs=True), lambda h: place(windows, h))
         return when(f"rlike({digest}, {any_rule})", _checked(f"flatten({spans})"), empty())
 
     return let(_digit_windows(text), lambda windows: when(
@@ -178,9 +200,11 @@ def raw_spans(text: str, rules: list[Rule]) -> str:
         return f"concat({', '.join(parts)})"
 
     # Values are read back from the text itself where markers were swapped.
-    def exact(s: str) -> str:
-        value = when(has_marks(text), slice_of(text, f"{s}.start", f"{s}.end"), f"{s}.value")
-        return span(f"{s}.start", f"{s}.end", f"{s}.entity_type", f"{s}.score", f"{s}.rule", value)
+    def exact(found: str) -> str:
+        own = each("transform", found, lambda s: span(
+            f"{s}.start", f"{s}.end", f"{s}.entity_type", f"{s}.score", f"{s}.rule",
+            slice_of(text, f"{s}.start", f"{s}.end")))
+        return when(f"size({found}) > 0 AND {has_marks(text)}", own, found)
 
-    found = each("transform", let(without_marks(text), run), exact)
+    found = let(let(without_marks(text), run), exact)
     return when(f"{text} IS NULL OR trim({text}) = ''", empty(), found)

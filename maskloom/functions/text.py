@@ -85,24 +85,27 @@ def mark(text: str, pattern: str, value_group: int = 0) -> str:
 
 
 def piece_starts(pieces: str) -> str:
-    """Offset of every piece: running length, summed block by block.
+    """Offset of every piece: running length.
 
-    Blocks keep the array appends short, so a text with very many matches does
-    not pay a quadratic copy.
+    Past one block, lengths are summed block by block, so that a text with very
+    many matches does not pay a quadratic copy of the growing array.
     """
+    def run(block: str, base: str) -> str:
+        return (
+            f"aggregate({block}, named_struct('out', CAST(array() AS array<int>), 'pos', {base}), "
+            "(a, p) -> named_struct('out', concat(a.out, array(a.pos)), 'pos', a.pos + length(p)), "
+            "a -> a.out)"
+        )
+
     blocks = each("transform", f"sequence(1, size({pieces}), {_BLOCK})",
                   lambda i: f"slice({pieces}, {i}, {_BLOCK})")
     bases = (
         "aggregate({b}, array(0), (acc, block) -> concat(acc, array(element_at(acc, -1) + "
         "aggregate(block, 0, (n, p) -> n + length(p)))))"
     )
-    run = (
-        "aggregate(block, named_struct('out', CAST(array() AS array<int>), 'pos', base), "
-        "(a, p) -> named_struct('out', concat(a.out, array(a.pos)), 'pos', a.pos + length(p)), "
-        "a -> a.out)"
-    )
-    return let(blocks, lambda b: f"flatten(zip_with({b}, slice({bases.format(b=b)}, 1, size({b})), "
-                                 f"(block, base) -> {run}))")
+    many = let(blocks, lambda b: f"flatten(zip_with({b}, slice({bases.format(b=b)}, 1, size({b})), "
+                                 f"(block, base) -> {run('block', 'base')}))")
+    return when(f"size({pieces}) <= {_BLOCK}", run(pieces, "0"), many)
 
 
 def at_odd(pieces: str, body: Callable[[str], str]) -> str:
@@ -113,8 +116,10 @@ def at_odd(pieces: str, body: Callable[[str], str]) -> str:
 def marked_values(text: str) -> str:
     """``array<struct<start, value>>`` of the marked pieces of a marked text."""
     def read(pieces: str) -> str:
-        return let(piece_starts(pieces), lambda starts: at_odd(
+        one = f"array(named_struct('start', length({pieces}[0]), 'value', {pieces}[1]))"
+        many = let(piece_starts(pieces), lambda starts: at_odd(
             pieces, lambda i: f"named_struct('start', {starts}[{i}], 'value', {pieces}[{i}])"))
+        return when(f"size({pieces}) = 3", one, many)
 
     return let(f"split({text}, {quoted(MARK)})", read)
 

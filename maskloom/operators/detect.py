@@ -12,18 +12,29 @@ from maskloom.functions.scan import raw_spans
 from maskloom.functions.text import each, let, when
 
 
+CONTEXT_MODES = ("all", "overlaps", "none")
+
+
 def spans_sql(
     text: str,
     entities: list[str] | None = None,
     profile: str = "default",
     *,
-    context: bool = True,
+    context: str = "all",
     threshold: float = 0.0,
     resolve: bool = True,
     merge_blanks: bool = True,
     extra: str | None = None,
 ) -> str:
-    """The span expression for a text column.  ``extra`` adds spans found elsewhere."""
+    """The span expression for a text column.  ``extra`` adds spans found elsewhere.
+
+    ``context`` boosts the score of ``all`` spans, of those that overlap another
+    (``overlaps``: enough to decide between them), or of ``none``.
+    """
+    if context not in CONTEXT_MODES:
+        raise ValueError(f"context must be one of {CONTEXT_MODES}")
+    if threshold > 0 and context == "overlaps":
+        context = "all"
     rules = book.rules_for(entities, profile)
     types = sorted({r.entity_type for r in rules}, key=book.priority_of)
     found = raw_spans(text, rules)
@@ -31,12 +42,13 @@ def spans_sql(
         found = f"concat({found}, {extra})"
 
     def finish(spans: str) -> str:
-        out = spans
-        if context:
-            out = boosted(text, out, types)
+        out = boosted(text, spans, types) if context == "all" else spans
         if threshold > 0:
             out = each("filter", out, lambda s: f"{s}.score >= {threshold}D")
-        return resolved(text, out, merge_blanks) if resolve else f"array_sort({out})"
+        if not resolve:
+            return f"array_sort({out})"
+        rescore = (lambda run: boosted(text, run, types)) if context == "overlaps" else None
+        return resolved(text, out, merge_blanks, rescore)
 
     return let(found, lambda s: when(f"size({s}) > 0", finish(s), s))
 

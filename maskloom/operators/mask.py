@@ -31,6 +31,11 @@ class Masked:
     mapping: DataFrame
 
 
+def _lean(detection: dict) -> dict:
+    """Masking shows no scores, so they are worked out only where spans overlap."""
+    return {"context": "overlaps", **detection}
+
+
 def mask_texts(df: DataFrame, text_col: str = "text", order: str = "right_to_left",
                spans: str | None = None, **detection) -> DataFrame:
     """Stateless masking: every text stands alone.  No shuffle, nothing stored.
@@ -38,7 +43,7 @@ def mask_texts(df: DataFrame, text_col: str = "text", order: str = "right_to_lef
     Adds ``masked_text`` and ``mapping`` (NULL when nothing was found).  Also
     runs on a stream.  ``spans`` names a finished span column.
     """
-    found = df if spans else detect(df, text_col, "__spans", **detection)
+    found = df if spans else detect(df, text_col, "__spans", **_lean(detection))
     column = spans or "__spans"
     numbered = found.select("*", F.inline(F.array(F.struct(F.expr(entries(column, order)).alias("__found")))))
     out = numbered.select(
@@ -83,13 +88,14 @@ def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFra
     """Stateful masking: one numbering per session, until it expires.
 
     ``old`` is a stored mapping to continue.  Detected calls are written once to
-    the checkpoint folder because numbering and rewriting both need them; calls
-    without personal data take no part in any shuffle.
+    the checkpoint folder: numbering, rewriting and the untouched calls all read
+    them, and writing costs far less than detecting again.  Calls without personal
+    data take no part in any shuffle.
     """
     calls = with_session_ids(calls)
-    found = detect(calls, **detection)
-    ticks = session_ticks(calls, ttl, old)
-    hits = cut_lineage(with_epoch(found.filter(F.size("spans") > 0), ticks, ttl))
+    found = cut_lineage(detect(calls, **_lean(detection)))
+    ticks = session_ticks(found, ttl, old)
+    hits = with_epoch(found.filter(F.size("spans") > 0), ticks, ttl)
     numbered = number_values(first_met(occurrences_of(hits), order), old)
     columns = [*CALL_KEY, "ts", "masked_text"]
     masked = place_numbers(hits, numbered).select(*columns)

@@ -62,7 +62,7 @@ def detect_with_model(df: DataFrame, model_spans: DataFrame, key: str, text_col:
     per_text = kept.groupBy(key).agg(F.collect_list(entry).alias("__model"))
     joined = df.join(per_text, key, "left")
     model = "coalesce(__model, array())"
-    raw = spans_sql(f"`{text_col}`", resolve=False, context=False, **options)
+    raw = spans_sql(f"`{text_col}`", resolve=False, context="none", **options)
 
     def yielding(s: str) -> str:
         def same(m: str) -> str:

@@ -19,6 +19,7 @@ from maskloom.plans.fixtures import (
     select_sql,
     table,
     text_of,
+    texts,
 )
 
 QUERIES: dict = {}
@@ -39,8 +40,8 @@ _RULE_NAMES = {
 def _rule_query(rule_id: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         entity = RULE_BY_ID[rule_id].entity_type
-        texts = rule_texts(spark, sf_dir, rule_id)
-        found = detect(texts, entities=[entity], context=False, resolve=False)
+        built = rule_texts(spark, sf_dir, rule_id)
+        found = detect(built, entities=[entity], context="none", resolve=False)
         rows = span_rows(found.select("doc_id", "spans"), ["doc_id"])
         return rows.filter(F.col("rule") == rule_id).select("doc_id", "start", "end", "value")
 
@@ -57,8 +58,8 @@ for _id, _name in _RULE_NAMES.items():
 
 def _corpus_query(source: str, key: str, text: str, entity: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, source).select(F.col(key), F.col(text).alias("text"))
-        found = detect(docs, entities=[entity], context=False, resolve=False)
+        docs = texts(spark, sf_dir, source).select(F.col(key), F.col(text).alias("text"))
+        found = detect(docs, entities=[entity], context="none", resolve=False)
         rows = span_rows(found.select(key, "spans"), [key])
         return rows.groupBy(key, F.expr("regexp_replace(value, '[ -]+$', '')").alias("value")).agg(
             F.count("*").alias("n"))
@@ -119,7 +120,7 @@ for _source, _id_col, _text_col in (
 
 def documents_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All default rules over all documents, resolved, counted by type."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = detect(texts(spark, sf_dir, "documents").select("doc_id", "text"), context="overlaps")
     return span_rows(found, ["doc_id"]).groupBy("entity_type").agg(
         F.count("*").alias("spans"), F.countDistinct("doc_id").alias("texts"))
 
@@ -239,8 +240,8 @@ _BLANK_COLUMNS = {
 
 
 def v9_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = select_df(table(spark, sf_dir, "customer"), _BLANK_COLUMNS)
-    return detect(texts).select("doc_id", F.size("spans").alias("n_spans"))
+    built = select_df(table(spark, sf_dir, "customer"), _BLANK_COLUMNS)
+    return detect(built).select("doc_id", F.size("spans").alias("n_spans"))
 
 
 QUERIES["v9_blank_guard"] = v9_blank_guard

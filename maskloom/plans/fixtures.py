@@ -11,11 +11,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to be searched for personal data."""
+    return spread(table(spark, sf_dir, name))
+
+
 def select_sql(columns: Mapping[str, str], source: str, where: str | None = None) -> str:
     body = ", ".join(f"{e} AS {n}" for n, e in columns.items())
     return f"SELECT {body} FROM {source}" + (f" WHERE {where}" if where else "")
@@ -162,7 +169,7 @@ def _spark_sql(expr: str) -> str:
 
 
 def rule_texts(spark: SparkSession, sf_dir: str, rule_id: str) -> DataFrame:
-    keyed = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k")
+    keyed = texts(spark, sf_dir, "customer").selectExpr("c_custkey AS k")
     columns = {n: _spark_sql(e) for n, e in RULE_CASES[rule_id].columns().items()}
     built = select_df(keyed, columns)
     return built.selectExpr("doc_id", "prefix || value || suffix AS text", "wanted", "value", "length(prefix) AS at")
@@ -219,7 +226,7 @@ OCCURRENCES_CTE = (
 
 def call_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``calls`` with the columns they were built from."""
-    base = select_df(table(spark, sf_dir, "events"), CALL_COLUMNS)
+    base = select_df(texts(spark, sf_dir, "events"), CALL_COLUMNS)
     return base.selectExpr("*", f"{CALL_TEXT} AS text")
 
 

@@ -10,7 +10,7 @@ from maskloom.operators import reports
 from maskloom.operators.detect import detect, span_rows
 from maskloom.operators.mask import mask_sessions
 from maskloom.operators.sessions import session_ticks, with_epoch
-from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, digits, pick, select_df, select_sql, table
+from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, digits, pick, select_df, select_sql, texts
 from maskloom.plans.sessions import _calls
 from maskloom.sources.corpus import CALL_KEY
 
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return detect(_calls(spark, sf_dir), **options)
+    return detect(_calls(spark, sf_dir), **{"context": "overlaps", **options})
 
 
 def a1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +62,13 @@ _HITS = [(0, "PHONE_NUMBER", "phone"), (1, "EMAIL", "mail"), (2, "LICENSE_PLATE"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    built = select_df(table(spark, sf_dir, "customer"), _LABELLED)
+    built = select_df(texts(spark, sf_dir, "customer"), _LABELLED)
     wanted = None
     for shape, entity, column in _LABELS:
         part = built.filter(f"shape = {shape}").selectExpr("case_id", f"'{entity}' AS entity_type", f"{column} AS value")
         wanted = part if wanted is None else wanted.unionByName(part)
-    texts = built.selectExpr("case_id", f"{_LABELLED_TEXT} AS text")
-    found = span_rows(detect(texts), ["case_id"]).select("case_id", "entity_type", "value")
+    labelled = built.selectExpr("case_id", f"{_LABELLED_TEXT} AS text")
+    found = span_rows(detect(labelled, context="overlaps"), ["case_id"]).select("case_id", "entity_type", "value")
     return wanted, found
 
 
@@ -124,7 +124,7 @@ def a5_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a6_rule_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(threshold: float) -> DataFrame:
-        return span_rows(_found(spark, sf_dir, context=False, threshold=threshold), ["call_seq"])
+        return span_rows(_found(spark, sf_dir, context="none", threshold=threshold), ["call_seq"])
 
     return reports.rule_profile({"all": rows(0.0), "kept": rows(0.5)})
 

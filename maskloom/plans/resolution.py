@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import resolve
-from maskloom.functions.text import span
+from maskloom.functions.text import per_island, span
 from maskloom.operators.detect import score_milli, span_rows
 from maskloom.plans.fixtures import SPAN_TEXT, shaped_spans, table
 
@@ -93,18 +93,19 @@ def _r5(source: str) -> str:
     )
 
 
-QUERIES["r1_same_type_dedupe"] = _step(resolve.without_contained("spans"), rule=True)
+QUERIES["r1_same_type_dedupe"] = _step(per_island("spans", resolve.without_contained), rule=True)
 ORACLES["r1_same_type_dedupe"] = f"{_BASE} SELECT {_OUT}, r AS rule FROM ({_r1('base')})"
-QUERIES["r2_same_type_merge"] = _step(resolve.merged_same_type("text", "spans"), value=True)
+QUERIES["r2_same_type_merge"] = _step(per_island("spans", lambda r: resolve.merged_same_type("text", r)), value=True)
 ORACLES["r2_same_type_merge"] = (
     f"{_BASE} SELECT {_OUT}, substring(text, s + 1, e - s) AS value FROM ({_r2('base')}), {_TEXT_SQL}"
 )
-QUERIES["r3_r4_cross_type_conflict"] = _step(resolve.without_conflicts("spans"), rule=True)
+QUERIES["r3_r4_cross_type_conflict"] = _step(per_island("spans", resolve.without_conflicts), rule=True)
 ORACLES["r3_r4_cross_type_conflict"] = f"{_BASE} SELECT {_OUT}, r AS rule FROM ({_r3('base')})"
 
 _UPTO_R3 = f"{_BASE}, a AS ({_r1('base')}), b AS ({_r2('a')}), c AS ({_r3('b')})"
-_chain = resolve.without_conflicts(resolve.merged_same_type("text", resolve.without_contained("spans")))
-QUERIES["r5_partial_overlap_clip"] = _step(resolve.clipped("text", _chain), value=True)
+_r1_r2 = per_island(per_island("spans", resolve.without_contained), lambda r: resolve.merged_same_type("text", r))
+_chain = per_island(_r1_r2, resolve.without_conflicts)
+QUERIES["r5_partial_overlap_clip"] = _step(per_island(_chain, lambda r: resolve.clipped("text", r)), value=True)
 ORACLES["r5_partial_overlap_clip"] = (
     f"{_UPTO_R3}, d AS ({_r5('c')}) SELECT {_OUT}, substring(text, s + 1, e - s) AS value FROM d, {_TEXT_SQL}"
 )

@@ -28,6 +28,7 @@ from maskloom.plans.fixtures import (
     select_sql,
     table,
     text_of,
+    texts,
 )
 from maskloom.sources.corpus import CALL_KEY, as_calls
 
@@ -136,8 +137,7 @@ _MODE_SESSION = "CASE WHEN call_seq % 7 <> 2 THEN session_id END"
 def m7_m8_both_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both modes together; some calls come without a session."""
     calls = _calls(spark, sf_dir, _MODE).withColumn("session_id", F.expr(_MODE_SESSION))
-    texts = mask_calls(calls).texts
-    return texts.select(
+    return mask_calls(calls).texts.select(
         "system_id", "call_seq", F.col("session_id").isNull().alias("no_session"),
         F.coalesce(F.size("mapping"), F.lit(0)).alias("n_mapping"), "masked_text")
 
@@ -202,7 +202,7 @@ ORACLES["m7_m8_both_modes"] = (
 
 def real_conversations_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of real turns: masked, restored, and compared with the source."""
-    turns = as_calls(table(spark, sf_dir, "conversations"), system=F.lit("chat"),
+    turns = as_calls(texts(spark, sf_dir, "conversations"), system=F.lit("chat"),
                      session=F.col("conv_id").cast("string"), order="turn",
                      ts=F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(turn as int), 0)"))
     done = mask_sessions(turns)
@@ -221,14 +221,14 @@ ORACLES["rs8_conversations_round_trip"] = (
 
 
 def documents_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     masked = mask_texts(docs)
     return masked.select(
         "doc_id", "masked_text", F.coalesce(F.size("mapping"), F.lit(0)).alias("n_values"))
 
 
 def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     back = restore_own(mask_texts(docs))
     return back.select("doc_id", F.sha2("restored_text", 256).alias("text_hash"))
 

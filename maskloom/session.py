@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back from there.
 
-    Used where a costly result feeds two branches of a plan.
+    Used where a costly result feeds several branches of a plan.  A table rather
+    than a checkpoint, because each branch then reads only its own columns.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    place = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out anew where the input has fewer splits than there are cores.
+
+    A file of one row group is one task however many cores wait.  A large input
+    has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -109,7 +109,7 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
         "array_distinct(" + each("transform", "reverse(spans)", lambda s: f"concat({s}.entity_type, '\\n', {s}.value)") + ")"
     )
     ready = (
-        detect(with_session_ids(calls), **options)
+        detect(with_session_ids(calls), **{"context": "overlaps", **options})
         .withWatermark("ts", delay)
         .select(*CALL_KEY, "ts", F.unix_micros("ts").alias("ts_us"), "text", "spans",
                 F.expr(numbered_keys).alias("found_keys"))

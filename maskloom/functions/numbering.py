@@ -14,7 +14,8 @@ def check_order(order: str) -> None:
         raise ValueError(f"order must be one of {ORDERS}")
 
 
-def _key(s: str) -> str:
+def value_key(s: str) -> str:
+    """Type and value of a span as one string; no type holds a line break."""
     return f"concat({s}.entity_type, '\\n', {s}.value)"
 
 
@@ -22,7 +23,7 @@ def entries(spans: str, order: str = "right_to_left") -> str:
     """Each distinct (type, value) with its number; types count on their own."""
     check_order(order)
     items = f"reverse({spans})" if order == "right_to_left" else spans
-    keys = f"array_distinct({each('transform', items, _key)})"
+    keys = f"array_distinct({each('transform', items, value_key)})"
 
     def of_type(all_keys: str) -> str:
         def numbered(t: str) -> str:
@@ -47,7 +48,7 @@ def rewritten(text: str, spans: str, found: str) -> str:
     return when(
         f"size({spans}) > 0",
         let(f"map_from_entries({pairs})",
-            lambda m: splice(text, spans, lambda s: f"element_at({m}, {_key(s)})")),
+            lambda m: splice(text, spans, lambda s: f"element_at({m}, {value_key(s)})")),
         text,
     )
 

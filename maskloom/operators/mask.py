@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.numbering import entries, mapping_of, rewritten
+from maskloom.functions.numbering import entries, mapping_of, rewritten, value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
-from maskloom.functions.text import each, let, splice
+from maskloom.functions.text import splice
 from maskloom.operators.detect import detect
 from maskloom.operators.numbering import (
     MAPPING_COLUMNS,
@@ -17,6 +17,7 @@ from maskloom.operators.numbering import (
     as_mapping,
     first_met,
     number_values,
+    values_of,
 )
 from maskloom.operators.sessions import epoch_ends, session_ticks, with_epoch
 from maskloom.session import cut_lineage
@@ -54,33 +55,22 @@ def mask_texts(df: DataFrame, text_col: str = "text", order: str = "right_to_lef
     return out.drop("__found", "__spans")
 
 
-def occurrences_of(hits: DataFrame) -> DataFrame:
-    """One row per span of a call, with its session and epoch keys."""
-    return hits.select(*CALL_KEY, "ts", "epoch", F.inline("spans"))
-
-
-def place_numbers(hits: DataFrame, numbered: DataFrame) -> DataFrame:
+def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> DataFrame:
     """Each call's spans replaced by the numbers its session gave them.
 
-    Only calls with spans get here.  Their (call, value) pairs meet the mapping
-    on the full value key, then come back to their own call; no session is ever
-    gathered as a whole.
+    Only calls with spans get here.  Their values (see ``values_of``; no text)
+    meet the numbers on the full value key, then come back to their own call; no
+    session is ever gathered as a whole.
     """
-    pairs = occurrences_of(hits).select(*CALL_KEY, "epoch", "entity_type", "value").distinct()
     known = numbered.select(*VALUE_GROUP, "value", "idx")
+    placeholder = F.concat(F.lit("{{"), "entity_type", F.lit("_"), F.col("idx").cast("string"), F.lit("}}"))
     per_call = (
-        pairs.join(known, [*VALUE_GROUP, "value"])
+        values.join(known, [*VALUE_GROUP, "value"])
         .groupBy(*CALL_KEY)
-        .agg(F.collect_list(F.struct(
-            F.concat("entity_type", F.lit("\n"), "value").alias("k"),
-            F.concat(F.lit("{{"), "entity_type", F.lit("_"), F.col("idx").cast("string"), F.lit("}}")).alias("p"),
-        )).alias("pairs"))
-    )
-    lookup = let(
-        f"map_from_entries({each('transform', 'pairs', lambda p: f'struct({p}.k, {p}.p)')})",
-        lambda m: splice("text", "spans", lambda s: f"element_at({m}, concat({s}.entity_type, '\\n', {s}.value))"),
+        .agg(F.map_from_entries(F.collect_list(F.struct("k", placeholder.alias("p")))).alias("places"))
     )
-    return hits.join(per_call, CALL_KEY).withColumn("masked_text", F.expr(lookup)).drop("pairs")
+    put = splice("text", "spans", lambda s: f"element_at(places, {value_key(s)})")
+    return hits.join(per_call, CALL_KEY).withColumn("masked_text", F.expr(put)).drop("places")
 
 
 def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFrame | None = None,
@@ -89,16 +79,18 @@ def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFra
 
     ``old`` is a stored mapping to continue.  Detected calls are written once to
     the checkpoint folder: numbering, rewriting and the untouched calls all read
-    them, and writing costs far less than detecting again.  Calls without personal
-    data take no part in any shuffle.
+    them, and writing costs far less than detecting again.  So are the numbers,
+    which both results need.  A text is shuffled at most once, to meet its own
+    call's placeholders; calls without personal data are not shuffled at all.
     """
     calls = with_session_ids(calls)
     found = cut_lineage(detect(calls, **_lean(detection)))
     ticks = session_ticks(found, ttl, old)
-    hits = with_epoch(found.filter(F.size("spans") > 0), ticks, ttl)
-    numbered = number_values(first_met(occurrences_of(hits), order), old)
-    columns = [*CALL_KEY, "ts", "masked_text"]
-    masked = place_numbers(hits, numbered).select(*columns)
+    hits = found.filter(F.size("spans") > 0)
+    keyed = with_epoch(hits.select(*CALL_KEY, "ts", "spans"), ticks, ttl)
+    values = values_of(keyed, order)
+    numbered = cut_lineage(number_values(first_met(values), old))
+    masked = place_numbers(hits, values, numbered).select(*CALL_KEY, "ts", "masked_text")
     clean = found.filter(F.size("spans") == 0).select(
         *CALL_KEY, "ts", F.col("text").alias("masked_text"))
     mapping = as_mapping(numbered, epoch_ends(ticks))

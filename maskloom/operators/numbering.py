@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskloom.functions.numbering import check_order
-from maskloom.sources.corpus import SESSION
+from maskloom.functions.numbering import check_order, value_key
+from maskloom.functions.text import each
+from maskloom.sources.corpus import CALL_KEY, SESSION
 
 CHUNK_CALLS = 4096
 VALUE_GROUP = [*SESSION, "epoch", "entity_type"]
@@ -23,25 +24,35 @@ MAPPING_COLUMNS = [
 ]
 
 
-def first_met(occurrences: DataFrame, order: str = "right_to_left") -> DataFrame:
-    """One row per distinct value with the call and place that met it first.
+def values_of(keyed: DataFrame, order: str = "right_to_left") -> DataFrame:
+    """One row per distinct value of a call, with its ``place`` in that call.
 
-    A call is numbered from its last value back, unless ``left_to_right``.
+    ``keyed`` holds call keys, ``ts``, ``epoch`` and ``spans``.  A call is numbered
+    from its last value back, unless ``left_to_right``.  No shuffle.
     """
     check_order(order)
-    place = -F.col("start") if order == "right_to_left" else F.col("start")
-    met = F.struct(F.col("call_seq").alias("seq"), place.alias("place"), F.col("ts").alias("ts"))
-    return (
-        occurrences.groupBy(*VALUE_GROUP, "value")
-        .agg(F.min(met).alias("met"))
-        .select(*VALUE_GROUP, "value", F.col("met.seq").alias("first_seq"),
-                F.col("met.place").alias("place"), F.col("met.ts").alias("first_ts"))
-    )
+    spans = "reverse(spans)" if order == "right_to_left" else "spans"
+    distinct = f"array_distinct({each('transform', spans, value_key)})"
+    rows = keyed.select(*CALL_KEY, "ts", "epoch", F.posexplode(F.expr(distinct)).alias("place", "k"))
+    return rows.select(
+        "*", F.substring_index("k", "\n", 1).alias("entity_type"),
+        F.expr("substring(k, locate('\\n', k) + 1)").alias("value"))
+
+
+def first_met(values: DataFrame) -> DataFrame:
+    """One row per distinct value of a session, with the call and place that met it first.
+
+    All three minima are numbers, so this is a hash aggregate that combines
+    repeats before the shuffle.
+    """
+    return values.groupBy(*VALUE_GROUP, "value").agg(
+        F.min("call_seq").alias("first_seq"), F.min_by("place", "call_seq").alias("place"),
+        F.min("ts").alias("first_ts"))
 
 
 def ranked(values: DataFrame, chunk_calls: int = CHUNK_CALLS) -> DataFrame:
     """Add ``rank`` (from 0) inside each group, in order of ``first_seq, place``."""
-    chunked = values.withColumn("chunk", F.floor(F.col("first_seq") / chunk_calls))
+    chunked = values.withColumn("chunk", F.expr(f"first_seq div {chunk_calls}L"))
     before = W.partitionBy(*VALUE_GROUP).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = (
         chunked.groupBy(*VALUE_GROUP, "chunk").agg(F.count("*").alias("n"))

@@ -16,8 +16,10 @@ from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.sources.corpus import SESSION
 
 
-def bucket_of(ts: str | Column, ttl: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(ttl * 1_000_000)).cast("long")
+def bucket_of(ts: str, ttl: int) -> Column:
+    """Number of the TTL-wide bucket a time lies in, counted down before 1970 too."""
+    width = ttl * 1_000_000
+    return F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {width}L)) div {width}L")
 
 
 def session_ticks(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,

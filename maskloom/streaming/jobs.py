@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
-from maskloom.functions.numbering import rewritten
+from maskloom.functions.numbering import rewritten, value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.functions.text import SPAN_TYPE, each
 from maskloom.operators.detect import detect
@@ -106,7 +106,7 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
     ``first`` are the additions to the mapping table.
     """
     numbered_keys = (
-        "array_distinct(" + each("transform", "reverse(spans)", lambda s: f"concat({s}.entity_type, '\\n', {s}.value)") + ")"
+        f"array_distinct({each('transform', 'reverse(spans)', value_key)})"
     )
     ready = (
         detect(with_session_ids(calls), **{"context": "overlaps", **options})

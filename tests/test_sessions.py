@@ -115,11 +115,11 @@ def test_batch_equals_sequential(spark, split):
 
 @pytest.mark.parametrize("chunk", [1, 3, 4096])
 def test_chunks_do_not_change_numbers(spark, chunk):
-    rows = [("a", "s", 0, "EMAIL", f"v{i % 17}", i // 3, -(i % 3), _at(i)) for i in range(60)]
-    df = spark.createDataFrame(rows, "system_id string, session_id string, epoch int, entity_type string, value string, call_seq bigint, start int, ts timestamp")
+    rows = [("a", "s", 0, "EMAIL", f"v{i % 17}", i // 3, i % 3, _at(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "system_id string, session_id string, epoch int, entity_type string, value string, call_seq bigint, place int, ts timestamp")
     got = {r.value: r.idx for r in number_values(first_met(df), chunk_calls=chunk).collect()}
     first = {}
-    for r in sorted(rows, key=lambda r: (r[5], -r[6])):
+    for r in sorted(rows, key=lambda r: (r[5], r[6])):
         first.setdefault(r[4], len(first))
     assert got == first
 

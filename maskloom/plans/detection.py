@@ -68,8 +68,8 @@ def _corpus_query(source: str, key: str, text: str, entity: str):
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_EMAIL_RE = r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-_IP_RE = r"\b" + r"\.".join([_OCTET] * 4) + r"\b"
+EMAIL_RE = r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+IP_RE = r"\b" + r"\.".join([_OCTET] * 4) + r"\b"
 
 
 def _extract_sql(source: str, key: str, text: str, pattern: str, strip_underscore: bool = True) -> str:
@@ -80,12 +80,12 @@ def _extract_sql(source: str, key: str, text: str, pattern: str, strip_underscor
     )
 
 
-_SUM = (
+LUHN_SUM = (
     "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN "
     "(CASE WHEN cast(d[i] as int) > 4 THEN 2 * cast(d[i] as int) - 9 ELSE 2 * cast(d[i] as int) END) "
     "ELSE cast(d[i] as int) END))"
 )
-_CARD_RES = [
+CARD_RES = [
     r"\b4(?:[0-9][ -]?){12,15}\b",
     r"\b(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[0-9][ -]?){12}\b",
     r"\b3[47][0-9]{2}[\s-]?[0-9]{6}[\s-]?[0-9]{5}\b",
@@ -97,11 +97,11 @@ _CARD_RES = [
 def _cards_sql(source: str, key: str, text: str) -> str:
     every = " UNION ALL ".join(
         f"SELECT {key}, unnest(regexp_extract_all(replace({text}, '_', ' '), '{p}')) AS raw FROM {source}"
-        for p in _CARD_RES)
+        for p in CARD_RES)
     return (
         f"SELECT {key}, value, count(*) AS n FROM (SELECT {key}, regexp_replace(raw, '[ -]+$', '') AS value, "
         f"regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM ({every})) "
-        f"WHERE {_SUM} % 10 = 0 GROUP BY {key}, value"
+        f"WHERE {LUHN_SUM} % 10 = 0 GROUP BY {key}, value"
     )
 
 
@@ -109,8 +109,8 @@ for _source, _id_col, _text_col in (
     ("documents", "doc_id", "text"), ("pages", "page_id", "html"),
 ):
     for _entity, _sql in (
-        ("EMAIL", _extract_sql(_source, _id_col, _text_col, _EMAIL_RE, False)),
-        ("IP_ADDRESS", _extract_sql(_source, _id_col, _text_col, _IP_RE)),
+        ("EMAIL", _extract_sql(_source, _id_col, _text_col, EMAIL_RE, False)),
+        ("IP_ADDRESS", _extract_sql(_source, _id_col, _text_col, IP_RE)),
         ("CREDIT_CARD", _cards_sql(_source, _id_col, _text_col)),
     ):
         _key = f"{_source}_{_entity.lower()}_values"
@@ -147,7 +147,7 @@ def v2_date_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["v1_luhn"] = v1_luhn
 ORACLES["v1_luhn"] = (
-    f"SELECT o_orderkey, d AS number FROM ({select_sql(_LUHN_COLUMNS, 'orders')}) WHERE {_SUM} % 10 = 0"
+    f"SELECT o_orderkey, d AS number FROM ({select_sql(_LUHN_COLUMNS, 'orders')}) WHERE {LUHN_SUM} % 10 = 0"
 )
 QUERIES["v2_date_like"] = v2_date_like
 ORACLES["v2_date_like"] = (

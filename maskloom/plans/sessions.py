@@ -19,6 +19,7 @@ from maskloom.operators.restore import (
 )
 from maskloom.operators.sessions import session_ticks, with_epoch
 from maskloom.operators.tenancy import parse_tenants, resolve_callers, split_rejects
+from maskloom.plans.detection import CARD_RES, EMAIL_RE, IP_RE, LUHN_SUM
 from maskloom.plans.fixtures import (
     CALLS_CTE,
     OCCURRENCES_CTE,
@@ -227,12 +228,42 @@ def documents_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "masked_text", F.coalesce(F.size("mapping"), F.lit(0)).alias("n_values"))
 
 
+_SQL_TYPES = ["EMAIL", "IP_ADDRESS", "CREDIT_CARD"]
+
+
+def documents_masked_sql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked documents for the types whose rules can be said in the other engine's SQL."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    masked = mask_texts(docs, entities=_SQL_TYPES, merge_blanks=False)
+    return masked.select(
+        "doc_id", F.sha2("masked_text", 256).alias("text_hash"),
+        F.coalesce(F.size("mapping"), F.lit(0)).alias("n_values"))
+
+
 def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     back = restore_own(mask_texts(docs))
     return back.select("doc_id", F.sha2("restored_text", 256).alias("text_hash"))
 
 
+QUERIES["m0_documents_masked_sql_types"] = documents_masked_sql_types
+# A card swallows one separator where no letter or digit follows, so its right
+# edge is read with the next character, outside the group.
+_CARD_EDGE_RES = [p.removesuffix(r"\b") + ")(?:[^A-Za-z0-9]|$)" for p in (r.replace(r"\b", r"\b(", 1) for r in CARD_RES)]
+_VALUE_LISTS = " UNION ALL ".join(
+    f"SELECT doc_id, text, '{entity}' AS t, regexp_extract_all(text, '{pattern}', {group}) AS vs FROM documents"
+    for entity, pattern, group in [
+        ("EMAIL", EMAIL_RE, 0), ("IP_ADDRESS", IP_RE, 0), *[("CREDIT_CARD", p, 1) for p in _CARD_EDGE_RES]])
+ORACLES["m0_documents_masked_sql_types"] = (
+    f"WITH lists AS ({_VALUE_LISTS}), "
+    "hit AS (SELECT doc_id, text, t, unnest(vs) AS v FROM lists), "
+    "ok AS (SELECT DISTINCT doc_id, t, v, strpos(reverse(text), reverse(v)) AS from_end FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM hit) "
+    f"WHERE t <> 'CREDIT_CARD' OR {LUHN_SUM} % 10 = 0), "
+    "num AS (SELECT doc_id, v, '{{' || t || '_' || cast(row_number() OVER (PARTITION BY doc_id, t ORDER BY from_end) - 1 as string) || '}}' AS p FROM ok), "
+    "pairs AS (SELECT doc_id, list([v, p] ORDER BY length(v) DESC, v) AS ps FROM num GROUP BY doc_id) "
+    "SELECT doc_id, sha256(CASE WHEN ps IS NULL THEN text ELSE list_reduce(list_prepend([text], ps), lambda a, x: [regexp_replace(a[1], regexp_escape(x[1]) || '([^A-Za-z0-9]|$)', x[2] || '\\1', 'g')])[1] END) AS text_hash, "
+    "cast(coalesce(len(ps), 0) as int) AS n_values FROM documents LEFT JOIN pairs USING (doc_id)"
+)
 QUERIES["m0_documents_masked"] = documents_masked
 QUERIES["rs6_documents_round_trip"] = documents_round_trip
 ORACLES["rs6_documents_round_trip"] = "SELECT doc_id, sha256(text) AS text_hash FROM documents"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -37,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="maskloom-")
-    spark.conf.set(CHECKPOINT_SETTING, made)
-    return made
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"maskloom-{application_id}-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

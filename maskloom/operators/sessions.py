@@ -17,9 +17,13 @@ from maskloom.sources.corpus import SESSION
 
 
 def bucket_of(ts: str, ttl: int) -> Column:
-    """Number of the TTL-wide bucket a time lies in, counted down before 1970 too."""
+    """Number of the TTL-wide bucket a time lies in, counted down before 1970 too.
+
+    Calls without a time all share bucket 0, so they never expire.
+    """
     width = ttl * 1_000_000
-    return F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {width}L)) div {width}L")
+    us = f"coalesce(unix_micros({ts}), 0L)"
+    return F.expr(f"({us} - pmod({us}, {width}L)) div {width}L")
 
 
 def session_ticks(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,

@@ -50,7 +50,14 @@ def as_calls(
 
 
 def with_session_ids(calls: DataFrame) -> DataFrame:
-    """A call without a session opens its own.  The id is a hash, so reruns agree."""
+    """A call without a session opens its own.  The id is a hash, so reruns agree.
+
+    The call key takes part in joins, so none of it may be NULL: a missing system
+    becomes the empty one, and a missing call number is an error.
+    """
+    missing = F.raise_error(F.lit("call_seq must not be NULL")).cast("long")
+    calls = calls.withColumns({
+        "system_id": F.coalesce("system_id", F.lit("")), "call_seq": F.coalesce("call_seq", missing)})
     made = F.sha2(F.concat_ws("|", "system_id", F.col("call_seq").cast("string")), 256)
     return calls.withColumn("session_id", F.coalesce("session_id", F.left(made, F.lit(32))))
 

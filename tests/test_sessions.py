@@ -151,6 +151,16 @@ def test_missing_session_gets_one(spark):
     assert len(set(ids)) == 2 and None not in ids and sorted(ids) == sorted(again)
 
 
+def test_missing_time_and_system(spark):
+    """Calls without a time or a system are neither lost nor left unmasked."""
+    rows = [("a", "s", 1, None, "stateful", "a@b.com"), ("a", "s", 2, None, "stateful", "c@d.com, a@b.com"),
+            (None, "s", 3, _at(0), "stateful", "e@f.com"), ("a", "s", 4, None, "stateful", None)]
+    got = _texts(mask_sessions(spark.createDataFrame(rows, CALLS)).texts)
+    assert got == {1: "{{EMAIL_0}}", 2: "{{EMAIL_1}}, {{EMAIL_0}}", 3: "{{EMAIL_0}}", 4: None}
+    with pytest.raises(PySparkException, match="call_seq"):
+        mask_sessions(spark.createDataFrame([("a", "s", None, _at(0), "stateful", "a@b.com")], CALLS))
+
+
 def _mapping(spark, rows):
     return spark.createDataFrame([(a, b, 0, k, v, _at(f), _at(s)) for a, b, k, v, f, s in rows], MAPPING)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import language_id, substring_dedup
+from maskloom.llm import bpe, language_id, minmax_dedup, substring_dedup
 from maskloom.llm.common import table
 
 
@@ -11,8 +11,10 @@ def _over(run, name):
 
 
 QUERIES = {
+    "op3_minmax_dedup": _over(minmax_dedup.query, "documents"),
     "op6_language_id": _over(language_id.query, "documents"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),
+    "op10_bpe": _over(bpe.query, "documents"),
 }
 
 ORACLES: dict[str, str] = {}

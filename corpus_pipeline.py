@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import language_id, substring_dedup
+from maskloom.llm import bpe, decontaminate, language_id, minmax_dedup, substring_dedup
+from maskloom.llm.common import table
 from maskloom.session import shared_dir
 
 
@@ -15,14 +16,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.train_on(docs))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    return minmax_dedup.one_of_each(docs)
+
+
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere too are cut out of the text."""
     return substring_dedup.without_repeats(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of what is kept."""
+    return bpe.query(docs)
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("minmax_dedup", drop_near_duplicates),
     ("substring_dedup", drop_repeated_passages),
+    ("decontaminate", drop_benchmark_leaks),
+    ("bpe", encode_texts),
 ]
 
 #: No stage has an SQL counterpart; tests hold each against a brute-force version.

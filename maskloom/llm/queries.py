@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import bpe, language_id, minmax_dedup, substring_dedup
+from maskloom.llm import bpe, decontaminate, language_id, minmax_dedup, substring_dedup
 from maskloom.llm.common import table
 
 
@@ -11,6 +11,8 @@ def _over(run, name):
 
 
 QUERIES = {
+    "op2_decontaminate": lambda spark, sf_dir: decontaminate.query(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_minmax_dedup": _over(minmax_dedup.query, "documents"),
     "op6_language_id": _over(language_id.query, "documents"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),

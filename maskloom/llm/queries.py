@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import bpe, decontaminate, language_id, minmax_dedup, substring_dedup
+from maskloom.llm import bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, url_rules
 from maskloom.llm.common import table
 
 
@@ -11,12 +11,17 @@ def _over(run, name):
 
 
 QUERIES = {
+    "op1_line_frequency": _over(line_frequency.query, "documents"),
     "op2_decontaminate": lambda spark, sf_dir: decontaminate.query(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_minmax_dedup": _over(minmax_dedup.query, "documents"),
     "op6_language_id": _over(language_id.query, "documents"),
+    "op7_url_rules": _over(url_rules.query, "pages"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),
     "op10_bpe": _over(bpe.query, "documents"),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_frequency": line_frequency.ORACLE,
+    "op7_url_rules": url_rules.ORACLE,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, url_rules
+from maskloom.llm import bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, url_rules
 from maskloom.llm.common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_decontaminate": lambda spark, sf_dir: decontaminate.query(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_minmax_dedup": _over(minmax_dedup.query, "documents"),
+    "op5_tag_paths": _over(tag_paths.query, "pages"),
     "op6_language_id": _over(language_id.query, "documents"),
     "op7_url_rules": _over(url_rules.query, "pages"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),

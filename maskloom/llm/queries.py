@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, url_rules
+from maskloom.llm import arc_convert, bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, url_rules
 from maskloom.llm.common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op5_tag_paths": _over(tag_paths.query, "pages"),
     "op6_language_id": _over(language_id.query, "documents"),
     "op7_url_rules": _over(url_rules.query, "pages"),
+    "op8_arc_convert": _over(arc_convert.query, "pages"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),
     "op10_bpe": _over(bpe.query, "documents"),
 }
@@ -25,4 +26,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_frequency": line_frequency.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
+    "op8_arc_convert": arc_convert.ORACLE,
 }

@@ -17,7 +17,6 @@ extracted one by one, null ids and urls are kept; very long pages are read in wh
 
 from __future__ import annotations
 
-import functools
 import html as references
 import re
 
@@ -168,13 +167,19 @@ def path_scores(nodes: list[tuple[_Element, str]]) -> dict[int, float]:
     return dict(zip(paths, (np.bincount(of, fused) / count).tolist()))
 
 
-def _common(one: _Element, other: _Element) -> _Element:
-    while one is not other:
-        if one.depth >= other.depth:
-            one = one.parent
-        else:
-            other = other.parent
-    return one
+def _common(elements: set[_Element]) -> _Element:
+    """The deepest element around all of ``elements``."""
+    below = dict.fromkeys(elements, 1)
+    for element in elements:
+        above = element.parent
+        while above is not None and above not in below:
+            below[above] = 0
+            above = above.parent
+    for element in sorted(below, key=lambda e: -e.depth):
+        if below[element] == len(elements):
+            return element
+        below[element.parent] += below[element]
+    raise AssertionError("elements of one page share its root")
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
@@ -187,7 +192,7 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     chosen = {e for e, _ in shown if not e.apart and scores[e.path] >= least} or {e for e, _ in shown if not e.apart}
     containers = {e.body for e in chosen} - {None}
     if not containers:
-        containers = {functools.reduce(_common, chosen)}
+        containers = {_common(chosen)}
     inside: dict[_Element | None, bool] = {None: False}
 
     def counts(element: _Element) -> bool:

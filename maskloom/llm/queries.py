@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maskloom.llm import arc_convert, bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, url_rules
+from maskloom.llm import arc_convert, bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, token_rollup, url_rules
 from maskloom.llm.common import table
 
 
@@ -15,6 +15,8 @@ QUERIES = {
     "op2_decontaminate": lambda spark, sf_dir: decontaminate.query(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_minmax_dedup": _over(minmax_dedup.query, "documents"),
+    "op4_token_rollup": lambda spark, sf_dir: token_rollup.query(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_tag_paths": _over(tag_paths.query, "pages"),
     "op6_language_id": _over(language_id.query, "documents"),
     "op7_url_rules": _over(url_rules.query, "pages"),
@@ -25,6 +27,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_frequency": line_frequency.ORACLE,
+    "op4_token_rollup": token_rollup.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
     "op8_arc_convert": arc_convert.ORACLE,
 }

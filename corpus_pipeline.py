@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskloom.llm import bpe, decontaminate, language_id, minmax_dedup, substring_dedup
 from maskloom.llm.common import table
@@ -22,8 +23,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur elsewhere too are cut out of the text."""
-    return substring_dedup.without_repeats(docs)
+    """Passages that occur elsewhere too are cut out of the text; ``n_chars`` follows."""
+    cut = substring_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

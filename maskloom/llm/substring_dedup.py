@@ -117,21 +117,27 @@ def _marked(docs: DataFrame, text: str, width: int) -> tuple[DataFrame, DataFram
     keyed = docs.withColumn("_rk", F.xxhash64(*[F.col(c) for c in _hashable(docs)]))
 
     def anchors(batch):
-        work, keys, found, whole = Windows(width), [], [], []
+        work, keys, found, sizes, whole = Windows(width), [], [], [], []
         for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = words_of(t)
             if len(words) < width:
                 continue
             _, anchor, at = work.of(words)
-            got = anchor[np.append(True, at[1:] != at[:-1])]
+            got, n = np.unique(anchor[np.append(True, at[1:] != at[:-1])], return_counts=True)
             keys.append(np.full(len(got) + 1, key, np.int64))
             found.append(_signed(np.append(got, np.uint64(_whole(words)))))
+            sizes.append(np.append(n, 1))
             whole.append(np.append(np.zeros(len(got), bool), True))
         if keys:
-            return {"_rk": np.concatenate(keys), "anchor": np.concatenate(found), "whole": np.concatenate(whole)}
-
-    every = cut_lineage(arrow_map(keyed.select("_rk", text), "_rk long, anchor long, whole boolean", anchors, 4096))
-    again = every.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min("_rk").alias("stands")).where("n > 1")
+            return {"_rk": np.concatenate(keys), "anchor": np.concatenate(found), "n": np.concatenate(sizes),
+                    "whole": np.concatenate(whole)}
+
+    every = cut_lineage(
+        arrow_map(keyed.select("_rk", text), "_rk long, anchor long, n int, whole boolean", anchors, 4096))
+    # A table, so that the join below has two plain exchanges and Spark can split a frequent anchor.
+    again = cut_lineage(
+        every.groupBy("anchor", "whole").agg(F.sum("n").alias("places"), F.min("_rk").alias("stands"))
+        .where("places > 1").drop("places"))
     of_row = cut_lineage(
         every.join(again, ["anchor", "whole"])
         .groupBy("_rk")

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import arrow_map, slices
-from maskloom.session import cut_lineage
+from maskloom.session import shared_dir
 
 #: Fixed value: the word pattern of this family of tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text in one block, about.
 BLOCK_CHARS = 12_000_000
-#: The distinct words are dealt into so many parts; one is held by a task at a time.
-WORD_PARTS = 1024
+#: Parts that the distinct words are dealt into, for each shuffle partition.
+PARTS_EACH = 2
 _CACHED_WORDS = 1_000_000
 
 
@@ -87,29 +89,37 @@ def pieces(model: str) -> list[bytes]:
     return out
 
 
+@functools.cache
+def _young() -> np.ndarray:
+    """Code points that Unicode 3.2 does not know; of older ones all libraries know the kind."""
+    old = unicodedata.ucd_3_2_0.category
+    return np.fromiter((old(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
+class _Numbers(dict):
+    """Each new word gets the next number."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 class Splitter:
     """Cuts a text into the tokenizer's words; joined, they are the text again."""
 
     def __init__(self, model: str) -> None:
-        self._before = _library(model).pre_tokenizer
+        self._model = model
         special = [t["content"] for t in json.loads(model)["added_tokens"]]
         special.sort(key=len, reverse=True)
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self._plain = regex.compile(PATTERN).findall
-        # Libraries differ in what they know of younger characters; those texts go to the tokenizer's own.
-        old, runs = unicodedata.ucd_3_2_0, []
-        for i in range(0x110000):
-            if old.category(chr(i)) == "Cn":
-                if runs and runs[-1][1] == i - 1:
-                    runs[-1][1] = i
-                else:
-                    runs.append([i, i])
-        self._young = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search
+        # Libraries differ in what they know of younger characters; texts with those go to the tokenizer's own.
+        self._common = re.compile("[^\x00-\u021f\u2010-\u2027]").search
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii() or not self._young(text):
+        if not self._common(text) or not _young()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
             return self._plain(text)
-        return [text[a:b] for _, (a, b) in self._before.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in _library(self._model).pre_tokenizer.pre_tokenize_str(text)]
 
     def __call__(self, text: str | None) -> list[str]:
         if not text:
@@ -168,7 +178,7 @@ def _to_blocks(docs: DataFrame, key: str, text: str, model, parts: int) -> DataF
     def run(batches):
         split, made = Splitter(model.value), 0
         task = TaskContext.get().partitionId()
-        codes: dict[str, int] = {}
+        codes = _Numbers()
         keys, numbers, sizes, chars = [], [], [], 0
 
         def block():
@@ -183,37 +193,50 @@ def _to_blocks(docs: DataFrame, key: str, text: str, model, parts: int) -> DataF
             words = list(codes)
             part_of = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % parts for w in words],
                                np.int64)
-            yield number, -1, list(keys), _packed(rank[used], np.array(sizes)), None
+            yield number, -1, list(keys), _packed(rank[used], np.array(sizes)), None, None
             by_part = np.argsort(part_of, kind="stable")
             starts = np.flatnonzero(np.diff(part_of[by_part], prepend=-1)) if words else []
             for chosen in np.split(by_part, starts[1:]) if len(starts) else []:
                 chosen = chosen[np.argsort(rank[chosen])]
-                yield (number, int(part_of[chosen[0]]), None, _packed(rank[chosen]),
+                yield (number, int(part_of[chosen[0]]), None, None, _packed(np.diff(rank[chosen], prepend=0)),
                        _words_body([words[i] for i in chosen.tolist()]))
 
         def rows():
-            for n, part, ks, body, words in block():
+            for n, part, ks, *bodies in block():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n]), pa.array([part], pa.int32()), pa.array([ks], pa.list_(key_type)),
-                     pa.array([body], pa.binary()), pa.array([words], pa.binary())],
-                    names=["block", "part", "keys", "numbers", "words"])
+                     *(pa.array([b], pa.binary()) for b in bodies)],
+                    names=["block", "part", "keys", "texts", "numbers", "words"])
 
         for batch in slices(batches, 64):
             key_type = batch.schema.field(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [codes.setdefault(w, len(codes)) for w in split(t)]
+                found = list(map(codes.__getitem__, split(t)))
                 keys.append(k)
                 sizes.append(len(found))
                 numbers.append(np.array(found, np.int64).astype(np.int32))
                 chars += len(t or "")
                 if chars >= BLOCK_CHARS:
                     yield from rows()
-                    codes, keys, numbers, sizes, chars = {}, [], [], [], 0
+                    codes, keys, numbers, sizes, chars = _Numbers(), [], [], [], 0
         if keys:
             yield from rows()
 
     return docs.select(key, text).mapInArrow(
-        run, f"block long, part int, keys array<{kind}>, numbers binary, words binary")
+        run, f"block long, part int, keys array<{kind}>, texts binary, numbers binary, words binary")
+
+
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``blocks`` written once to the shared folder, in buckets by block.
+
+    A task writes few blocks, so few files, and reading them back by block needs no
+    exchange.  The catalog's entry goes at once; the frame keeps what it needs.
+    """
+    spark, name = blocks.sparkSession, f"maskloom_blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _encoded_words(words: DataFrame, model) -> DataFrame:
@@ -239,15 +262,16 @@ def _encoded_words(words: DataFrame, model) -> DataFrame:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
-           parts: int = WORD_PARTS) -> DataFrame:
+           parts: int | None = None) -> DataFrame:
     """``key`` and ``ids`` (little-endian unsigned 32-bit integers) of every row."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(load(path))
-    blocks = cut_lineage(_to_blocks(docs, key, text, model, parts))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _bucketed(_to_blocks(docs, key, text, model, parts or max(64, PARTS_EACH * tasks)), tasks)
     words = blocks.where("part >= 0").select("block", "part", "numbers", "words").repartition("part")
     # A block has at most so many rows here as there are parts.
     back = _encoded_words(words, model).groupBy("block").agg(F.collect_list(F.struct("numbers", "ids")).alias("table"))
-    joined = blocks.where("part < 0").select("block", "keys", "numbers").join(back, "block", "left")
+    joined = blocks.where("part < 0").select("block", "keys", "texts").join(back, "block", "left")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -258,6 +282,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             flat, at = [], 0
             for part in batch.column(3)[0].as_py() or []:
                 (which,), (long, ids) = _unpacked(part["numbers"]), _unpacked(part["ids"])
+                which = np.cumsum(which.astype(np.int64))
                 length[which] = long
                 start[which] = at + np.cumsum(long.astype(np.int64)) - long
                 flat.append(ids)

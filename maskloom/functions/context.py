@@ -2,7 +2,7 @@
 
 The words before a value are cut on blanks and punctuation.  The boost looks at
 the last five that are not stop words, or six when the value is glued to the
-last one, within the 256 characters before the value.
+last one, however far back they lie.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import re
 from maskloom.functions import rulebook as book
 from maskloom.functions.text import each, let, quoted, strings, when
 
-_REACH = 256
+# How far to look first; further only where too few words were found, so a text with
+# many values is not read in whole for each.
+_REACHES = (256, 4096, 65536)
 _WORD = r"[\p{L}\p{N}_+]"
 _SKIP = (
     "a an the is are was were be been of to in on at for and or my your his her its our "
@@ -26,28 +28,39 @@ def _terms(entity: str) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def near_context(text: str, start: str, entity: str, entities: list[str]) -> str:
-    """True when one of the entity's terms lies in a word just before ``start``."""
-    prefix = (
-        f"lower(substring({text}, greatest({start} - {_REACH} + 1, 1), least({start}, {_REACH})))"
-    )
-
-    def look(before: str) -> str:
-        words = each("filter", f"regexp_extract_all({before}, {quoted(_WORD + '+')}, 0)",
+def _last_words(text: str, start: str, reaches: tuple[int, ...] = _REACHES) -> str:
+    """The words that count just before ``start``, joined by line breaks."""
+    def look(before: str, complete: str, further: str | None) -> str:
+        # The first word of a part may be the end of a longer one.
+        whole_words = when(complete, before, f"regexp_replace({before}, {quoted('^' + _WORD + '+')}, '')")
+        words = each("filter", f"regexp_extract_all({whole_words}, {quoted(_WORD + '+')}, 0)",
                      lambda w: f"NOT array_contains({strings(_SKIP)}, {w})")
         count = when(f"rlike({before}, {quoted(_WORD + '$')})",
                      str(book.CONTEXT_TOKENS + 1), str(book.CONTEXT_TOKENS))
-        nearest = let(words, lambda w: f"array_join(slice({w}, greatest(size({w}) - {count} + 1, 1), "
-                                       f"{count}), '\\n')")
-        branches = " ".join(
-            f"WHEN {quoted(e)} THEN rlike(near, {quoted(_terms(e))})"
-            for e in entities if e in book.CONTEXT_TERMS
-        )
-        if not branches:
-            return "false"
-        return f"get(transform(array({nearest}), near -> CASE {entity} {branches} ELSE false END), 0)"
 
-    return let(prefix, look)
+        def enough(w: str) -> str:
+            last = f"array_join(slice({w}, greatest(size({w}) - {count} + 1, 1), {count}), '\\n')"
+            return last if further is None else when(f"{complete} OR size({w}) >= {count}", last, further)
+
+        return let(words, enough)
+
+    if not reaches:
+        return let(f"lower(substring({text}, 1, {start}))", lambda before: look(before, "true", None))
+    reach = reaches[0]
+    part = f"lower(substring({text}, greatest({start} - {reach} + 1, 1), least({start}, {reach})))"
+    further = _last_words(text, start, reaches[1:])
+    return let(part, lambda before: look(before, f"{start} <= {reach}", further))
+
+
+def near_context(text: str, start: str, entity: str, entities: list[str]) -> str:
+    """True when one of the entity's terms lies in a word just before ``start``."""
+    branches = " ".join(
+        f"WHEN {quoted(e)} THEN rlike(near, {quoted(_terms(e))})"
+        for e in entities if e in book.CONTEXT_TERMS
+    )
+    if not branches:
+        return "false"
+    return f"get(transform(array({_last_words(text, start)}), near -> CASE {entity} {branches} ELSE false END), 0)"
 
 
 def boosted(text: str, spans: str, entities: list[str]) -> str:

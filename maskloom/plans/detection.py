@@ -282,12 +282,18 @@ _CONTEXT_COLUMNS = {
     "doc_id": "c_custkey", "gap": "cast(c_custkey % 9 as int)",
     "term": pick(["電話", "phone", "Call", "number"], "(c_custkey % 11)"),
     "value": f"'6' || {digits(7, 7919, 'c_custkey')}",
+    "wide": "c_custkey % 4",
 }
+# Words and gaps may be longer than any window one might look through.
+_CONTEXT_TEXT = (
+    "term || repeat(CASE WHEN wide = 2 THEN ' ' || repeat('z', 700) ELSE ' zz' END, gap) || ' the ' || "
+    "CASE WHEN wide = 1 THEN repeat(' ', 300) WHEN wide = 3 THEN repeat(' the', 1500) || ' ' ELSE '' END || value"
+)
 
 
 def _context_scores(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     built = select_df(table(spark, sf_dir, "customer"), _CONTEXT_COLUMNS)
-    docs = built.selectExpr("doc_id", "term || repeat(' zz', gap) || ' the ' || value AS text")
+    docs = built.selectExpr("doc_id", f"{_CONTEXT_TEXT} AS text")
     rows = span_rows(detect(docs, entities=["PHONE_NUMBER"], threshold=threshold), ["doc_id"])
     return rows.select("doc_id", "value", score_milli(F.col("score")))
 

@@ -67,7 +67,7 @@ def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> Da
     per_call = (
         values.join(known, [*VALUE_GROUP, "value"])
         .groupBy(*CALL_KEY)
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", placeholder.alias("p")))).alias("places"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("k", placeholder.alias("p")))).alias("places"))
     )
     put = splice("text", "spans", lambda s: f"element_at(places, {value_key(s)})")
     return hits.join(per_call, CALL_KEY).withColumn("masked_text", F.expr(put)).drop("places")

@@ -76,26 +76,32 @@ def number_values(values: DataFrame, old: DataFrame | None = None,
                   chunk_calls: int = CHUNK_CALLS) -> DataFrame:
     """``idx`` for every value of ``values`` (see :func:`first_met`).
 
-    Values already in ``old`` keep their number; new ones follow on.
+    Values already in ``old`` keep their number and, as ``saved_before``, their save
+    time; new ones follow on.
     """
+    never = F.lit(None).cast("timestamp").alias("saved_before")
     if old is None:
-        return ranked(values, chunk_calls).withColumnRenamed("rank", "idx").drop("place")
+        return ranked(values, chunk_calls).withColumnRenamed("rank", "idx").drop("place").select("*", never)
     known = old.select(*VALUE_GROUP, "value", F.col("idx").alias("old_idx"))
     fresh = values.join(known, [*VALUE_GROUP, "value"], "left_anti")
     counts = old.groupBy(*VALUE_GROUP).agg(F.count("*").cast("int").alias("held"))
     new = (
         ranked(fresh, chunk_calls).join(counts, VALUE_GROUP, "left")
         .withColumn("idx", F.coalesce("held", F.lit(0)) + F.col("rank"))
-        .select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx")
+        .select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", never)
     )
-    kept = old.select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx")
+    kept = old.select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", F.col("saved_ts").alias("saved_before"))
     return new.unionByName(kept)
 
 
 def as_mapping(numbered: DataFrame, ends: DataFrame) -> DataFrame:
-    """Numbered values as the mapping table; ``ends`` gives the last save."""
+    """Numbered values as the mapping table.
+
+    ``ends`` gives the last save of the epochs in this run; others keep theirs.
+    """
     return (
         numbered.join(ends, [*SESSION, "epoch"], "left")
+        .withColumn("saved_ts", F.greatest("saved_ts", "saved_before"))
         .withColumn("placeholder_key", placeholder_key(F.col("entity_type"), F.col("idx")))
         .select(*MAPPING_COLUMNS)
     )

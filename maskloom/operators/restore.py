@@ -25,12 +25,13 @@ def restore_own(df: DataFrame, text_col: str = "masked_text", mapping_col: str =
 
 
 def _fill(replies: DataFrame, answers: DataFrame, reply_key: list[str], text_col: str, out: str) -> DataFrame:
-    """Put answers ``(reply_key, placeholder_key, value)`` into the replies.
+    """Put answers ``(reply_key, epoch, placeholder_key, value)`` into the replies.
 
     Replies without a placeholder skip the join, so their text is not shuffled.
     A reply gathers only its own few placeholders, never a session's mapping.
     """
-    per_reply = answers.groupBy(*reply_key).agg(
+    one = answers.groupBy(*reply_key, "placeholder_key").agg(F.max_by("value", F.struct("epoch", "value")).alias("value"))
+    per_reply = one.groupBy(*reply_key).agg(
         F.map_from_entries(F.collect_list(F.struct("placeholder_key", "value"))).alias("__map"))
     holds = F.contains(F.col(text_col), F.lit("{{"))
     filled = restore_own(replies.filter(holds).join(per_reply, reply_key, "left"), text_col, "__map", out)
@@ -38,18 +39,40 @@ def _fill(replies: DataFrame, answers: DataFrame, reply_key: list[str], text_col
     return filled.drop("__map").unionByName(plain)
 
 
+def _answers(asked: DataFrame, mapping: DataFrame, ts_col: str | None, ttl: int) -> DataFrame:
+    """Values of the placeholders in ``asked`` from the epoch of their session that is alive.
+
+    With a time, that is the epoch that had begun by then and was last saved less than
+    the TTL before, or is saved again later; epochs of a session lie at least the TTL
+    apart, so there is one at most.  Without a time it is the session's newest epoch.
+    """
+    known = mapping.select(*SESSION, "epoch", "placeholder_key", "value", "first_ts", "saved_ts")
+    if ts_col is None:
+        newest = mapping.groupBy(*SESSION).agg(F.max("epoch").alias("epoch"))
+        return asked.join(known.join(newest, [*SESSION, "epoch"]), [*SESSION, "placeholder_key"])
+    fresh = F.unix_micros("saved_ts") + ttl * 1_000_000 > F.unix_micros(ts_col)
+    alive = F.coalesce(F.col("first_ts") <= F.col(ts_col), F.lit(True)) & F.coalesce(fresh, F.lit(True))
+    return asked.join(known, [*SESSION, "placeholder_key"]).filter(alive)
+
+
+def _timed(replies: DataFrame, ts_col: str) -> str | None:
+    return ts_col if ts_col in replies.columns else None
+
+
 def restore_sessions(replies: DataFrame, mapping: DataFrame, reply_key: list[str],
-                     text_col: str = "text", out: str = "restored_text") -> DataFrame:
-    """Restore each reply from its session's mapping.
+                     text_col: str = "text", out: str = "restored_text",
+                     ttl: int = DEFAULT_TTL_SECONDS, ts_col: str = "ts") -> DataFrame:
+    """Restore each reply from its session's stored mapping, as it stood at the reply's time.
 
-    ``mapping`` holds one live epoch per session (see ``load_mapping``).  Unknown
+    ``mapping`` may hold any number of epochs per session; expired ones do not
+    count.  Replies without a ``ts_col`` take each session's newest epoch.  Unknown
     placeholders, and replies of unknown or other systems' sessions, stay as
     they are.
     """
-    asked = placeholder_rows(replies, [*SESSION, *_extra(reply_key)], text_col)
-    known = mapping.select(*SESSION, "placeholder_key", "value")
-    answers = asked.join(known, [*SESSION, "placeholder_key"])
-    return _fill(replies, answers, reply_key, text_col, out)
+    ts = _timed(replies, ts_col)
+    keys = [*SESSION, *_extra(reply_key), *([ts] if ts and ts not in reply_key else [])]
+    asked = placeholder_rows(replies, keys, text_col)
+    return _fill(replies, _answers(asked, mapping, ts, ttl), reply_key, text_col, out)
 
 
 def _extra(reply_key: list[str]) -> list[str]:
@@ -93,8 +116,11 @@ def restore_as_of(replies: DataFrame, mapping: DataFrame, ticks: DataFrame, repl
     return _fill(replies, answers, reply_key, text_col, out)
 
 
-def unresolved(replies: DataFrame, mapping: DataFrame, reply_key: list[str],
-               text_col: str = "text") -> DataFrame:
-    """Placeholders of replies that the mapping does not know."""
-    asked = placeholder_rows(replies, [*SESSION, *_extra(reply_key)], text_col)
-    return asked.join(mapping.select(*SESSION, "placeholder_key"), [*SESSION, "placeholder_key"], "left_anti")
+def unresolved(replies: DataFrame, mapping: DataFrame, reply_key: list[str], text_col: str = "text",
+               ttl: int = DEFAULT_TTL_SECONDS, ts_col: str = "ts") -> DataFrame:
+    """Placeholders of replies that the mapping, as it stood at the reply's time, does not know."""
+    ts = _timed(replies, ts_col)
+    keys = [*SESSION, *_extra(reply_key)]
+    asked = placeholder_rows(replies, [*keys, *([ts] if ts and ts not in keys else [])], text_col)
+    known = _answers(asked, mapping, ts, ttl).select(*keys, "placeholder_key")
+    return asked.join(known, [*keys, "placeholder_key"], "left_anti").select(*keys, "placeholder_key")

@@ -119,7 +119,7 @@ def m4_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = _halves(spark, sf_dir)
     stored = mask_sessions(early).mapping
     grown = mask_sessions(late, old=stored).mapping
-    return grown.select("system_id", "session_id", "entity_type", "idx", "value", "first_seq")
+    return grown.select("system_id", "session_id", "entity_type", "idx", "value", "first_seq", "saved_ts")
 
 
 def m5_rewrite_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +132,7 @@ def m6_mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MODE = "CASE WHEN call_seq % 3 = 0 THEN 'stateless' WHEN call_seq % 3 = 1 THEN 'Stateless' ELSE 'stateful' END"
+_OWN_SESSION = "left(sha256(concat_ws('|', system_id, {seq}, cast(epoch_us(ts) as string), text)), 32)"
 _MODE_SESSION = "CASE WHEN call_seq % 7 <> 2 THEN session_id END"
 
 
@@ -149,6 +150,12 @@ def m8_own_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_sessions(calls).texts.select("system_id", "call_seq", "session_id", "masked_text")
 
 
+def m8_repeated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls without a session that share their numbers still have a session each."""
+    calls = _calls(spark, sf_dir).withColumns({"session_id": F.lit(None).cast("string"), "call_seq": F.col("call_seq") % 5})
+    return mask_sessions(calls).texts.select("system_id", "call_seq", "session_id", "masked_text")
+
+
 def m9_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir)
     return with_epoch(calls, session_ticks(calls)).select(*CALL_KEY, "epoch")
@@ -164,7 +171,7 @@ QUERIES |= {
     "m1_numbering_in_text": m1_numbering_in_text, "m2_left_to_right": m2_left_to_right,
     "m3_session_numbering": m3_session_numbering, "m4_incremental": m4_incremental,
     "m5_rewrite_sessions": m5_rewrite_sessions, "m6_mapping_rows": m6_mapping_rows,
-    "m7_m8_both_modes": m7_m8_both_modes, "m8_own_session": m8_own_session,
+    "m7_m8_both_modes": m7_m8_both_modes, "m8_own_session": m8_own_session, "m8_repeated_numbers": m8_repeated_numbers,
     "m9_epochs": m9_epochs, "m10_unchanged": m10_unchanged,
 }
 _OWN_ROWS = (
@@ -183,14 +190,16 @@ ORACLES |= {
     "m10_unchanged": f"WITH {CALLS_CTE} SELECT call_seq, text AS masked_text FROM calls WHERE NOT has_pii",
     # As one run over all calls numbers it.  Epoch numbers may differ: the stored
     # mapping does not remember epochs in which nothing was found.
-    "m4_incremental": f"{_ALL_CTES} SELECT system_id, session_id, entity_type, idx, value, first_seq FROM mapping",
-    "m8_own_session": f"WITH {CALLS_CTE} SELECT system_id, call_seq, left(sha256(system_id || '|' || cast(call_seq as string)), 32) "
+    "m4_incremental": f"{_ALL_CTES} SELECT system_id, session_id, entity_type, idx, value, first_seq, saved_ts FROM mapping",
+    "m8_own_session": f"WITH {CALLS_CTE} SELECT system_id, call_seq, {_OWN_SESSION.format(seq='cast(call_seq as string)')} "
                       f"AS session_id, {_OWN} AS masked_text FROM calls",
+    "m8_repeated_numbers": f"WITH {CALLS_CTE} SELECT system_id, call_seq % 5 AS call_seq, "
+                           f"{_OWN_SESSION.format(seq='cast(call_seq % 5 as string)')} AS session_id, {_OWN} AS masked_text FROM calls",
 }
 # Stateful rows of the mixed run: numbering over the stateful calls alone.
 _MIXED_CALLS = (
     f"{CALLS_CTE.replace('calls AS', 'every_call AS', 1)}, "
-    f"calls AS (SELECT * REPLACE (coalesce({_MODE_SESSION}, left(sha256(system_id || '|' || cast(call_seq as string)), 32)) AS session_id) "
+    f"calls AS (SELECT * REPLACE (coalesce({_MODE_SESSION}, {_OWN_SESSION.format(seq='cast(call_seq as string)')}) AS session_id) "
     f"FROM every_call WHERE ({_MODE}) <> 'stateless')"
 )
 ORACLES["m7_m8_both_modes"] = (
@@ -360,18 +369,11 @@ def rs1_placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _last_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each session's newest epoch, as a store without expiry would hold it."""
-    mapping = mask_sessions(_calls(spark, sf_dir)).mapping
-    newest = mapping.groupBy("system_id", "session_id").agg(F.max("epoch").alias("epoch"))
-    return mapping.join(newest, ["system_id", "session_id", "epoch"])
-
-
 def rs2_restore_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known, unknown and foreign placeholders; some replies name a wrong system."""
     replies = _replies(spark, sf_dir).withColumn(
         "system_id", F.when(F.col("reply_id") % 9 == 0, "sys_other").otherwise(F.col("system_id")))
-    back = restore_sessions(replies, _last_mapping(spark, sf_dir), ["system_id", "session_id", "reply_id"])
+    back = restore_sessions(replies, mask_sessions(_calls(spark, sf_dir)).mapping, ["system_id", "session_id", "reply_id"])
     return back.select("reply_id", "system_id", "restored_text")
 
 
@@ -383,7 +385,7 @@ def rs5_restore_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rs7_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = unresolved(_replies(spark, sf_dir), _last_mapping(spark, sf_dir), ["system_id", "session_id", "reply_id"])
+    missing = unresolved(_replies(spark, sf_dir), mask_sessions(_calls(spark, sf_dir)).mapping, ["system_id", "session_id", "reply_id"])
     return missing.select("reply_id", "placeholder_key")
 
 
@@ -401,12 +403,6 @@ def rs8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REPLIES_CTE = (
     f"replies AS (SELECT *, ts + late * interval 1 second AS reply_ts FROM ({select_sql(_REPLY_COLUMNS, 'events')}))"
 )
-_NEWEST_CTE = (
-    "newest AS (SELECT m.* FROM mapping m JOIN (SELECT system_id, session_id, max(epoch) AS epoch FROM mapping GROUP BY ALL) "
-    "USING (system_id, session_id, epoch))"
-)
-
-
 def _filled_replies(mapping: str, system: str, extra: str = "") -> str:
     """Replies with their two known kinds of placeholder looked up."""
     def look(alias: str, key: str) -> str:
@@ -429,6 +425,13 @@ _LIVE_CTE = (
     "JOIN calls c ON c.system_id = r.system_id AND c.session_id = r.session_id AND c.ts <= r.reply_ts "
     f"AND c.ts > r.reply_ts - interval {TTL} second JOIN ep e ON e.call_seq = c.call_seq) GROUP BY reply_id)"
 )
+# What each reply could see: the entries of its session's live epoch that were met before it.
+_SEEN_CTE = (
+    "seen AS (SELECT m.*, l.reply_id AS seen_by FROM mapping m JOIN replies r ON r.system_id = m.system_id AND "
+    "r.session_id = m.session_id JOIN live l ON l.reply_id = r.reply_id AND l.epoch = m.epoch AND m.first_ts <= r.reply_ts)"
+)
+_SEEN = f"{_ALL_CTES}, {_REPLIES_CTE}, {_LIVE_CTE}, {_SEEN_CTE}"
+_BY_REPLY = "AND {a}.seen_by = r.reply_id"
 QUERIES |= {
     "rs1_placeholder_scan": rs1_placeholder_scan, "rs2_rs3_rs4_restore_sessions": rs2_restore_sessions,
     "rs5_restore_as_of": rs5_restore_as_of, "rs7_unresolved": rs7_unresolved, "rs8_round_trip": rs8_round_trip,
@@ -436,18 +439,14 @@ QUERIES |= {
 ORACLES |= {
     "rs1_placeholder_scan": f"WITH {_REPLIES_CTE} SELECT reply_id, unnest(['PHONE_NUMBER_' || cast(n % 3 as string), "
                             "'EMAIL_' || cast(n as string), 'UNKNOWN_0', 'EMAIL_00']) AS placeholder_key FROM replies",
-    "rs2_rs3_rs4_restore_sessions": f"{_ALL_CTES}, {_NEWEST_CTE}, {_REPLIES_CTE} SELECT reply_id, "
+    "rs2_rs3_rs4_restore_sessions": f"{_SEEN} SELECT reply_id, "
                                     "CASE WHEN reply_id % 9 = 0 THEN 'sys_other' ELSE system_id END AS system_id, "
-                                    f"{_reply_text('got_phone', 'got_mail')} AS restored_text FROM ({_filled_replies('newest', _REPLY_SYSTEM)})",
-    "rs5_restore_as_of": f"{_ALL_CTES}, {_REPLIES_CTE}, {_LIVE_CTE}, seen AS (SELECT m.*, l.reply_id AS seen_by, r.reply_ts FROM mapping m "
-                         "JOIN replies r ON r.system_id = m.system_id AND r.session_id = m.session_id JOIN live l ON l.reply_id = r.reply_id "
-                         "AND l.epoch = m.epoch AND m.first_ts <= r.reply_ts) "
-                         f"SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text FROM "
-                         f"({_filled_replies('seen', 'r.system_id', 'AND {a}.seen_by = r.reply_id')})",
-    "rs7_unresolved": f"{_ALL_CTES}, {_NEWEST_CTE}, {_REPLIES_CTE} SELECT reply_id, placeholder_key FROM (SELECT reply_id, system_id, session_id, "
+                                    f"{_reply_text('got_phone', 'got_mail')} AS restored_text FROM ({_filled_replies('seen', _REPLY_SYSTEM, _BY_REPLY)})",
+    "rs5_restore_as_of": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text FROM "
+                         f"({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
+    "rs7_unresolved": f"{_SEEN} SELECT reply_id, placeholder_key FROM (SELECT reply_id, "
                       "unnest(['PHONE_NUMBER_' || cast(n % 3 as string), 'EMAIL_' || cast(n as string), 'UNKNOWN_0', 'EMAIL_00']) AS placeholder_key "
-                      "FROM replies) p WHERE NOT EXISTS (SELECT 1 FROM newest m WHERE m.system_id = p.system_id AND m.session_id = p.session_id "
-                      "AND m.placeholder_key = p.placeholder_key)",
+                      "FROM replies) p WHERE NOT EXISTS (SELECT 1 FROM seen m WHERE m.seen_by = p.reply_id AND m.placeholder_key = p.placeholder_key)",
     "rs8_round_trip": f"WITH {CALLS_CTE} SELECT system_id, count(*) AS calls, cast(count(*) as bigint) AS same FROM calls GROUP BY system_id",
 }
 

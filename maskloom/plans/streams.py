@@ -12,12 +12,12 @@ from maskloom.operators.mask import mask_sessions
 from maskloom.plans.fixtures import CALL_TEXT, CALLS_CTE, OCCURRENCES_CTE, CALL_COLUMNS, select_df, table
 from maskloom.plans.sessions import (
     _ALL_CTES,
+    _BY_REPLY,
     _MASKED_SQL,
-    _NEWEST_CTE,
     _OWN,
-    _REPLIES_CTE,
     _REPLY_COLUMNS,
     _REPLY_TEXT,
+    _SEEN,
     _calls,
     _filled_replies,
     _reply_text,
@@ -79,11 +79,10 @@ def st2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st3_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
-    mapping = mask_sessions(_calls(spark, sf_dir)).mapping
-    newest = mapping.groupBy("system_id", "session_id").agg(F.max("epoch").alias("epoch"))
-    mapping.join(newest, ["system_id", "session_id", "epoch"]).write.parquet(f"{place}/mapping")
+    mask_sessions(_calls(spark, sf_dir)).mapping.write.parquet(f"{place}/mapping")
     replies = select_df(_event_stream(spark, sf_dir), _REPLY_COLUMNS).selectExpr(
-        "reply_id", "system_id", "session_id", f"{_REPLY_TEXT} AS text")
+        "reply_id", "system_id", "session_id", f"{_REPLY_TEXT} AS text",
+        "cast(ts + late * interval '1' second AS timestamp) AS ts")
     query = jobs.restore_stream(replies, f"{place}/mapping", f"{place}/out", f"{place}/checkpoint",
                                 ["system_id", "session_id", "reply_id"])
     query.awaitTermination()
@@ -118,8 +117,8 @@ QUERIES |= {
 ORACLES |= {
     "st1_stateless": f"WITH {CALLS_CTE} SELECT call_seq, {_OWN} AS masked_text FROM calls",
     "st2_sessions": _MASKED_SQL,
-    "st3_restore": f"{_ALL_CTES}, {_NEWEST_CTE}, {_REPLIES_CTE} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
-                   f"FROM ({_filled_replies('newest', 'r.system_id')})",
+    "st3_restore": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
+                   f"FROM ({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
     "st4_once_per_call": f"WITH {CALLS_CTE} SELECT call_seq, text FROM calls",
     "st5_audit_windows": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, system_id, "
                          "entity_type, count(*) AS n FROM occ GROUP BY ALL",

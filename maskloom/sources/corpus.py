@@ -34,11 +34,13 @@ def as_calls(
     order: str | Column,
     ts: str | Column | None = None,
     mode: str | Column | None = None,
+    call_id: str | Column | None = None,
 ) -> DataFrame:
     """Any table of texts as ``calls``.
 
     ``order`` numbers the calls of a session: unique there and rising with ``ts``.
-    A mode that is not exactly ``stateless`` counts as stateful.
+    A mode that is not exactly ``stateless`` counts as stateful.  ``call_id`` tells
+    calls without a session apart where number, time and text may be equal.
     """
     chosen = _column(df, mode, T.StringType())
     given = {
@@ -46,19 +48,24 @@ def as_calls(
     }
     columns = {f.name: _column(df, given.get(f.name), f.dataType) for f in CALL_SCHEMA}
     columns["mode"] = F.when(chosen == "stateless", "stateless").otherwise("stateful")
-    return df.select(*[columns[f.name].alias(f.name) for f in CALL_SCHEMA])
+    own = [] if call_id is None else [_column(df, call_id, T.StringType()).alias("call_id")]
+    return df.select(*[columns[f.name].alias(f.name) for f in CALL_SCHEMA], *own)
 
 
 def with_session_ids(calls: DataFrame) -> DataFrame:
     """A call without a session opens its own.  The id is a hash, so reruns agree.
 
+    It is made from the call's id where there is one, else from number, time and text,
+    so calls that only share a number stay apart.
     The call key takes part in joins, so none of it may be NULL: a missing system
     becomes the empty one, and a missing call number is an error.
     """
     missing = F.raise_error(F.lit("call_seq must not be NULL")).cast("long")
     calls = calls.withColumns({
         "system_id": F.coalesce("system_id", F.lit("")), "call_seq": F.coalesce("call_seq", missing)})
-    made = F.sha2(F.concat_ws("|", "system_id", F.col("call_seq").cast("string")), 256)
+    content = F.concat_ws("|", F.col("call_seq").cast("string"), F.unix_micros("ts").cast("string"), "text")
+    own = F.coalesce("call_id", content) if "call_id" in calls.columns else content
+    made = F.sha2(F.concat_ws("|", "system_id", own), 256)
     return calls.withColumn("session_id", F.coalesce("session_id", F.left(made, F.lit(32))))
 
 

@@ -126,15 +126,19 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
 
 
 def restore_stream(replies: DataFrame, mapping_path: str, out_path: str, checkpoint: str,
-                   reply_key: list[str], **trigger) -> StreamingQuery:
+                   reply_key: list[str], ttl: int = DEFAULT_TTL_SECONDS, **trigger) -> StreamingQuery:
     """Restore a stream of replies against the mapping as stored at each batch.
 
-    A batch writes its own folder, so one that runs again replaces its output.
+    Each reply takes the epoch that is alive at its ``ts``; expired sessions stay
+    masked.  A batch writes its own folder, so one that runs again replaces its output.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        # Asked, filled and plain replies all come from the batch; it is read from the source once.
+        kept = batch.persist()
         mapping = batch.sparkSession.read.parquet(mapping_path)
-        back = restore_sessions(batch, mapping, reply_key)
+        back = restore_sessions(kept, mapping, reply_key, ttl=ttl)
         back.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        kept.unpersist()
 
     return (
         replies.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.functions import checks
 from maskloom.functions import rulebook as book
 from maskloom.functions.context import boosted
 from maskloom.functions.resolve import resolved
 from maskloom.functions.scan import raw_spans
-from maskloom.functions.text import each, let, when
+from maskloom.functions.text import each, empty, let, quoted, when
 
 
+MODEL_EN, MODEL_ZH = "model_en", "model_zh"
 CONTEXT_MODES = ("all", "overlaps", "none")
 
 
@@ -26,7 +28,10 @@ def spans_sql(
     merge_blanks: bool = True,
     extra: str | None = None,
 ) -> str:
-    """The span expression for a text column.  ``extra`` adds spans found elsewhere.
+    """The span expression for a text column.
+
+    ``extra`` adds names found elsewhere, where PERSON is among the entities and the
+    text is not blank; the form-field rule yields to those of a Chinese model.
 
     ``context`` boosts the score of ``all`` spans, of those that overlap another
     (``overlaps``: enough to decide between them), or of ``none``.
@@ -38,8 +43,9 @@ def spans_sql(
     rules = book.rules_for(entities, profile)
     types = sorted({r.entity_type for r in rules}, key=book.priority_of)
     found = raw_spans(text, rules)
-    if extra is not None:
-        found = f"concat({found}, {extra})"
+    if extra is not None and (entities is None or "PERSON" in entities):
+        names = when(f"{text} IS NULL OR trim({text}) = ''", empty(), extra)
+        found = let(names, lambda e: f"concat({each('filter', found, lambda s: _stands(s, e))}, {e})")
 
     def finish(spans: str) -> str:
         out = boosted(text, spans, types) if context == "all" else spans
@@ -53,6 +59,11 @@ def spans_sql(
     return let(found, lambda s: when(f"size({s}) > 0", finish(s), s))
 
 
+def _stands(s: str, names: str) -> str:
+    same = each("exists", names, lambda m: f"({m}.rule = {quoted(MODEL_ZH)} AND {checks.overlap(s, m)})")
+    return f"NOT ({s}.rule = 'D28' AND {same})"
+
+
 def detect(df: DataFrame, text_col: str = "text", out: str = "spans", **options) -> DataFrame:
     """Add the spans of ``text_col``.  No shuffle.
 

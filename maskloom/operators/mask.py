@@ -74,17 +74,19 @@ def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> Da
 
 
 def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFrame | None = None,
-                  order: str = "right_to_left", **detection) -> Masked:
+                  order: str = "right_to_left", spans: str | None = None, **detection) -> Masked:
     """Stateful masking: one numbering per session, until it expires.
 
-    ``old`` is a stored mapping to continue.  Detected calls are written once to
+    ``old`` is a stored mapping to continue; ``spans`` names a finished span column,
+    such as `detect_with_model` makes.  Detected calls are written once to
     the checkpoint folder: numbering, rewriting and the untouched calls all read
     them, and writing costs far less than detecting again.  So are the numbers,
     which both results need.  A text is shuffled at most once, to meet its own
     call's placeholders; calls without personal data are not shuffled at all.
     """
     calls = with_session_ids(calls)
-    found = cut_lineage(detect(calls, **_lean(detection)))
+    ready = calls.withColumn("spans", F.col(spans)) if spans else detect(calls, **_lean(detection))
+    found = cut_lineage(ready.select(*CALL_KEY, "ts", "text", "spans"))
     ticks = session_ticks(found, ttl, old)
     hits = found.filter(F.size("spans") > 0)
     keyed = with_epoch(hits.select(*CALL_KEY, "ts", "spans"), ticks, ttl)
@@ -101,6 +103,7 @@ def mask_calls(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, store: bool = T
                old: DataFrame | None = None, **detection) -> Masked:
     """Calls of both modes.  Stateless ones lose their session and keep their mapping.
 
+    Options go to `mask_texts` and `mask_sessions`, ``spans`` among them.
     With ``store=False`` there is nowhere to keep a mapping, and a stateful call
     is an error.
     """

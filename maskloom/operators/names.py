@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks
 from maskloom.functions import rulebook as book
-from maskloom.functions.context import boosted
-from maskloom.functions.resolve import resolved
 from maskloom.functions.text import (
     each,
     let,
@@ -21,9 +19,7 @@ from maskloom.functions.text import (
     when,
     without_marks,
 )
-from maskloom.operators.detect import detect, spans_sql
-
-MODEL_EN, MODEL_ZH = "model_en", "model_zh"
+from maskloom.operators.detect import MODEL_EN, MODEL_ZH, detect
 
 
 def rejected_sql(value: str, lang: str) -> dict[str, str]:
@@ -50,31 +46,32 @@ def model_span_rows(df: DataFrame, model_spans: DataFrame, key: str, text_col: s
     return valued.withColumn("rejected_by", F.expr(f"CASE {branches} END"))
 
 
+def _model_names(text: str, spans: str) -> str:
+    """PERSON spans of an array of a model's spans; those outside the text or rejected by a filter go."""
+    def named(s: str) -> str:
+        rule = f"CASE WHEN {s}.lang = 'zh' THEN '{MODEL_ZH}' ELSE '{MODEL_EN}' END"
+        return span(f"{s}.start", f"{s}.end", "'PERSON'", str(book.MODEL_SCORE), rule,
+                    slice_of(text, f"{s}.start", f"{s}.end"))
+
+    inside = each("filter", f"coalesce({spans}, array())",
+                  lambda s: f"{s}.start >= 0 AND {s}.start < {s}.end AND {s}.end <= length({text})")
+    lang = f"CASE WHEN {{s}}.rule = '{MODEL_ZH}' THEN 'zh' ELSE 'en' END"
+
+    def kept(s: str) -> str:
+        return f"NOT ({' OR '.join(rejected_sql(f'{s}.value', lang.format(s=s)).values())})"
+
+    return let(each("transform", inside, named), lambda names: each("filter", names, kept))
+
+
 def detect_with_model(df: DataFrame, model_spans: DataFrame, key: str, text_col: str = "text",
                       out: str = "spans", **options) -> DataFrame:
-    """Detection with model spans joined in.
+    """Detection with model spans ``(key, start, end, lang)`` joined in; takes the options of `detect`.
 
-    The form-field rule yields to a Chinese model span it overlaps.
+    Bare spans are gathered per text, so a text is shuffled once, to meet its own.
     """
-    kept = model_span_rows(df, model_spans, key, text_col).filter(F.col("rejected_by").isNull())
-    entry = F.expr(span("start", "end", "'PERSON'", str(book.MODEL_SCORE),
-                        f"CASE WHEN lang = 'zh' THEN '{MODEL_ZH}' ELSE '{MODEL_EN}' END", "value"))
-    per_text = kept.groupBy(key).agg(F.collect_list(entry).alias("__model"))
+    per_text = model_spans.groupBy(key).agg(F.collect_list(F.struct("start", "end", "lang")).alias("__model"))
     joined = df.join(per_text, key, "left")
-    model = "coalesce(__model, array())"
-    raw = spans_sql(f"`{text_col}`", resolve=False, context="none", **options)
-
-    def yielding(s: str) -> str:
-        def same(m: str) -> str:
-            return f"({m}.rule = '{MODEL_ZH}' AND {checks.overlap(s, m)})"
-
-        return f"NOT ({s}.rule = 'D28' AND {each('exists', model, same)})"
-
-    both = f"concat({each('filter', raw, yielding)}, {model})"
-    types = [t for t in book.ENTITY_ORDER if t != "PERSON"]
-    final = let(both, lambda f: when(
-        f"size({f}) > 0", resolved(f"`{text_col}`", boosted(f"`{text_col}`", f, types)), f))
-    return joined.select("*", F.inline(F.array(F.struct(F.expr(final).alias(out))))).drop("__model")
+    return detect(joined, text_col, out, extra=_model_names(f"`{text_col}`", "__model"), **options).drop("__model")
 
 
 def _gazetteer_pattern() -> str:

@@ -206,6 +206,25 @@ def d31_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("entity_type = 'PERSON'").select("doc_id", "start", "end", "value", score_milli(F.col("score")))
 
 
+def d31_names_by_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model names with entities chosen and with a threshold; what a word before them boosts counts."""
+    docs, spans = _model_tables(spark, sf_dir)
+    phones = docs.selectExpr("doc_id", "text || '. tel 61234567, 61234568' AS text")
+
+    def rows(case: str, **options) -> DataFrame:
+        found = detect_with_model(phones, spans, "doc_id", **options)
+        return span_rows(found, ["doc_id"]).groupBy("doc_id").agg(
+            F.count_if(F.col("entity_type") == "PERSON").alias("names"),
+            F.count_if(F.col("entity_type") == "PHONE_NUMBER").alias("phones")).withColumn("case", F.lit(case))
+
+    return rows("no_names", entities=["PHONE_NUMBER"]).unionByName(rows("sure", entities=["PERSON", "PHONE_NUMBER"], threshold=0.7))
+
+
+QUERIES["d31_names_by_option"] = d31_names_by_option
+ORACLES["d31_names_by_option"] = (
+    "SELECT doc_id, cast(0 as bigint) AS names, cast(2 + (value IN ('6611-1111', '66111111'))::int as bigint) AS phones, 'no_names' AS case "
+    f"FROM ({_MODEL_SQL}) UNION ALL SELECT doc_id, cast((rejected_by = '')::int as bigint), 2, 'sure' FROM ({_MODEL_SQL})"
+)
 QUERIES["d31_model_names"] = d31_model_names
 ORACLES["d31_model_names"] = (
     "SELECT doc_id, cast(3 as int) AS start, cast(3 + length(value) as int) AS \"end\", value, "

@@ -10,6 +10,7 @@ from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.operators.detect import detect
 from maskloom.operators.mapping import forget_sessions, load_mapping, merge_mapping
 from maskloom.operators.mask import mask_calls, mask_sessions, mask_texts
+from maskloom.operators.names import detect_with_model
 from maskloom.operators.restore import (
     placeholder_rows,
     restore_as_of,
@@ -126,6 +127,14 @@ def m5_rewrite_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_sessions(_calls(spark, sf_dir)).texts.select(*CALL_KEY, "masked_text")
 
 
+def m5_model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in which a model's names are masked with everything else."""
+    spans = call_table(spark, sf_dir).filter("has_pii").selectExpr(
+        "call_seq", "0 AS start", "5 + length(kind) AS end", "'en' AS lang")
+    found = detect_with_model(_calls(spark, sf_dir), spans, "call_seq")
+    return mask_sessions(found, spans="spans").texts.select(*CALL_KEY, "masked_text")
+
+
 def m6_mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = mask_texts(_calls(spark, sf_dir))
     return masked.select("call_seq", F.explode_outer("mapping").alias("placeholder_key", "value"))
@@ -170,7 +179,7 @@ _STATELESS_SQL = f"WITH {CALLS_CTE} SELECT call_seq, {{0}} AS masked_text FROM c
 QUERIES |= {
     "m1_numbering_in_text": m1_numbering_in_text, "m2_left_to_right": m2_left_to_right,
     "m3_session_numbering": m3_session_numbering, "m4_incremental": m4_incremental,
-    "m5_rewrite_sessions": m5_rewrite_sessions, "m6_mapping_rows": m6_mapping_rows,
+    "m5_rewrite_sessions": m5_rewrite_sessions, "m5_model_names": m5_model_names, "m6_mapping_rows": m6_mapping_rows,
     "m7_m8_both_modes": m7_m8_both_modes, "m8_own_session": m8_own_session, "m8_repeated_numbers": m8_repeated_numbers,
     "m9_epochs": m9_epochs, "m10_unchanged": m10_unchanged,
 }
@@ -178,7 +187,17 @@ _OWN_ROWS = (
     f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, own AS (SELECT call_seq, entity_type, value, cast(row_number() OVER "
     "(PARTITION BY call_seq, entity_type ORDER BY pos DESC) - 1 as int) AS idx FROM occ)"
 )
+_NAMED = (
+    f"WITH {CALLS_CTE}, "
+    + OCCURRENCES_CTE.replace("occ AS (", "occ AS (SELECT system_id, session_id, call_seq, ts, 'PERSON' AS entity_type, "
+                              "'Case ' || kind AS value, 0 AS pos FROM calls WHERE has_pii UNION ALL ", 1)
+    + f", {_EPOCH_CTE}, {_MAP_CTE}"
+)
 ORACLES |= {
+    "m5_model_names": f"{_NAMED}, k AS ({_keyed_calls(f'system_id, session_id, call_seq, epoch, kind, has_pii, {_MASKED} AS t')}) "
+                      "SELECT k.system_id, k.session_id, call_seq, CASE WHEN has_pii THEN replace(t, 'Case ' || kind || ':', "
+                      "'{{' || m.placeholder_key || '}}:') ELSE t END AS masked_text FROM k LEFT JOIN mapping m ON m.system_id = k.system_id "
+                      "AND m.session_id = k.session_id AND m.epoch = k.epoch AND m.entity_type = 'PERSON' AND m.value = 'Case ' || kind",
     "m1_numbering_in_text": f"{_OWN_ROWS} SELECT call_seq, entity_type, idx, entity_type || '_' || cast(idx as string) "
                             "AS placeholder_key, value FROM own",
     "m2_left_to_right": _STATELESS_SQL.format(_OWN_LEFT),

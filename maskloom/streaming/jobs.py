@@ -98,8 +98,8 @@ class SessionNumbers(StatefulProcessor):
 
 
 def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay: str = "10 minutes",
-                        **options) -> DataFrame:
-    """Stateful masking of a stream of calls.
+                        spans: str | None = None, **options) -> DataFrame:
+    """Stateful masking of a stream of calls.  ``spans`` names a finished span column.
 
     Detection and rewriting stay in the JVM; the stateful step only hands out
     numbers.  Rows carry ``masked_text`` and ``found``, whose entries marked
@@ -108,9 +108,10 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
     numbered_keys = (
         f"array_distinct({each('transform', 'reverse(spans)', value_key)})"
     )
+    known = with_session_ids(calls)
+    found = known.withColumn("spans", F.col(spans)) if spans else detect(known, **{"context": "overlaps", **options})
     ready = (
-        detect(with_session_ids(calls), **{"context": "overlaps", **options})
-        .withWatermark("ts", delay)
+        found.withWatermark("ts", delay)
         .select(*CALL_KEY, "ts", F.unix_micros("ts").alias("ts_us"), "text", "spans",
                 F.expr(numbered_keys).alias("found_keys"))
     )

@@ -55,13 +55,23 @@ def case_results(expected: DataFrame, predicted: DataFrame, case: str, keys: lis
     return both.groupBy(case).agg(F.bool_and(agree).alias("passed"))
 
 
-def leaks(masked: DataFrame, occurrences: DataFrame, call_key: list[str]) -> DataFrame:
-    """Values still readable in the masked text of their own call."""
-    values = occurrences.select(*call_key, "entity_type", "value").distinct()
-    return (
-        masked.join(values, call_key).filter(F.contains("masked_text", F.col("value")))
-        .select(*call_key, "entity_type")
-    )
+# ASCII words and numbers, or single other characters: a value glued to other text is still cut out.
+_TOKEN = "[A-Za-z0-9]+|[^A-Za-z0-9\\\\s]"
+
+
+def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str]) -> DataFrame:
+    """Values of a session, whichever of its calls they came from, still readable in one of its masked texts.
+
+    A text meets only values whose longest token it holds (an equi join), never all of
+    its session's values.  One row per call, type and value; the value itself is left out.
+    """
+    values = mapping.select(*SESSION, "entity_type", "value").distinct().withColumn(
+        "token", F.expr(f"array_sort(regexp_extract_all(value, '{_TOKEN}', 0), "
+                        "(a, b) -> coalesce(nullif(length(b) - length(a), 0), CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END))[0]"))
+    tokens = masked.select(*call_key, F.explode(F.expr(
+        f"array_distinct(regexp_extract_all(masked_text, '{_TOKEN}', 0))")).alias("token"))
+    met = tokens.join(values, [*SESSION, "token"]).select(*call_key, "entity_type", "value")
+    return masked.join(met, call_key).filter(F.contains("masked_text", F.col("value"))).select(*call_key, "entity_type")
 
 
 def top_values(spans: DataFrame, k: int) -> DataFrame:
@@ -75,11 +85,12 @@ def top_values(spans: DataFrame, k: int) -> DataFrame:
     return hashed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def rule_profile(stages: dict[str, DataFrame]) -> DataFrame:
-    """Hits and share per rule and stage; ``stages`` maps a name to span rows."""
-    rows = None
-    for name, spans in stages.items():
-        part = spans.groupBy("rule").agg(F.count("*").alias("hits")).withColumn("stage", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
+def rule_profile(spans: DataFrame, stages: dict[str, float]) -> DataFrame:
+    """Hits and share per rule and stage; a stage keeps the spans with at least its score.
+
+    The spans are read once: a span counts in each stage that keeps it.
+    """
+    kept = F.array_compact(F.array(*[F.when(F.col("score") >= least, name) for name, least in stages.items()]))
+    rows = spans.select("rule", F.explode(kept).alias("stage")).groupBy("rule", "stage").agg(F.count("*").alias("hits"))
     total = W.partitionBy("stage")
     return rows.withColumn("share", F.round(F.col("hits") / F.sum("hits").over(total), 4))

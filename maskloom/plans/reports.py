@@ -9,8 +9,7 @@ from maskloom.functions.rulebook import ENTITY_ORDER
 from maskloom.operators import reports
 from maskloom.operators.detect import detect, span_rows
 from maskloom.operators.mask import mask_sessions
-from maskloom.operators.sessions import session_ticks, with_epoch
-from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, digits, pick, select_df, select_sql, texts
+from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, call_table, digits, pick, select_df, select_sql, texts
 from maskloom.plans.sessions import _calls
 from maskloom.sources.corpus import CALL_KEY
 
@@ -105,15 +104,18 @@ ORACLES |= {
 
 
 def a4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values left in masked texts per system, and the same check on the source texts."""
+    """Values readable in masked texts, some of which were left in on purpose, and in the source texts."""
     calls = _calls(spark, sf_dir)
-    hits = with_epoch(detect(calls), session_ticks(calls))
-    values = hits.select(*CALL_KEY, F.inline("spans"))
-    masked = mask_sessions(calls).texts
-    kept = reports.leaks(masked, values, CALL_KEY).groupBy("system_id").agg(F.count("*").alias("in_masked"))
-    plain = calls.withColumnRenamed("text", "masked_text")
-    source = reports.leaks(plain, values, CALL_KEY).groupBy("system_id").agg(F.count("*").alias("in_source"))
-    return source.join(kept, "system_id", "left").select(
+    done = mask_sessions(calls)
+    left_in = call_table(spark, sf_dir).filter("has_pii AND kind = 'error'").select("call_seq", "phone")
+    masked = done.texts.join(left_in, "call_seq", "left").withColumn(
+        "masked_text", F.concat_ws("", "masked_text", F.concat(F.lit(" again:"), "phone")))
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        return reports.leaks(texts, done.mapping, CALL_KEY).groupBy("system_id").agg(F.count("*").alias(name))
+
+    source = counted(calls.withColumnRenamed("text", "masked_text"), "in_source")
+    return source.join(counted(masked, "in_masked"), "system_id", "left").select(
         "system_id", "in_source", F.coalesce("in_masked", F.lit(0)).cast("long").alias("in_masked"))
 
 
@@ -123,10 +125,8 @@ def a5_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a6_rule_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rows(threshold: float) -> DataFrame:
-        return span_rows(_found(spark, sf_dir, context="none", threshold=threshold), ["call_seq"])
-
-    return reports.rule_profile({"all": rows(0.0), "kept": rows(0.5)})
+    spans = span_rows(_found(spark, sf_dir, context="none"), ["call_seq"])
+    return reports.rule_profile(spans, {"all": 0.0, "kept": 0.5})
 
 
 QUERIES |= {"a4_leaks": a4_leaks, "a5_top_values": a5_top_values, "a6_rule_profile": a6_rule_profile}
@@ -135,8 +135,9 @@ _RULES_CTE = (
     "ELSE 'D07' END AS rule, count(*) AS hits FROM occ GROUP BY 1)"
 )
 ORACLES |= {
-    "a4_leaks": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT system_id, count(*) AS in_source, cast(0 as bigint) AS in_masked FROM "
-                "(SELECT DISTINCT system_id, session_id, call_seq, entity_type, value FROM occ) GROUP BY system_id",
+    "a4_leaks": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT system_id, count(*) AS in_source, "
+                "(SELECT count(*) FROM calls c WHERE c.system_id = o.system_id AND has_pii AND kind = 'error') AS in_masked FROM "
+                "(SELECT DISTINCT system_id, session_id, call_seq, entity_type, value FROM occ) o GROUP BY system_id",
     "a5_top_values": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, c AS (SELECT system_id, entity_type, sha256(value) AS value_hash, count(*) AS n "
                      "FROM occ GROUP BY ALL) SELECT system_id, entity_type, value_hash, n, cast(place as int) AS place FROM (SELECT *, row_number() OVER "
                      "(PARTITION BY system_id ORDER BY n DESC, entity_type, value_hash) AS place FROM c) WHERE place <= 5",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions.numbering import entries
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.operators.detect import detect
-from maskloom.operators.mapping import forget_sessions, load_mapping, merge_mapping
+from maskloom.operators.mapping import forget_sessions, load_mapping, merge_mapping, purge_expired
 from maskloom.operators.mask import mask_calls, mask_sessions, mask_texts
 from maskloom.operators.names import detect_with_model
 from maskloom.operators.restore import (
@@ -32,7 +34,8 @@ from maskloom.plans.fixtures import (
     text_of,
     texts,
 )
-from maskloom.sources.corpus import CALL_KEY, as_calls
+from maskloom.session import shared_dir
+from maskloom.sources.corpus import CALL_KEY, as_calls, write_masked
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -333,6 +336,21 @@ def snk2_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forget_sessions(mapping, gone).select("system_id", "session_id", "placeholder_key", "value")
 
 
+def snk3_write_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked texts and mapping as their folders hold them."""
+    done = mask_sessions(_calls(spark, sf_dir))
+    place = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    write_masked(done.texts, done.mapping, f"{place}/texts", f"{place}/mapping")
+    texts = spark.read.parquet(f"{place}/texts").selectExpr("'text' AS part", "system_id", "session_id", "masked_text AS content")
+    return texts.unionByName(spark.read.parquet(f"{place}/mapping").selectExpr(
+        "'mapping' AS part", "system_id", "session_id", "placeholder_key || '=' || value AS content"))
+
+
+def snk3_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = purge_expired(mask_sessions(_calls(spark, sf_dir)).mapping, _AT)
+    return mapping.select("system_id", "session_id", "epoch", "placeholder_key", "value")
+
+
 def _save_sql(parity: int, value: str) -> str:
     return (
         "SELECT system_id, session_id, 'PHONE_NUMBER_' || cast(call_seq % 5 as string) AS placeholder_key, "
@@ -341,7 +359,8 @@ def _save_sql(parity: int, value: str) -> str:
     )
 
 
-QUERIES |= {"src2_load": src2_load, "snk1_merge": snk1_merge, "snk2_forget": snk2_forget}
+QUERIES |= {"src2_load": src2_load, "snk1_merge": snk1_merge, "snk2_forget": snk2_forget,
+            "snk3_write_masked": snk3_write_masked, "snk3_purge": snk3_purge}
 ORACLES |= {
     "src2_load": _ALL_CTES.replace("calls AS (", "calls AS (SELECT * FROM (", 1).replace(
         "FROM events))", f"FROM events)) WHERE ts <= timestamp '{_AT}')", 1)
@@ -350,6 +369,13 @@ ORACLES |= {
                    f"GROUP BY system_id, session_id HAVING count(*) % 2 = 0) SELECT system_id, session_id, placeholder_key, value FROM ({_save_sql(0, 'phone')}) a "
                    "WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.system_id = a.system_id AND g.session_id = a.session_id)",
 }
+ORACLES |= {
+    "snk3_write_masked": f"{_ALL_CTES}, t AS ({_keyed_calls(f'system_id, session_id, {_MASKED} AS content')}) "
+                         "SELECT 'text' AS part, system_id, session_id, content FROM t UNION ALL "
+                         "SELECT 'mapping', system_id, session_id, placeholder_key || '=' || value FROM mapping",
+    "snk3_purge": f"{_ALL_CTES} SELECT system_id, session_id, epoch, placeholder_key, value FROM mapping "
+                  f"WHERE saved_ts > timestamp '{_AT}' - interval {TTL} second",
+}
 # max() over the window must see both saves, so it is taken before the ranking.
 ORACLES["snk1_merge"] = (
     f"WITH {CALLS_CTE}, a AS ({_save_sql(0, 'phone')}), b AS ({_save_sql(1, 'mail_a')}), "

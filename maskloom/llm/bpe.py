@@ -29,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from maskloom.llm.common import arrow_map, slices
 from maskloom.session import shared_dir
@@ -36,7 +37,7 @@ from maskloom.session import shared_dir
 #: Fixed value: the word pattern of this family of tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text in one block, about.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Parts that the distinct words are dealt into, for each shuffle partition.
 PARTS_EACH = 2
 _CACHED_WORDS = 1_000_000
@@ -262,10 +263,14 @@ def _encoded_words(words: DataFrame, model) -> DataFrame:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
-           parts: int | None = None) -> DataFrame:
-    """``key`` and ``ids`` (little-endian unsigned 32-bit integers) of every row."""
+           parts: int | None = None, decoded: bool = False) -> DataFrame:
+    """``key`` and ``ids`` (little-endian unsigned 32-bit integers) of every row.
+
+    With ``decoded`` the text of the ids too, by the join of `decode`, in the same pass.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(load(path))
+    table = spark.sparkContext.broadcast(pieces(model.value)) if decoded else None
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _bucketed(_to_blocks(docs, key, text, model, parts or max(64, PARTS_EACH * tasks)), tasks)
     words = blocks.where("part >= 0").select("block", "part", "numbers", "words").repartition("part")
@@ -298,11 +303,20 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 out.append(flat[place].astype("<u4").tobytes())
                 weight += len(out[-1])
                 if weight > 4_000_000 or i == len(sizes) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(first, len(out)), pa.array(out, pa.binary())], names=[key, "ids"])
+                    columns = [keys.slice(first, len(out)), pa.array(out, pa.binary())]
+                    if table is not None:
+                        columns.append(pa.array([_text_of(b, table.value) for b in out], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"][: len(columns)])
                     first, out, weight = i + 1, [], 0
 
-    return joined.mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return joined.mapInArrow(run, f"`{key}` {kind}, ids binary" + (", decoded string" if decoded else ""))
+
+
+def _text_of(ids: bytes | None, table: list[bytes]) -> str | None:
+    """Join of ids with the table of pieces; what is no UTF-8 becomes the replacement character."""
+    if ids is None:
+        return None
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -314,19 +328,14 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     at, names = encoded.columns.index(ids), encoded.columns
 
     def run(batches):
-        piece = table.value.__getitem__
         for batch in slices(batches, 64):
-            texts = [None if body is None else
-                     b"".join(map(piece, np.frombuffer(body, "<u4").tolist())).decode("utf-8", "replace")
-                     for body in batch.column(at).to_pylist()]
+            texts = [_text_of(body, table.value) for body in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -28,28 +28,29 @@ def _terms(entity: str) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def _last_words(text: str, start: str, reaches: tuple[int, ...] = _REACHES) -> str:
+def _last_words(text: str, start: str) -> str:
     """The words that count just before ``start``, joined by line breaks."""
-    def look(before: str, complete: str, further: str | None) -> str:
-        # The first word of a part may be the end of a longer one.
-        whole_words = when(complete, before, f"regexp_replace({before}, {quoted('^' + _WORD + '+')}, '')")
-        words = each("filter", f"regexp_extract_all({whole_words}, {quoted(_WORD + '+')}, 0)",
-                     lambda w: f"NOT array_contains({strings(_SKIP)}, {w})")
-        count = when(f"rlike({before}, {quoted(_WORD + '$')})",
-                     str(book.CONTEXT_TOKENS + 1), str(book.CONTEXT_TOKENS))
-
-        def enough(w: str) -> str:
-            last = f"array_join(slice({w}, greatest(size({w}) - {count} + 1, 1), {count}), '\\n')"
-            return last if further is None else when(f"{complete} OR size({w}) >= {count}", last, further)
-
-        return let(words, enough)
-
-    if not reaches:
-        return let(f"lower(substring({text}, 1, {start}))", lambda before: look(before, "true", None))
-    reach = reaches[0]
-    part = f"lower(substring({text}, greatest({start} - {reach} + 1, 1), least({start}, {reach})))"
-    further = _last_words(text, start, reaches[1:])
-    return let(part, lambda before: look(before, f"{start} <= {reach}", further))
+    def found_within(reach: int | None) -> str:
+        part, complete = f"substring({text}, 1, {start})", "true"
+        if reach is not None:
+            part = f"substring({text}, greatest({start} - {reach} + 1, 1), least({start}, {reach}))"
+            complete = f"{start} <= {reach}"
+
+        def look(before: str) -> str:
+            # The first word of a part may be the end of a longer one.
+            whole_words = when(complete, before, f"regexp_replace({before}, {quoted('^' + _WORD + '+')}, '')")
+            words = each("filter", f"regexp_extract_all({whole_words}, {quoted(_WORD + '+')}, 0)",
+                         lambda w: f"NOT array_contains({strings(_SKIP)}, {w})")
+            count = when(f"rlike({before}, {quoted(_WORD + '$')})",
+                         str(book.CONTEXT_TOKENS + 1), str(book.CONTEXT_TOKENS))
+            return let(words, lambda w: (
+                f"CASE WHEN {complete} OR size({w}) >= {count} THEN "
+                f"array_join(slice({w}, greatest(size({w}) - {count} + 1, 1), {count}), '\\n') END"))
+
+        return let(f"lower({part})", look)
+
+    # The next is only evaluated where the one before has found too few words.
+    return f"coalesce({', '.join(found_within(r) for r in (*_REACHES, None))})"
 
 
 def near_context(text: str, start: str, entity: str, entities: list[str]) -> str:

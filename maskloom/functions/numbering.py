@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from maskloom.functions.text import each, let, quoted, splice, when
+from collections.abc import Callable
+
+from maskloom.functions.text import each, let, quoted, splice, when, with_lookup
 
 ENTRY_TYPE = "array<struct<entity_type:string,idx:int,placeholder_key:string,value:string>>"
 PLACEHOLDER = r"\{\{([A-Z_]+)_([0-9]+)\}\}"
@@ -43,12 +45,11 @@ def entries(spans: str, order: str = "right_to_left") -> str:
 def rewritten(text: str, spans: str, found: str) -> str:
     """The text with every span replaced by its entry's placeholder."""
     pairs = each("transform", found, lambda e: (
-        f"struct(concat({e}.entity_type, '\\n', {e}.value), "
-        f"concat('{{{{', {e}.placeholder_key, '}}}}'))"))
+        f"named_struct('k', concat({e}.entity_type, '\\n', {e}.value), "
+        f"'v', concat('{{{{', {e}.placeholder_key, '}}}}'))"))
     return when(
         f"size({spans}) > 0",
-        let(f"map_from_entries({pairs})",
-            lambda m: splice(text, spans, lambda s: f"element_at({m}, {value_key(s)})")),
+        with_lookup(pairs, lambda get: splice(text, spans, lambda s: get(value_key(s)))),
         text,
     )
 
@@ -68,11 +69,14 @@ def placeholders_in(text: str) -> str:
 
 def restored(text: str, mapping: str) -> str:
     """Known placeholders give way to their values, in one pass; others stay."""
-    def fill(pieces: str, keys: str) -> str:
-        value = f"coalesce(element_at({mapping}, substring(get({keys}, i), 3, length(get({keys}, i)) - 4)), get({keys}, i), '')"
+    def fill(pieces: str, keys: str, known: Callable[[str], str]) -> str:
+        key = f"get({keys}, i)"
+        value = f"coalesce({known(f'substring({key}, 3, length({key}) - 4)')}, {key}, '')"
         return f"array_join(transform({pieces}, (p, i) -> concat(p, {value})), '')"
 
     pattern = quoted(PLACEHOLDER)
+    pairs = each("transform", f"map_entries({mapping})", lambda e: f"named_struct('k', {e}.key, 'v', {e}.value)")
     done = let(f"split({text}, {pattern})", lambda pieces: let(
-        f"regexp_extract_all({text}, {pattern}, 0)", lambda keys: fill(pieces, keys)))
+        f"regexp_extract_all({text}, {pattern}, 0)", lambda keys: with_lookup(
+            pairs, lambda known: fill(pieces, keys, known))))
     return when(f"{mapping} IS NOT NULL AND contains({text}, '{{{{')", done, text)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, empty, let, per_island, slice_of, span, strings, when
+from maskloom.functions.text import each, empty, gaps, let, per_island, runs, slice_of, span, strings, when
 
 
 def without_contained(run: str) -> str:
@@ -76,17 +76,28 @@ def clipped(text: str, run: str) -> str:
 
 def merged_across_blanks(text: str, spans: str) -> str:
     """R6: neighbours of one type with only spaces between become one span."""
-    last = "element_at(acc, -1)"
-    gap = slice_of(text, f"{last}.end", "s.start")
-    joined = span(f"{last}.start", "s.end", "s.entity_type", "s.score", "s.rule",
-                  slice_of(text, f"{last}.start", "s.end"))
-    near = (
-        f"size(acc) > 0 AND {last}.entity_type = s.entity_type AND s.start > {last}.end "
-        f"AND rlike({gap}, '^ +$')"
-    )
-    step = when(near, f"concat(slice(acc, 1, size(acc) - 1), array({joined}))", "concat(acc, array(s))")
-    return let(spans, lambda items: when(
-        f"size({items}) > 1", f"aggregate(array_sort({items}), {empty()}, (acc, s) -> {step})", items))
+    def merge(items: str) -> str:
+        def joined(between: str) -> str:
+            def begins(i: str) -> str:
+                return (
+                    f"NOT ({items}[{i}].entity_type = {items}[{i} - 1].entity_type AND {items}[{i}].start > {items}[{i} - 1].end "
+                    f"AND rlike({between}[{i}], '^ +$'))"
+                )
+
+            def union(first: str, last: str) -> str:
+                values = each("transform", f"sequence({first}, {last})", lambda k: (
+                    f"concat(CASE WHEN {k} = {first} THEN '' ELSE {between}[{k}] END, {items}[{k}].value)"))
+                best = f"array_max(transform(slice({items}, {first} + 1, {last} - {first} + 1), s -> s.score))"
+                whole = span(f"{items}[{first}].start", f"{items}[{last}].end", f"{items}[{first}].entity_type", best,
+                             f"{items}[{first}].rule", f"array_join({values}, '')")
+                return when(f"{first} = {last}", f"{items}[{first}]", whole)
+
+            return runs(items, begins, union)
+
+        return let(gaps(text, items), joined)
+
+    return let(spans, lambda given: when(
+        f"size({given}) > 1", let(f"array_sort({given})", merge), given))
 
 
 def resolved(text: str, spans: str, merge_blanks: bool = True,

@@ -124,35 +124,95 @@ def marked_values(text: str) -> str:
     return let(f"split({text}, {quoted(MARK)})", read)
 
 
+def gaps(text: str, spans: str) -> str:
+    """The text before each (sorted, disjoint) span, back to the one before.
+
+    Block by block: a substring is read from the start of the block's text, not of
+    the whole, so many spans in a long text stay cheap.
+    """
+    def block_at(items: str, i: str) -> str:
+        base = f"coalesce(get({items}, {i} - 2).end, 0)"
+        block = f"slice({items}, {i}, {_BLOCK})"
+
+        def cut(b: str) -> str:
+            head = f"named_struct('base', {b}.base, 'text', substring({text}, {b}.base + 1, element_at({b}.block, -1).end - {b}.base))"
+
+            def inside(h: str) -> str:
+                x, j = f"x{next(_names)}", f"j{next(_names)}"
+                prev = f"coalesce(get({b}.block, {j} - 1).end, {b}.base)"
+                return f"transform({b}.block, ({x}, {j}) -> substring({h}.text, {prev} - {h}.base + 1, {x}.start - {prev}))"
+
+            return let(head, inside)
+
+        return let(f"named_struct('base', {base}, 'block', {block})", cut)
+
+    return let(spans, lambda items: "flatten(" + each(
+        "transform", f"sequence(1, size({items}), {_BLOCK})", lambda i: block_at(items, i)) + ")")
+
+
 def splice(text: str, spans: str, replacement: Callable[[str], str]) -> str:
     """``text`` with every (sorted, disjoint) span replaced."""
     def edit(items: str) -> str:
-        x, i = f"x{next(_names)}", f"i{next(_names)}"
-        prev = f"coalesce(get({items}, {i} - 1).end, 0)"
-        pieces = (
-            f"transform({items}, ({x}, {i}) -> concat({slice_of(text, prev, f'{x}.start')}, "
-            f"{replacement(x)}))"
-        )
+        x, g = f"x{next(_names)}", f"g{next(_names)}"
+        pieces = f"zip_with({gaps(text, items)}, {items}, ({g}, {x}) -> concat({g}, {replacement(x)}))"
         tail = f"substring({text}, element_at({items}, -1).end + 1)"
         return when(f"size({items}) > 0", f"concat(array_join({pieces}, ''), {tail})", text)
 
     return let(spans, edit)
 
 
+def with_lookup(pairs: str, body: Callable[[Callable[[str], str]], str]) -> str:
+    """``body(get)`` where ``get(key)`` reads the (key ``k``, value ``v``) ``pairs``; NULL for other keys.
+
+    A map is searched entry by entry, so many entries are dealt into small maps by hash.
+    """
+    def tables(given: str) -> str:
+        many = f"CASE WHEN size({given}) <= {_BLOCK} THEN 1 ELSE {_BLOCK} END"
+        own = each("transform", f"sequence(0, {many} - 1)", lambda n: "map_from_entries(" + each(
+            "filter", given, lambda p: f"pmod(hash({p}.k), {many}) = {n}") + ")")
+        return let(own, lambda t: body(lambda key: f"element_at(get({t}, pmod(hash({key}), size({t}))), {key})"))
+
+    return let(pairs, tables)
+
+
+def running_reach(spans: str) -> str:
+    """Furthest end of each span and all before it."""
+    def run(block: str, base: str) -> str:
+        return (
+            f"aggregate({block}, named_struct('out', CAST(array() AS array<int>), 'reach', {base}), "
+            "(a, s) -> named_struct('out', concat(a.out, array(greatest(a.reach, s.end))), 'reach', greatest(a.reach, s.end)), "
+            "a -> a.out)"
+        )
+
+    def many(items: str) -> str:
+        blocks = each("transform", f"sequence(1, size({items}), {_BLOCK})", lambda i: f"slice({items}, {i}, {_BLOCK})")
+        bases = (
+            "aggregate({b}, array(0), (acc, block) -> concat(acc, array(greatest(element_at(acc, -1), "
+            "array_max(transform(block, s -> s.end))))))"
+        )
+        return let(blocks, lambda b: f"flatten(zip_with({b}, slice({bases.format(b=b)}, 1, size({b})), "
+                                     f"(block, base) -> {run('block', 'base')}))")
+
+    return let(spans, lambda items: when(f"size({items}) <= {_BLOCK}", run(items, "0"), many(items)))
+
+
+def runs(items: str, begins: Callable[[str], str], body: Callable[[str, str], str]) -> str:
+    """``body(first, last)`` for each run of ``items``; ``begins(i)`` tells where one begins, besides at 0."""
+    def cut(starts: str) -> str:
+        st, j = f"x{next(_names)}", f"j{next(_names)}"
+        return f"transform({starts}, ({st}, {j}) -> {body(st, f'(coalesce(get({starts}, {j} + 1), size({items})) - 1)')})"
+
+    return let(each("filter", f"sequence(0, size({items}) - 1)", lambda i: f"{i} = 0 OR {begins(i)}"), cut)
+
+
 def islands(spans: str) -> str:
     """Sorted spans cut into runs that overlap; spans of two runs never do."""
-    start = f"named_struct('done', {empty(f'array<{SPAN_TYPE}>')}, 'open', {empty()}, 'reach', -1)"
-    step = when(
-        "s.start < a.reach",
-        "named_struct('done', a.done, 'open', concat(a.open, array(s)), "
-        "'reach', greatest(a.reach, s.end))",
-        "named_struct('done', concat(a.done, array(a.open)), 'open', array(s), 'reach', s.end)",
-    )
-    cut = (
-        f"aggregate(array_sort({spans}), {start}, (a, s) -> {step}, "
-        "a -> concat(a.done, array(a.open)))"
-    )
-    return each("filter", cut, lambda run: f"size({run}) > 0")
+    def cut(items: str) -> str:
+        return let(running_reach(items), lambda reach: runs(
+            items, lambda i: f"{items}[{i}].start >= {reach}[{i} - 1]",
+            lambda first, last: f"slice({items}, {first} + 1, {last} - {first} + 1)"))
+
+    return let(f"array_sort({spans})", cut)
 
 
 def per_island(spans: str, body: Callable[[str], str]) -> str:

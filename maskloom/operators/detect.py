@@ -17,21 +17,23 @@ MODEL_EN, MODEL_ZH = "model_en", "model_zh"
 CONTEXT_MODES = ("all", "overlaps", "none")
 
 
-def spans_sql(
-    text: str,
-    entities: list[str] | None = None,
-    profile: str = "default",
-    *,
-    context: str = "all",
-    threshold: float = 0.0,
-    resolve: bool = True,
-    merge_blanks: bool = True,
-    extra: str | None = None,
-) -> str:
-    """The span expression for a text column.
+def found_sql(text: str, entities: list[str] | None = None, profile: str = "default",
+              extra: str | None = None) -> str:
+    """Every match of the rules in a text.
 
     ``extra`` adds names found elsewhere, where PERSON is among the entities and the
     text is not blank; the form-field rule yields to those of a Chinese model.
+    """
+    found = raw_spans(text, book.rules_for(entities, profile))
+    if extra is not None and (entities is None or "PERSON" in entities):
+        names = when(f"{text} IS NULL OR trim({text}) = ''", empty(), extra)
+        found = let(names, lambda e: f"concat({each('filter', found, lambda s: _stands(s, e))}, {e})")
+    return found
+
+
+def finished_sql(text: str, spans: str, entities: list[str] | None = None, profile: str = "default", *,
+                 context: str = "all", threshold: float = 0.0, resolve: bool = True, merge_blanks: bool = True) -> str:
+    """Found spans with their scores raised, weak ones dropped and overlaps resolved.
 
     ``context`` boosts the score of ``all`` spans, of those that overlap another
     (``overlaps``: enough to decide between them), or of ``none``.
@@ -40,23 +42,16 @@ def spans_sql(
         raise ValueError(f"context must be one of {CONTEXT_MODES}")
     if threshold > 0 and context == "overlaps":
         context = "all"
-    rules = book.rules_for(entities, profile)
-    types = sorted({r.entity_type for r in rules}, key=book.priority_of)
-    found = raw_spans(text, rules)
-    if extra is not None and (entities is None or "PERSON" in entities):
-        names = when(f"{text} IS NULL OR trim({text}) = ''", empty(), extra)
-        found = let(names, lambda e: f"concat({each('filter', found, lambda s: _stands(s, e))}, {e})")
-
-    def finish(spans: str) -> str:
-        out = boosted(text, spans, types) if context == "all" else spans
-        if threshold > 0:
-            out = each("filter", out, lambda s: f"{s}.score >= {threshold}D")
-        if not resolve:
-            return f"array_sort({out})"
+    types = sorted({r.entity_type for r in book.rules_for(entities, profile)}, key=book.priority_of)
+    out = boosted(text, spans, types) if context == "all" else spans
+    if threshold > 0:
+        out = each("filter", out, lambda s: f"{s}.score >= {threshold}D")
+    if resolve:
         rescore = (lambda run: boosted(text, run, types)) if context == "overlaps" else None
-        return resolved(text, out, merge_blanks, rescore)
-
-    return let(found, lambda s: when(f"size({s}) > 0", finish(s), s))
+        out = resolved(text, out, merge_blanks, rescore)
+    else:
+        out = f"array_sort({out})"
+    return when(f"size({spans}) > 0", out, spans)
 
 
 def _stands(s: str, names: str) -> str:
@@ -64,14 +59,19 @@ def _stands(s: str, names: str) -> str:
     return f"NOT ({s}.rule = 'D28' AND {same})"
 
 
-def detect(df: DataFrame, text_col: str = "text", out: str = "spans", **options) -> DataFrame:
-    """Add the spans of ``text_col``.  No shuffle.
+def detect(df: DataFrame, text_col: str = "text", out: str = "spans", entities: list[str] | None = None,
+           profile: str = "default", extra: str | None = None, **options) -> DataFrame:
+    """Add the spans of ``text_col``; options go to `finished_sql`.  No shuffle.
 
-    The expression sits inside a one-row generator, so later filters on the
-    spans read the finished column instead of repeating the detection.
+    Each expression sits inside a one-row generator, so later filters on the spans
+    read the finished column instead of repeating the detection.  There are two,
+    because the analyzer resolves nested functions a level at a time, up to a limit.
     """
-    expr = F.expr(spans_sql(f"`{text_col}`", **options)).alias(out)
-    return df.select("*", F.inline(F.array(F.struct(expr))))
+    text = f"`{text_col}`"
+    found = F.expr(found_sql(text, entities, profile, extra)).alias("__found")
+    rows = df.select("*", F.inline(F.array(F.struct(found))))
+    done = F.expr(finished_sql(text, "__found", entities, profile, **options)).alias(out)
+    return rows.select("*", F.inline(F.array(F.struct(done)))).drop("__found")
 
 
 def span_rows(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:

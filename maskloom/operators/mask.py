@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.numbering import entries, mapping_of, rewritten, value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
-from maskloom.functions.text import splice
+from maskloom.functions.text import splice, with_lookup
 from maskloom.operators.detect import detect
 from maskloom.operators.numbering import (
     MAPPING_COLUMNS,
@@ -67,9 +67,9 @@ def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> Da
     per_call = (
         values.join(known, [*VALUE_GROUP, "value"])
         .groupBy(*CALL_KEY)
-        .agg(F.map_from_entries(F.collect_set(F.struct("k", placeholder.alias("p")))).alias("places"))
+        .agg(F.collect_set(F.struct("k", placeholder.alias("v"))).alias("places"))
     )
-    put = splice("text", "spans", lambda s: f"element_at(places, {value_key(s)})")
+    put = with_lookup("places", lambda get: splice("text", "spans", lambda s: get(value_key(s))))
     return hits.join(per_call, CALL_KEY).withColumn("masked_text", F.expr(put)).drop("places")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.operators.detect import detect
 from maskloom.operators.mask import mask_sessions
+from maskloom.operators.restore import restore_sessions
 from maskloom.plans.fixtures import CALL_TEXT, CALLS_CTE, OCCURRENCES_CTE, CALL_COLUMNS, select_df, table
 from maskloom.plans.sessions import (
     _ALL_CTES,
@@ -77,6 +78,20 @@ def st2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(*CALL_KEY, "masked_text")
 
 
+def st2_job_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful job's two folders: its texts restored from the mapping it stored."""
+    place, provider = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, jobs.STATE_STORE)
+    try:
+        jobs.mask_session_job(_call_stream(spark, sf_dir), f"{place}/texts", f"{place}/mapping", f"{place}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    texts = spark.read.parquet(f"{place}/texts").drop("batch", "epoch").withColumnRenamed("masked_text", "reply")
+    back = restore_sessions(texts, jobs.stored_mapping(spark, f"{place}/mapping"), CALL_KEY, "reply")
+    return back.select("call_seq", F.col("restored_text").alias("text"), F.contains("reply", F.lit("{{")).alias("masked"))
+
+
 def st3_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
     mask_sessions(_calls(spark, sf_dir)).mapping.write.parquet(f"{place}/mapping")
@@ -110,13 +125,14 @@ def st5_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
-    "st1_stateless": st1_stateless, "st2_sessions": st2_sessions, "st3_restore": st3_restore,
+    "st1_stateless": st1_stateless, "st2_sessions": st2_sessions, "st2_job_round_trip": st2_job_round_trip, "st3_restore": st3_restore,
     "st4_once_per_call": st4_once_per_call, "st5_audit_windows": st5_audit_windows,
     "st5_session_activity": st5_session_activity,
 }
 ORACLES |= {
     "st1_stateless": f"WITH {CALLS_CTE} SELECT call_seq, {_OWN} AS masked_text FROM calls",
     "st2_sessions": _MASKED_SQL,
+    "st2_job_round_trip": f"WITH {CALLS_CTE} SELECT call_seq, text, has_pii AS masked FROM calls",
     "st3_restore": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
                    f"FROM ({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
     "st4_once_per_call": f"WITH {CALLS_CTE} SELECT call_seq, text FROM calls",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -13,7 +13,7 @@ from maskloom.functions.numbering import rewritten, value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.functions.text import SPAN_TYPE, each
 from maskloom.operators.detect import detect
-from maskloom.operators.mask import mask_texts
+from maskloom.operators.mask import Masked, mask_sessions, mask_texts
 from maskloom.operators.restore import restore_sessions
 from maskloom.sources.corpus import CALL_KEY, SESSION, with_session_ids
 
@@ -126,6 +126,50 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
         F.expr(rewritten("text", "spans", "found")).alias("masked_text"))
 
 
+_SAVED = [*SESSION, "epoch", "entity_type", "idx", "placeholder_key", "value", "first_seq", "first_ts", "saved_ts"]
+
+
+def mask_session_job(calls: DataFrame, text_path: str, mapping_path: str, checkpoint: str,
+                     ttl: int = DEFAULT_TTL_SECONDS, delay: str = "10 minutes", trigger: dict | None = None,
+                     **options) -> StreamingQuery:
+    """Run `mask_session_stream` into two folders: masked texts, and what each batch adds to the mapping.
+
+    A batch writes folders of its own, so one that runs again replaces its output.  The
+    mapping's folder holds new entries and, without a key, the sessions that were saved
+    again; `stored_mapping` reads it.  Calls older than the watermark are left out by
+    Spark; `mask_missed` finds and masks them.
+    """
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        kept.select(*CALL_KEY, "ts", "epoch", "masked_text").write.mode("overwrite").parquet(f"{text_path}/batch={batch_id}")
+        added = kept.select(*SESSION, "epoch", F.inline("found"), F.col("call_seq").alias("first_seq"),
+                            F.col("ts").alias("first_ts"), F.col("ts").alias("saved_ts")).filter("first")
+        saves = kept.groupBy(*SESSION, "epoch").agg(F.max("ts").alias("saved_ts"))
+        added.select(*_SAVED).unionByName(saves, allowMissingColumns=True).write.mode("overwrite").parquet(
+            f"{mapping_path}/batch={batch_id}")
+        kept.unpersist()
+
+    return (
+        mask_session_stream(calls, ttl, delay, **options).writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def stored_mapping(spark: SparkSession, mapping_path: str) -> DataFrame:
+    """The mapping table that the batches of `mask_session_job` add up to."""
+    rows = spark.read.parquet(mapping_path)
+    saves = rows.groupBy(*SESSION, "epoch").agg(F.max("saved_ts").alias("saved_ts"))
+    entries = rows.filter("placeholder_key IS NOT NULL").drop("saved_ts", "batch")
+    return entries.join(saves, [*SESSION, "epoch"]).select(*_SAVED)
+
+
+def mask_missed(calls: DataFrame, texts: DataFrame, mapping: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,
+                **options) -> Masked:
+    """Mask, as a batch that continues ``mapping``, the calls whose text the stream has not put out."""
+    missed = with_session_ids(calls).join(texts.select(*CALL_KEY), CALL_KEY, "left_anti")
+    return mask_sessions(missed, ttl, mapping, **options)
+
+
 def restore_stream(replies: DataFrame, mapping_path: str, out_path: str, checkpoint: str,
                    reply_key: list[str], ttl: int = DEFAULT_TTL_SECONDS, **trigger) -> StreamingQuery:
     """Restore a stream of replies against the mapping as stored at each batch.

@@ -82,12 +82,14 @@ class Rollup:
             F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_tokenizer"),
             F.struct("source", "lang", "tokenizer", "n_tokens").alias("old"))
         met = new.join(old, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tokenizer").eqNullSafe(F.col("_tokenizer")), "left")
-        off = met.where("old IS NOT NULL").select(
-            "doc_id", *[F.col(f"old.{c}").alias(c) for c in GROUP], F.lit(-1).cast("long").alias("n_docs"),
-            (-F.col("old.n_tokens")).alias("n_tokens"))
-        on = met.where(((F.col("change") == INSERT) | ((F.col("change") == REVISE) & F.col("old").isNotNull()))).select(
-            "doc_id", *GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
-        off.unionByName(on).write.mode("overwrite").parquet(f"{self.place}/ledger/batch={batch}")
+        # What a change takes off and what it adds come from one pass over it.
+        off = F.when(F.col("old").isNotNull(), F.struct(
+            *[F.col(f"old.{c}").alias(c) for c in GROUP], F.lit(-1).cast("long").alias("n_docs"),
+            (-F.col("old.n_tokens")).alias("n_tokens")))
+        on = F.when((F.col("change") == INSERT) | ((F.col("change") == REVISE) & F.col("old").isNotNull()), F.struct(
+            *GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens"))
+        moved = met.select("doc_id", F.explode(F.array_compact(F.array(off, on))).alias("c")).select("doc_id", "c.*")
+        moved.write.mode("overwrite").parquet(f"{self.place}/ledger/batch={batch}")
         signed = self.spark.read.parquet(f"{self.place}/ledger/batch={batch}")
         (signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
          .write.mode("overwrite").parquet(f"{self.place}/rollup/batch={batch}"))
@@ -129,9 +131,10 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.lit(DELETE).alias("change"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
     rollup.commit(2, gone)
     poor = labels.where("quality = 0").select("doc_id").distinct()
-    revised = docs.join(poor, "doc_id").select(
+    # Counted before the join, so that no text is shuffled.
+    revised = docs.select(
         "doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.lit(REVISE).alias("change"),
-        tokens(F.col("text"), _LETTERED).alias("n_tokens"), F.lit(0).alias("seq"))
+        tokens(F.col("text"), _LETTERED).alias("n_tokens"), F.lit(0).alias("seq")).join(poor, "doc_id")
     rollup.commit(3, revised)
     rollup.commit(3, revised)
     return rollup.totals()

@@ -75,7 +75,7 @@ def clipped(text: str, run: str) -> str:
 
 
 def merged_across_blanks(text: str, spans: str) -> str:
-    """R6: neighbours of one type with only spaces between become one span."""
+    """R6: neighbours of one type with only spaces between become one span, with the last one's score and rule."""
     def merge(items: str) -> str:
         def joined(between: str) -> str:
             def begins(i: str) -> str:
@@ -87,9 +87,9 @@ def merged_across_blanks(text: str, spans: str) -> str:
             def union(first: str, last: str) -> str:
                 values = each("transform", f"sequence({first}, {last})", lambda k: (
                     f"concat(CASE WHEN {k} = {first} THEN '' ELSE {between}[{k}] END, {items}[{k}].value)"))
-                best = f"array_max(transform(slice({items}, {first} + 1, {last} - {first} + 1), s -> s.score))"
-                whole = span(f"{items}[{first}].start", f"{items}[{last}].end", f"{items}[{first}].entity_type", best,
-                             f"{items}[{first}].rule", f"array_join({values}, '')")
+                end = f"{items}[{last}]"
+                whole = span(f"{items}[{first}].start", f"{end}.end", f"{end}.entity_type", f"{end}.score",
+                             f"{end}.rule", f"array_join({values}, '')")
                 return when(f"{first} = {last}", f"{items}[{first}]", whole)
 
             return runs(items, begins, union)

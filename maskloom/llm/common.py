@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: A cache of word hashes is emptied at this size; it only saves time.
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskloom.llm.common import WordHashes, arrow_map
 from maskloom.llm.components import components
@@ -304,14 +305,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, all columns as they were, of one document per group: that with the smallest id."""
-    kept = (
-        near_duplicates(docs, key, text).where("doc_id <=> component_id")
-        # A class without an id keeps one row; empty sets are linked with nothing and all stay.
-        .groupBy(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(1))).otherwise(
-            F.coalesce("node", "_rk")).alias("g"), F.when(F.col("n_shingles") == 0, F.col("_rk")).alias("e"))
-        .agg(F.min("_rk").alias("_rk")).select("_rk")
-    )
-    rows = _with_row_key(docs, key, text).join(kept, "_rk")
-    empty = F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(0)) == 0
-    return rows.where(~empty).dropDuplicates(["_rk"]).select(*docs.columns).unionByName(
-        rows.where(empty).select(*docs.columns))
+    found = near_duplicates(docs, key, text).where("doc_id <=> component_id")
+    # A class without an id keeps one row; empty sets are linked with nothing and all stay.
+    group = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(1))).otherwise(F.coalesce("node", "_rk"))
+    empty = F.when(F.col("n_shingles") == 0, F.col("_rk"))
+    kept = found.groupBy(group.alias("g"), empty.alias("e")).agg(F.min("_rk").alias("_rk")).select(
+        "_rk", F.col("e").isNotNull().alias("_empty"))
+    # Rows meet by their key already, so numbering those that repeat needs no further exchange.
+    again = F.row_number().over(Window.partitionBy("_rk").orderBy("_rk"))
+    rows = _with_row_key(docs, key, text).join(kept, "_rk").withColumn("_n", again)
+    return rows.where("_n = 1 OR _empty").select(*docs.columns)

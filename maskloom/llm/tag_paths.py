@@ -6,7 +6,9 @@ are smoothed along the page, fused into one score, averaged per path and compare
 share of the best path.  Paths above it hold content.  Their nodes fix the container (the
 article or main element around them, else the deepest element common to all), and every
 text in it counts, however short, but for parts that are marked as something else:
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments.  A word in
+class, id or role marks a part only if it does not hold the page's main share of text by
+score, so a wrapper "right-sidebar" or an article "category-legal" around the text is kept.
 
 Pages are independent, so this is one narrow pass without a shuffle.
 
@@ -30,10 +32,12 @@ from maskloom.llm.common import arrow_map
 THRESHOLD = 0.15
 #: Weights of the neighbours in page order, for smoothing.
 _KERNEL = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
+#: A part with more than this share of the page is kept whatever its class says; the page's largest article needs less.
+MAIN_SHARE, ARTICLE_SHARE = 0.5, 0.33
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby s samp small "
@@ -46,6 +50,9 @@ _MARKED = re.compile(
     r"footer|header|masthead|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommended|comments?|commentlist|reply|replies|respond|disqus|widget|toolbar|"
     r"complementary|contentinfo|search|copyright|legal|disclaimer|pagination|pager)(?=$|[\s_-])", re.I)
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|disqus)(?=$|[\s_-])", re.I)
+#: Classes that say what an article is about.
+_TOPIC = re.compile(r"(?:^|(?<=\s))(?:category|tag)-\S+", re.I)
 #: A new one of these ends an open one.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,37 +63,48 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Element:
-    """An open or closed element; ``path`` is the number of its tag path in the page."""
+    """An open or closed element; ``path`` is the number of its tag path in the page.
 
-    __slots__ = ("tag", "path", "parent", "apart", "depth", "link", "body")
+    ``marked`` is the innermost element at or above it that a word marks, ``readers`` whether the word means comments.
+    """
 
-    def __init__(self, tag: str, parent: "_Element | None", apart: bool, path: int) -> None:
+    __slots__ = ("tag", "path", "parent", "apart", "depth", "link", "body", "marked", "readers")
+
+    def __init__(self, tag: str, parent: "_Element | None", kind: str, path: int) -> None:
         self.tag, self.parent, self.path = tag, parent, path
-        self.apart = apart or bool(parent and parent.apart)
+        self.apart = kind == "apart" or bool(parent and parent.apart)
+        self.marked = self if kind in ("marked", "readers") else parent.marked if parent else None
+        self.readers = kind == "readers"
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
         self.body = self if tag in ("article", "main") else parent.body if parent else None
 
 
-def _apart(tag: str, attributes: str) -> bool:
-    """Marked as no part of an article; an article or body is never lost for its class alone."""
+def _kind(tag: str, attributes: str) -> str:
+    """``apart`` for no part of an article, ``marked`` or ``readers`` for what a word says so of, else empty."""
     if tag in _APART:
-        return True
+        return "apart"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return ""
+    kind, seen = "", set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role") and _MARKED.search(value):
-            return True
-    return False
+            return "apart"
+        if name in ("class", "id", "role"):
+            value = _TOPIC.sub("", value) if tag == "article" else value
+            if _MARKED.search(value):
+                kind = "readers" if kind == "readers" or _READERS.search(value) else "marked"
+    return kind
 
 
 def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
     """Element, text and whether a block begins before it, in page order; markup, scripts and styles left out."""
     out: list[tuple[_Element, str, bool]] = []
-    at = _Element("", None, False, 0)
+    at = _Element("", None, "", 0)
     paths: dict[tuple[int, str], int] = {}
     opened: dict[str, int] = {}
     end, new_block, size = 0, True, len(page)
@@ -145,7 +163,7 @@ def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
             open_one = open_one.parent
         if not token[3].endswith("/") or tag not in _INLINE:
             path = paths.setdefault((at.path, tag), len(paths) + 1)
-            at = _Element(tag, at, _apart(tag, token[3]), path)
+            at = _Element(tag, at, _kind(tag, token[3]), path)
             opened[tag] = opened.get(tag, 0) + 1
     return out
 
@@ -167,6 +185,65 @@ def path_scores(nodes: list[tuple[_Element, str]]) -> dict[int, float]:
     return dict(zip(paths, (np.bincount(of, fused) / count).tolist()))
 
 
+def _set_apart(shown: list[tuple[_Element, str]], elements: set[_Element]) -> None:
+    """Makes ``elements`` apart if what marks them, or is around that, lacks the main share of the page."""
+    own: dict[_Element, float] = {}
+    for element in elements:
+        mark = element.marked
+        while mark is not None and mark not in own:
+            own[mark] = 0.0
+            mark = mark.parent.marked
+    if not own:
+        return
+    scores = path_scores(shown)
+    total, articles, plain_body = 0.0, {}, False
+    for element, text in shown:
+        if element.apart:
+            continue
+        # Links have next to no weight, but a page of links alone has a main share too.
+        size = len(text.strip())
+        mass = (0 if element.link else size * scores[element.path]) + 1e-6 * size
+        total += mass
+        if element.marked is not None:
+            own[element.marked] += mass
+        elif element.body is not None:
+            plain_body = True
+        if element.body is not None:
+            articles[element.body] = articles.get(element.body, 0.0) + mass
+    top = max(articles, key=articles.get, default=None)
+    # Innermost first: what is kept adds to the mark around it, what is not is no longer part of the page.
+    left, kept, dropped = total, set(), set()
+    by_depth: dict[int, list[_Element]] = {}
+    for mark in own:
+        by_depth.setdefault(mark.depth, []).append(mark)
+    for depth in sorted(by_depth, reverse=True):
+        base = left
+        for mark in by_depth[depth]:
+            least = ARTICLE_SHARE if mark is top else MAIN_SHARE
+            # Comments are many parts of comments, so they are compared with the whole page.
+            enough = own[mark] > least * total and not plain_body if mark.readers else own[mark] > least * base
+            if mark in kept or enough:
+                kept.add(mark)
+                around = mark.parent.marked
+                if around is not None:
+                    own[around] += own[mark]
+                    kept.add(around)
+            else:
+                dropped.add(mark)
+                left -= own[mark]
+    if dropped and not any(not e.apart and e.marked not in dropped for e, t in shown):
+        # Nothing would be left of the page.
+        most = max(dropped, key=lambda m: own[m])
+        while most is not None:
+            dropped.discard(most)
+            most = most.parent.marked
+    gone: dict[_Element | None, bool] = {None: False}
+    for mark in sorted(own, key=lambda m: m.depth):
+        gone[mark] = mark in dropped or gone[mark.parent.marked]
+    for element in elements:
+        element.apart |= gone[element.marked]
+
+
 def _common(elements: set[_Element]) -> _Element:
     """The deepest element around all of ``elements``."""
     below = dict.fromkeys(elements, 1)
@@ -185,6 +262,7 @@ def _common(elements: set[_Element]) -> _Element:
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     nodes = text_nodes(page) if page else []
     shown = [(e, t) for e, t, _ in nodes if t.strip()]
+    _set_apart(shown, {e for e, _, _ in nodes})
     if not any(not e.apart for e, _ in shown):
         return ""
     scores = path_scores(shown)

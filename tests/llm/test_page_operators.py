@@ -77,6 +77,27 @@ def test_untidy_markup(page, want):
     assert tag_paths.main_text(page) == want
 
 
+SIDE = "<div id=sidebar><p>Other, texts. With marks.</p></div>"
+
+
+@pytest.mark.parametrize("frame", [
+    "<div class='site right-sidebar'><div>{}</div>" + SIDE + "</div>", "<div class=has-sidebar>{}" + SIDE + "</div>",
+    "<article class='post category-legal'>{}</article>", "<article class='post tag-search'>{}</article>" + SIDE,
+    "<article class=related-science>{}</article>", "<div class=no-footer><article class=legal>{}</article></div>" + SIDE,
+    "<div class=comments-open>{}<div class=comments>" + "<div class=comment>Nice one, thanks. I liked it.</div>" * 9 + "</div></div>",
+    "<div title='the hidden cost' data-x=\"a class='ad'\">{}</div>" + SIDE, "<article>{}</article><p class=ad hidden>Buy, now.</p>",
+    "<div id=c>{}</div><div class=comments>" + "<div class=comment>Nice one, thanks. I liked it, a lot.</div>" * 30 + "</div>",
+])
+def test_a_word_in_a_class_does_not_drop_the_main_text(frame):
+    page = f"<html><body><nav>Home</nav>{frame.format(BODY)}<footer>Us, them.</footer></body></html>"
+    assert tag_paths.main_text(page) == WANT
+
+
+def test_one_of_several_articles_is_not_lost_for_its_topic():
+    page = f"<article class=post>{BODY}</article><article class='post category-legal'>{BODY}</article>"
+    assert tag_paths.main_text(page) == f"{WANT} {WANT}"
+
+
 def test_very_deep_and_very_long_pages():
     page = "<div>" * 20_000 + "abc, d." + "</p>" * 500 + "</div>" * 20_000 + "<p>x" * 10_000 + "<b>y" * 10_000
     assert len(tag_paths.main_text(page)) == 7 + 20_000 + 10_000

@@ -38,12 +38,16 @@ MAIN_SHARE, ARTICLE_SHARE = 0.5, 0.33
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "iframe", "xmp"}
+#: Parts without text of the article.  An end tag of what is around ends one that is not closed.
+_HOLDERS = {"noscript", "template", "select", "svg", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby s samp small "
-              "span strike strong sub sup time tt u var wbr rp rt".split())
+              "span strike strong sub sup time tt u var wbr rp rt annotation annotation-xml math menclose merror mfenced mfrac mi "
+              "mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd "
+              "mtext mtr munder munderover semantics".split())
 #: Elements that hold no article text, whatever they are called.
-_APART = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "button", "head", "figure-caption"}
+_APART = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "button", "head", "figure-caption"} | _HOLDERS
 #: Words in class, id or role that mark a part as something else.
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
@@ -58,7 +62,11 @@ _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
                     "pre section table ul".split())
-_SCOPE = {"html", "body", "article", "main", "section", "div", "table", "ul", "ol", "td", "th", "blockquote"}
+_SCOPE = {"html", "body", "article", "main", "section", "div", "table", "ul", "ol", "td", "th", "blockquote", "noscript", "template",
+          "foreignobject"}
+#: Elements that can't be in a drawing or a list of choices, and so end one.
+_END_HOLDER = {"svg": _BLOCKS_END_P | set("b big br center code em i img li small span strike strong sub sup tt u var".split()),
+               "select": _BLOCKS_END_P - {"div", "hr"}}
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -103,10 +111,23 @@ def _kind(tag: str, attributes: str) -> str:
 
 def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
     """Element, text and whether a block begins before it, in page order; markup, scripts and styles left out."""
+    ignored: set[int] = set()
+    while True:
+        out, unclosed = _parsed(page, ignored)
+        if not unclosed:
+            return out
+        # A holder that nothing ends but the page would take in the rest of it.
+        ignored |= unclosed
+
+
+def _parsed(page: str, ignored: set[int]) -> tuple[list[tuple[_Element, str, bool]], set[int]]:
+    """The text nodes without the start tags at ``ignored``, and where holders begin that end with the page only."""
     out: list[tuple[_Element, str, bool]] = []
     at = _Element("", None, "", 0)
     paths: dict[tuple[int, str], int] = {}
     opened: dict[str, int] = {}
+    holders: dict[_Element, int] = {}
+    unclosed: set[int] = set()
     end, new_block, size = 0, True, len(page)
 
     def close_to(parent: _Element) -> None:
@@ -117,10 +138,17 @@ def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
 
     def put(text: str) -> None:
         nonlocal new_block
-        if text:
+        if text and not opened.get("annotation") and not opened.get("annotation-xml"):
             out.append((at, references.unescape(text) if "&" in text else text, new_block))
             new_block = False
 
+    def end_of_page() -> None:
+        element = at
+        while holders and element.parent:
+            if element in holders:
+                unclosed.add(holders[element])
+            element = element.parent
+
     while end < size:
         token = _TOKEN.search(page, end)
         if token is None:
@@ -145,13 +173,25 @@ def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
                     break
                 open_one = open_one.parent
             if open_one.parent and open_one.tag == tag:
+                if tag in ("html", "body"):
+                    end_of_page()
                 close_to(open_one.parent)
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, end)
             end = close.end() if close else size
             continue
-        if tag in _VOID:
+        for holder, breaks in _END_HOLDER.items():
+            if opened.get(holder) and tag in breaks:
+                open_one = at
+                while open_one.parent and open_one.tag != holder and open_one.tag not in ("noscript", "template", "foreignobject"):
+                    open_one = open_one.parent
+                if open_one.tag == holder:
+                    close_to(open_one.parent)
+        if tag in _VOID or token.start() in ignored:
+            continue
+        drawn = tag in ("svg", "math") or (opened.get("svg") or opened.get("math")) and not opened.get("foreignobject")
+        if drawn and token[3].endswith("/"):
             continue
         ends = _SELF_CLOSING.get(tag, set()) | ({"p"} if tag in _BLOCKS_END_P else set())
         ends = {e for e in ends if opened.get(e)}
@@ -165,7 +205,10 @@ def text_nodes(page: str) -> list[tuple[_Element, str, bool]]:
             path = paths.setdefault((at.path, tag), len(paths) + 1)
             at = _Element(tag, at, _kind(tag, token[3]), path)
             opened[tag] = opened.get(tag, 0) + 1
-    return out
+            if tag in _HOLDERS:
+                holders[at] = token.start()
+    end_of_page()
+    return out, unclosed
 
 
 def path_scores(nodes: list[tuple[_Element, str]]) -> dict[int, float]:

@@ -93,6 +93,22 @@ def test_a_word_in_a_class_does_not_drop_the_main_text(frame):
     assert tag_paths.main_text(page) == WANT
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a<svg class='i'/>b</p><p>c</p>", "a b c"), ("<p>a</p><math/><p>b</p><svg/><p>c</p><svg><text>x</text></svg>", "a b c"),
+    ("<p>E=<math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>.</p>", "E=mc2."),
+    ("<p><math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math>, y</p>", "x, y"),
+    ("<p><math><semantics><mi>x</mi><annotation>\\x</semantics></math>, y</p>", "x, y"),
+    ("<div><noscript>No.</div><p>a</p>", "a"), ("<div><select><option>No</div><p>a</p>", "a"), ("<td><template>No</td><p>a", "a"),
+    ("<body><noscript><img src=x><p>a</p></body><p>b", "a b"), ("<template><p>a", "a"), ("<select><option>No<p>a</p>", "a"),
+    ("<div><svg><path d=x /><p>a</p></div>b", "a b"), ("<p>a<noscript><p>No</p></noscript>b</p>", "a b"),
+    ("<svg><title>No</title><g><text>No</text></g><svg><text>No</text></svg><text>No</text></svg>a", "a"),
+    ("<svg><foreignObject><div>No</div></foreignObject></svg>a", "a"), ("<select><option>No<option>No</select>a", "a"),
+    ("<noscript><p>No</p></noscript>a<noscript>" * 2 + "b", "a a b"),
+])
+def test_parts_without_text_end_where_they_should(page, want):
+    assert tag_paths.main_text(page) == want
+
+
 def test_one_of_several_articles_is_not_lost_for_its_topic():
     page = f"<article class=post>{BODY}</article><article class='post category-legal'>{BODY}</article>"
     assert tag_paths.main_text(page) == f"{WANT} {WANT}"

@@ -11,7 +11,8 @@ Results for odd input: a null count is 0; null ids, sources, languages and token
 values of their own; of several changes to a document and tokenizer in one batch the last by
 ``seq`` counts (of ties a delete, then the larger count); an insert of what is there revises
 it; a delete or revision of what is not there does nothing; an empty batch commits nothing
-but its number.
+but its number.  The query gives every row of the corpus a key of its own, so rows without
+an id and rows that repeat one all count; labels meet all rows of their id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskloom.session import shared_dir
+from maskloom.session import cut_lineage, shared_dir
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ["source", "lang", "tokenizer"]
@@ -106,13 +107,17 @@ class Rollup:
         )
 
 
-def inserts(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
-    """A change for each document and tokenizer version."""
-    counts = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("tokenizer"), tokens(F.col("text"), pattern).alias("n_tokens"))
-        for name, pattern in (tokenizers or TOKENIZERS).items()])).alias("c")
-    return docs.select("doc_id", "source", "lang", counts).select(
-        "doc_id", "source", "lang", "c.tokenizer", F.lit(INSERT).alias("change"), "c.n_tokens", F.lit(0).alias("seq"))
+def counted_rows(docs: DataFrame) -> DataFrame:
+    """``id``, ``doc_id``, ``source``, ``lang`` and counts of every row; ``doc_id`` is made of id, hash and occurrence."""
+    counts = {name: tokens(F.col("text"), pattern) for name, pattern in (TOKENIZERS | {"lettered": _LETTERED}).items()}
+    # Equal rows are counted on the map side and numbered apart, so many of them are no long task.
+    return (
+        docs.select(F.col("doc_id").alias("id"), "source", "lang", F.xxhash64("source", "lang", "text").alias("h"),
+                    *[c.alias(name) for name, c in counts.items()])
+        .groupBy("id", "source", "lang", "h", *[f"`{name}`" for name in counts]).agg(F.count("*").alias("n"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+        .select("id", F.struct(F.col("id"), "h", "copy").alias("doc_id"), "source", "lang", *[f"`{name}`" for name in counts])
+    )
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,19 +127,25 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rollup = Rollup(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    first = inserts(docs)
+    # Texts are read once and counted before any join, so that none is shuffled.
+    rows = cut_lineage(counted_rows(docs))
+
+    def changes(of: DataFrame, change: str, counts: dict[str, str]) -> DataFrame:
+        each = F.explode(F.array(*[
+            F.struct(F.lit(name).alias("tokenizer"), F.col(f"`{count}`").alias("n_tokens"))
+            for name, count in counts.items()])).alias("c")
+        return of.select("doc_id", "source", "lang", each).select(
+            "doc_id", "source", "lang", "c.tokenizer", F.lit(change).alias("change"), "c.n_tokens", F.lit(0).alias("seq"))
+
+    def of_labels(which: str) -> DataFrame:
+        return rows.join(labels.where(which).select(F.col("doc_id").alias("id")).distinct(), "id")
+
+    own = {name: name for name in TOKENIZERS}
+    first = changes(rows, INSERT, own)
     rollup.commit(1, first)
     rollup.commit(1, first)
-    names = F.explode(F.array(*[F.lit(n) for n in TOKENIZERS])).alias("tokenizer")
-    gone = labels.where("toxic = 1").select(
-        "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), names,
-        F.lit(DELETE).alias("change"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).alias("seq"))
-    rollup.commit(2, gone)
-    poor = labels.where("quality = 0").select("doc_id").distinct()
-    # Counted before the join, so that no text is shuffled.
-    revised = docs.select(
-        "doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.lit(REVISE).alias("change"),
-        tokens(F.col("text"), _LETTERED).alias("n_tokens"), F.lit(0).alias("seq")).join(poor, "doc_id")
+    rollup.commit(2, changes(of_labels("toxic = 1"), DELETE, own))
+    revised = changes(of_labels("quality = 0"), REVISE, {"words-1": "lettered"})
     rollup.commit(3, revised)
     rollup.commit(3, revised)
     return rollup.totals()

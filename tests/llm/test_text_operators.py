@@ -362,6 +362,18 @@ def test_totals_follow_signed_changes(spark, tmp_path):
     assert commit(3) and totals() == want
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_all_count(spark):
+    rows = [(None, "a b 1", "s", "en"), (None, "a b 1", "s", "en"), (None, "c", "s", None), (1, "a 1", "s", "en"), (1, "b", "t", "en"),
+            (2, "x y", "s", "en"), (2, "x y", "s", "en"), (3, "q 7", "s", "en"), (3, "q 7", "s", "en"), (3, None, "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame(
+        [(2, 1, 1), (2, 1, 1), (3, 0, 0), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {tuple(r) for r in token_rollup.query(docs, labels).collect()}
+    assert got == {
+        ("s", "en", "words-1", 6, 3 + 3 + 2 + 1 + 1 + 0), ("s", "en", "marks-1", 6, 3 + 3 + 2 + 2 + 2 + 0),
+        ("s", None, "words-1", 1, 1), ("s", None, "marks-1", 1, 1), ("t", "en", "words-1", 1, 1), ("t", "en", "marks-1", 1, 1)}
+
+
 def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     place = str(tmp_path / "tokens")
     schema = "doc_id long, source string, lang string, tokenizer string, change string, n_tokens long, seq int"

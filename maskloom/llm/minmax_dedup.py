@@ -245,7 +245,7 @@ def _links_in_blocks(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_rk`` (row key), ``doc_id``, ``n_shingles``, ``component_id`` of every row."""
+    """``_rk`` (row key), ``doc_id``, ``n_shingles``, ``component_id``, ``node`` and ``component`` (label) of every row."""
     signed = cut_lineage(_signed_rows(docs, key, text))
     classes = cut_lineage(
         signed.where("node IS NOT NULL").groupBy("node")
@@ -291,10 +291,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("node", "first_id", F.coalesce("component", "node").alias("component"))
     )
     smallest = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = ids.join(smallest, "component").select("node", "component_id")
+    found = ids.join(smallest, "component").select("node", "component", "component_id")
     return (
         signed.select("_rk", "doc_id", "n_shingles", "node").join(found, "node", "left")
-        .select("_rk", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+        .select("_rk", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node",
+                F.coalesce("component", "node").alias("component"))
     )
 
 
@@ -305,11 +306,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, all columns as they were, of one document per group: that with the smallest id."""
+    # All rows with the smallest id, or all without one if nobody has an id; empty sets are linked with nothing and stay.
     found = near_duplicates(docs, key, text).where("doc_id <=> component_id")
-    # A class without an id keeps one row; empty sets are linked with nothing and all stay.
-    group = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(1))).otherwise(F.coalesce("node", "_rk"))
     empty = F.when(F.col("n_shingles") == 0, F.col("_rk"))
-    kept = found.groupBy(group.alias("g"), empty.alias("e")).agg(F.min("_rk").alias("_rk")).select(
+    kept = found.groupBy("component", empty.alias("e")).agg(F.min("_rk").alias("_rk")).select(
         "_rk", F.col("e").isNotNull().alias("_empty"))
     # Rows meet by their key already, so numbering those that repeat needs no further exchange.
     again = F.row_number().over(Window.partitionBy("_rk").orderBy("_rk"))

@@ -151,6 +151,20 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert minmax_dedup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    one, near, other = " ".join(words), " ".join([*words[:399], "x"]), " ".join(reversed(words))
+    for rows, want in [
+        ([(1, one), (1, other)], {(1, one), (1, other)}), ([(1, one), (1, near), (1, other), (2, near)], None),
+        ([(None, one), (None, near), (None, other)], None), ([(2, one), (1, near), (None, one)], {(1, near)}),
+    ]:
+        got = [tuple(r) for r in minmax_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        if want is not None:
+            assert len(got) == len(want) and set(got) == want
+        else:  # one of the near copies, whichever, and the other text
+            assert len(got) == 2 and sum(t == other for _, t in got) == 1
+
+
 def test_min_max_estimates_are_unbiased():
     rng = np.random.default_rng(5)
     values = rng.integers(0, 1 << 63, 1000, np.uint64)

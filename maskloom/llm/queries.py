@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from maskloom.llm import arc_convert, bpe, decontaminate, language_id, line_frequency, minmax_dedup, substring_dedup, tag_paths, token_rollup, url_rules
+from maskloom.llm import (
+    arc_convert,
+    bpe,
+    decontaminate,
+    filter_audit,
+    language_id,
+    line_frequency,
+    minmax_dedup,
+    substring_dedup,
+    tag_paths,
+    token_rollup,
+    url_rules,
+)
 from maskloom.llm.common import table
 
 
@@ -23,6 +35,8 @@ QUERIES = {
     "op8_arc_convert": _over(arc_convert.query, "pages"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),
     "op10_bpe": _over(bpe.query, "documents"),
+    "op12_filter_audit": lambda spark, sf_dir: filter_audit.query(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op4_token_rollup": token_rollup.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
     "op8_arc_convert": arc_convert.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }

@@ -14,6 +14,7 @@ from maskloom.llm import (
     tag_paths,
     token_rollup,
     url_rules,
+    vector_codes,
 )
 from maskloom.llm.common import table
 
@@ -37,6 +38,7 @@ QUERIES = {
     "op10_bpe": _over(bpe.query, "documents"),
     "op12_filter_audit": lambda spark, sf_dir: filter_audit.query(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_vector_codes": _over(vector_codes.query, "embeddings"),
 }
 
 ORACLES: dict[str, str] = {
@@ -45,4 +47,5 @@ ORACLES: dict[str, str] = {
     "op7_url_rules": url_rules.ORACLE,
     "op8_arc_convert": arc_convert.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

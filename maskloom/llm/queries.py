@@ -8,6 +8,7 @@ from maskloom.llm import (
     decontaminate,
     filter_audit,
     language_id,
+    license_scan,
     line_frequency,
     minmax_dedup,
     substring_dedup,
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_arc_convert": _over(arc_convert.query, "pages"),
     "op9_substring_dedup": _over(substring_dedup.query, "documents"),
     "op10_bpe": _over(bpe.query, "documents"),
+    "op11_license_scan": _over(license_scan.query, "documents"),
     "op12_filter_audit": lambda spark, sf_dir: filter_audit.query(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_vector_codes": _over(vector_codes.query, "embeddings"),
@@ -46,6 +48,7 @@ ORACLES: dict[str, str] = {
     "op4_token_rollup": token_rollup.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
     "op8_arc_convert": arc_convert.ORACLE,
+    "op11_license_scan": license_scan.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }

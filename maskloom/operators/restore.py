@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.numbering import placeholders_in, restored
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
-from maskloom.operators.sessions import bucket_of
+from maskloom.operators.sessions import bucket_of, with_live_epoch
 from maskloom.sources.corpus import SESSION
 
 _MAP = "map<string,string>"
@@ -39,20 +39,22 @@ def _fill(replies: DataFrame, answers: DataFrame, reply_key: list[str], text_col
     return filled.drop("__map").unionByName(plain)
 
 
-def _answers(asked: DataFrame, mapping: DataFrame, ts_col: str | None, ttl: int) -> DataFrame:
-    """Values of the placeholders in ``asked`` from the epoch of their session that is alive.
+def _answers(replies: DataFrame, mapping: DataFrame, keys: list[str], text_col: str, ts: str | None, ttl: int) -> DataFrame:
+    """Values of the placeholders that replies hold, from the epoch of their session that is alive.
 
     With a time, that is the epoch that had begun by then and was last saved less than
     the TTL before, or is saved again later; epochs of a session lie at least the TTL
-    apart, so there is one at most.  Without a time it is the session's newest epoch.
+    apart, so there is one at most.  Without a time it is the session's newest epoch.  A
+    reply finds its epoch before its placeholders are unfolded, and a placeholder then meets one entry.
     """
+    asked = replies.select(*keys, F.expr(placeholders_in(f"`{text_col}`")).alias("__asked")).where(F.size("__asked") > 0)
+    placed = with_live_epoch(asked, mapping, ts, ttl).select(*keys, "epoch", F.explode("__asked").alias("placeholder_key"))
     known = mapping.select(*SESSION, "epoch", "placeholder_key", "value", "first_ts", "saved_ts")
-    if ts_col is None:
-        newest = mapping.groupBy(*SESSION).agg(F.max("epoch").alias("epoch"))
-        return asked.join(known.join(newest, [*SESSION, "epoch"]), [*SESSION, "placeholder_key"])
-    fresh = F.unix_micros("saved_ts") + ttl * 1_000_000 > F.unix_micros(ts_col)
-    alive = F.coalesce(F.col("first_ts") <= F.col(ts_col), F.lit(True)) & F.coalesce(fresh, F.lit(True))
-    return asked.join(known, [*SESSION, "placeholder_key"]).filter(alive)
+    met = placed.join(known, [*SESSION, "epoch", "placeholder_key"])
+    if ts is None:
+        return met
+    fresh = F.unix_micros("saved_ts") + ttl * 1_000_000 > F.unix_micros(ts)
+    return met.filter(F.coalesce(F.col("first_ts") <= F.col(ts), F.lit(True)) & F.coalesce(fresh, F.lit(True)))
 
 
 def _timed(replies: DataFrame, ts_col: str) -> str | None:
@@ -71,8 +73,7 @@ def restore_sessions(replies: DataFrame, mapping: DataFrame, reply_key: list[str
     """
     ts = _timed(replies, ts_col)
     keys = [*SESSION, *_extra(reply_key), *([ts] if ts and ts not in reply_key else [])]
-    asked = placeholder_rows(replies, keys, text_col)
-    return _fill(replies, _answers(asked, mapping, ts, ttl), reply_key, text_col, out)
+    return _fill(replies, _answers(replies, mapping, keys, text_col, ts, ttl), reply_key, text_col, out)
 
 
 def _extra(reply_key: list[str]) -> list[str]:
@@ -121,6 +122,7 @@ def unresolved(replies: DataFrame, mapping: DataFrame, reply_key: list[str], tex
     """Placeholders of replies that the mapping, as it stood at the reply's time, does not know."""
     ts = _timed(replies, ts_col)
     keys = [*SESSION, *_extra(reply_key)]
-    asked = placeholder_rows(replies, [*keys, *([ts] if ts and ts not in keys else [])], text_col)
-    known = _answers(asked, mapping, ts, ttl).select(*keys, "placeholder_key")
+    timed = [*keys, *([ts] if ts and ts not in keys else [])]
+    known = _answers(replies, mapping, timed, text_col, ts, ttl).select(*keys, "placeholder_key")
+    asked = placeholder_rows(replies, keys, text_col)
     return asked.join(known, [*keys, "placeholder_key"], "left_anti").select(*keys, "placeholder_key")

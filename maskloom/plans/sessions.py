@@ -51,11 +51,15 @@ def _calls(spark: SparkSession, sf_dir: str, mode: str = "'stateful'") -> DataFr
 # Epochs by comparing each call with the one before; numbers by one ranking per
 # session.  Neither uses the buckets or chunks of the Spark plans.
 
-_EPOCH_CTE = (
-    "ep AS (SELECT system_id, session_id, call_seq, cast(sum(fresh) OVER (PARTITION BY system_id, session_id "
-    "ORDER BY call_seq) as int) AS epoch FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER "
-    f"(PARTITION BY system_id, session_id ORDER BY call_seq)) >= {TTL * 1_000_000} THEN 1 ELSE 0 END AS fresh FROM calls))"
-)
+def _epoch_cte(ttl: int) -> str:
+    return (
+        "ep AS (SELECT system_id, session_id, call_seq, cast(sum(fresh) OVER (PARTITION BY system_id, session_id "
+        "ORDER BY call_seq) as int) AS epoch FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER "
+        f"(PARTITION BY system_id, session_id ORDER BY call_seq)) >= {ttl * 1_000_000} THEN 1 ELSE 0 END AS fresh FROM calls))"
+    )
+
+
+_EPOCH_CTE = _epoch_cte(TTL)
 _MAP_CTE = (
     "num AS (SELECT system_id, session_id, epoch, entity_type, value, min(call_seq) AS first_seq, min(ts) AS first_ts, "
     "cast(row_number() OVER (PARTITION BY system_id, session_id, epoch, entity_type "
@@ -465,11 +469,15 @@ def _filled_replies(mapping: str, system: str, extra: str = "") -> str:
 
 
 _REPLY_SYSTEM = "(CASE WHEN r.reply_id % 9 = 0 THEN 'sys_other' ELSE r.system_id END)"
-_LIVE_CTE = (
-    "live AS (SELECT reply_id, max_by(epoch, call_seq) AS epoch FROM (SELECT r.reply_id, e.epoch, c.call_seq FROM replies r "
-    "JOIN calls c ON c.system_id = r.system_id AND c.session_id = r.session_id AND c.ts <= r.reply_ts "
-    f"AND c.ts > r.reply_ts - interval {TTL} second JOIN ep e ON e.call_seq = c.call_seq) GROUP BY reply_id)"
-)
+def _live_cte(ttl: int) -> str:
+    return (
+        "live AS (SELECT reply_id, max_by(epoch, call_seq) AS epoch FROM (SELECT r.reply_id, e.epoch, c.call_seq FROM replies r "
+        "JOIN calls c ON c.system_id = r.system_id AND c.session_id = r.session_id AND c.ts <= r.reply_ts "
+        f"AND c.ts > r.reply_ts - interval {ttl} second JOIN ep e ON e.call_seq = c.call_seq) GROUP BY reply_id)"
+    )
+
+
+_LIVE_CTE = _live_cte(TTL)
 # What each reply could see: the entries of its session's live epoch that were met before it.
 _SEEN_CTE = (
     "seen AS (SELECT m.*, l.reply_id AS seen_by FROM mapping m JOIN replies r ON r.system_id = m.system_id AND "
@@ -560,3 +568,40 @@ ORACLES["ten4_isolation"] = (
     f"WITH {_SHARED}, {OCCURRENCES_CTE}, {_EPOCH_CTE}, {_MAP_CTE} SELECT system_id, entity_type, count(*) AS n_values, "
     "max(epoch) AS last_epoch, max(idx) AS last_idx FROM mapping GROUP BY system_id, entity_type"
 )
+
+
+# --- one session of each system, with an epoch after every short silence --------
+
+_SHORT_TTL = 600
+
+
+def _many_epochs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Replies, and the mapping of sessions that expire hundreds of times."""
+    calls = _calls(spark, sf_dir).withColumn("session_id", F.lit("shared"))
+    replies = _replies(spark, sf_dir).withColumn("session_id", F.lit("shared"))
+    return replies, mask_sessions(calls, ttl=_SHORT_TTL).mapping
+
+
+def rs2_many_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, mapping = _many_epochs(spark, sf_dir)
+    back = restore_sessions(replies, mapping, ["system_id", "session_id", "reply_id"], ttl=_SHORT_TTL)
+    return back.select("reply_id", "restored_text")
+
+
+def rs7_many_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, mapping = _many_epochs(spark, sf_dir)
+    missing = unresolved(replies, mapping, ["system_id", "session_id", "reply_id"], ttl=_SHORT_TTL)
+    return missing.groupBy("reply_id").agg(F.count("*").alias("n_missing"))
+
+
+_SHARED_REPLIES = _REPLIES_CTE.replace("(SELECT *, ts", "(SELECT * REPLACE ('shared' AS session_id), ts", 1)
+_SEEN_SHORT = f"WITH {_SHARED}, {OCCURRENCES_CTE}, {_epoch_cte(_SHORT_TTL)}, {_MAP_CTE}, {_SHARED_REPLIES}, {_live_cte(_SHORT_TTL)}, {_SEEN_CTE}"
+QUERIES |= {"rs2_many_epochs": rs2_many_epochs, "rs7_many_epochs": rs7_many_epochs}
+ORACLES |= {
+    "rs2_many_epochs": f"{_SEEN_SHORT} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text FROM "
+                       f"({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
+    "rs7_many_epochs": f"{_SEEN_SHORT} SELECT reply_id, count(*) AS n_missing FROM (SELECT reply_id, "
+                       "unnest(['PHONE_NUMBER_' || cast(n % 3 as string), 'EMAIL_' || cast(n as string), 'UNKNOWN_0', 'EMAIL_00']) AS placeholder_key "
+                       "FROM replies) p WHERE NOT EXISTS (SELECT 1 FROM seen m WHERE m.seen_by = p.reply_id AND m.placeholder_key = p.placeholder_key) "
+                       "GROUP BY reply_id",
+}

@@ -74,11 +74,14 @@ def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> Da
 
 
 def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFrame | None = None,
-                  order: str = "right_to_left", spans: str | None = None, **detection) -> Masked:
+                  order: str = "right_to_left", spans: str | None = None, history: DataFrame | None = None,
+                  added_only: bool = False, **detection) -> Masked:
     """Stateful masking: one numbering per session, until it expires.
 
-    ``old`` is a stored mapping to continue; ``spans`` names a finished span column,
-    such as `detect_with_model` makes.  Detected calls are written once to
+    ``old`` is a stored mapping to continue, ``history`` the last saves of its sessions
+    where ``old`` doesn't tell (see `MappingStore.epochs`); ``spans`` names a finished span column,
+    such as `detect_with_model` makes.  With ``added_only`` the mapping holds what these calls
+    add to ``old`` and, without a placeholder, the sessions they save again.  Detected calls are written once to
     the checkpoint folder: numbering, rewriting and the untouched calls all read
     them, and writing costs far less than detecting again.  So are the numbers,
     which both results need.  A text is shuffled at most once, to meet its own
@@ -87,7 +90,7 @@ def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFra
     calls = with_session_ids(calls)
     ready = calls.withColumn("spans", F.col(spans)) if spans else detect(calls, **_lean(detection))
     found = cut_lineage(ready.select(*CALL_KEY, "ts", "text", "spans"))
-    ticks = session_ticks(found, ttl, old)
+    ticks = session_ticks(found, ttl, old if history is None else history)
     hits = found.filter(F.size("spans") > 0)
     keyed = with_epoch(hits.select(*CALL_KEY, "ts", "spans"), ticks, ttl)
     values = values_of(keyed, order)
@@ -95,7 +98,10 @@ def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFra
     masked = place_numbers(hits, values, numbered).select(*CALL_KEY, "ts", "masked_text")
     clean = found.filter(F.size("spans") == 0).select(
         *CALL_KEY, "ts", F.col("text").alias("masked_text"))
-    mapping = as_mapping(numbered, epoch_ends(ticks))
+    ends = epoch_ends(ticks)
+    mapping = as_mapping(numbered.where("fresh") if added_only else numbered, ends)
+    if added_only:
+        mapping = mapping.unionByName(ends, allowMissingColumns=True)
     return Masked(masked.unionByName(clean), mapping.select(*MAPPING_COLUMNS))
 
 

@@ -77,20 +77,21 @@ def number_values(values: DataFrame, old: DataFrame | None = None,
     """``idx`` for every value of ``values`` (see :func:`first_met`).
 
     Values already in ``old`` keep their number and, as ``saved_before``, their save
-    time; new ones follow on.
+    time; new ones, marked ``fresh``, follow on.
     """
-    never = F.lit(None).cast("timestamp").alias("saved_before")
+    never = [F.lit(None).cast("timestamp").alias("saved_before"), F.lit(True).alias("fresh")]
     if old is None:
-        return ranked(values, chunk_calls).withColumnRenamed("rank", "idx").drop("place").select("*", never)
+        return ranked(values, chunk_calls).withColumnRenamed("rank", "idx").drop("place").select("*", *never)
     known = old.select(*VALUE_GROUP, "value", F.col("idx").alias("old_idx"))
     fresh = values.join(known, [*VALUE_GROUP, "value"], "left_anti")
     counts = old.groupBy(*VALUE_GROUP).agg(F.count("*").cast("int").alias("held"))
     new = (
         ranked(fresh, chunk_calls).join(counts, VALUE_GROUP, "left")
         .withColumn("idx", F.coalesce("held", F.lit(0)) + F.col("rank"))
-        .select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", never)
+        .select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", *never)
     )
-    kept = old.select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", F.col("saved_ts").alias("saved_before"))
+    kept = old.select(*VALUE_GROUP, "value", "first_seq", "first_ts", "idx", F.col("saved_ts").alias("saved_before"),
+                      F.lit(False).alias("fresh"))
     return new.unionByName(kept)
 
 

@@ -32,33 +32,38 @@ def bucket_at(micros: str, ttl: int) -> Column:
 
 def session_ticks(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,
                   history: DataFrame | None = None) -> DataFrame:
-    """``(system, session, bucket, first_ts, last_ts, epoch)``.
+    """``(system, session, bucket, first_ts, last_ts, epoch, since)``.
 
-    ``history`` is an earlier mapping; its last save opens the session.
+    ``history`` is an earlier mapping; its last save opens the session.  A call from
+    before that save comes late: it belongs to the epoch that is alive now, and
+    ``since``, the time of that save, is when it counts as met.
     """
     rows = calls.select(*SESSION, "ts", F.lit(None).cast("int").alias("base"))
     if history is not None:
         past = history.groupBy(*SESSION).agg(
             F.max("saved_ts").alias("ts"), F.max("epoch").cast("int").alias("base"))
         rows = rows.unionByName(past)
+    is_past = F.col("base").isNotNull()
     buckets = rows.groupBy(*SESSION, bucket_of("ts", ttl).alias("bucket")).agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("base").alias("base"))
-    ordered = W.partitionBy(*SESSION).orderBy("bucket")
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("base").alias("base"),
+        F.max(F.when(is_past, F.col("ts"))).alias("saved"))
+    whole = W.partitionBy(*SESSION)
+    ordered = whole.orderBy("bucket")
     gap = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(ordered))
-    fresh = F.coalesce((gap >= ttl * 1_000_000).cast("int"), F.lit(0))
+    late = F.coalesce(F.col("bucket") <= F.max(F.when(is_past, F.col("bucket"))).over(whole), F.lit(False))
+    fresh = F.when(late, 0).otherwise(F.coalesce((gap >= ttl * 1_000_000).cast("int"), F.lit(0)))
     return (
-        buckets.withColumn("fresh", fresh)
-        .withColumn("epoch", (
-            F.sum("fresh").over(ordered)
-            + F.coalesce(F.max("base").over(ordered.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-        ).cast("int"))
-        .select(*SESSION, "bucket", "first_ts", "last_ts", "epoch")
+        buckets.withColumns({"fresh": fresh, "since": F.when(late, F.max("saved").over(whole))})
+        .withColumn("epoch", (F.sum("fresh").over(ordered) + F.coalesce(F.max("base").over(whole), F.lit(0))).cast("int"))
+        .select(*SESSION, "bucket", "first_ts", "last_ts", "epoch", "since")
     )
 
 
 def with_epoch(rows: DataFrame, ticks: DataFrame, ttl: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """The rows with their epoch; ``ts`` of a late one is the save that it came after."""
+    met = F.when(F.col("ts").isNotNull(), F.greatest("ts", "since"))
     return rows.withColumn("bucket", bucket_of("ts", ttl)).join(
-        ticks.select(*SESSION, "bucket", "epoch"), [*SESSION, "bucket"]).drop("bucket")
+        ticks.select(*SESSION, "bucket", "epoch", "since"), [*SESSION, "bucket"]).withColumn("ts", met).drop("bucket", "since")
 
 
 def epoch_ends(ticks: DataFrame) -> DataFrame:

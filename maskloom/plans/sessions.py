@@ -21,6 +21,7 @@ from maskloom.operators.restore import (
     unresolved,
 )
 from maskloom.operators.sessions import session_ticks, with_epoch
+from maskloom.operators.store import MappingStore
 from maskloom.operators.tenancy import parse_tenants, resolve_callers, split_rejects
 from maskloom.plans.detection import CARD_RES, EMAIL_RE, IP_RE, LUHN_SUM
 from maskloom.plans.fixtures import (
@@ -34,7 +35,7 @@ from maskloom.plans.fixtures import (
     text_of,
     texts,
 )
-from maskloom.session import shared_dir
+from maskloom.session import cut_lineage, shared_dir
 from maskloom.sources.corpus import CALL_KEY, as_calls, write_masked
 
 QUERIES: dict = {}
@@ -306,6 +307,8 @@ ORACLES["rs6_documents_round_trip"] = "SELECT doc_id, sha256(text) AS text_hash
 # --- mapping table ------------------------------------------------------------
 
 _AT = "2024-01-15 12:00:00"
+#: Long enough for a few of the epochs of a session to be alive at once.
+_LONG_TTL = 40 * 3600
 
 
 def src2_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +336,43 @@ def snk1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("system_id", "session_id", "placeholder_key", "value", "saved_ts")
 
 
+def saved_in_turns(spark: SparkSession, sf_dir: str, path: str) -> MappingStore:
+    """The mapping of all calls, saved in four turns as the calls came; the first three are merged by the fourth."""
+    store = MappingStore(spark, path, buckets=16, fanout=3)
+    mapping = cut_lineage(mask_sessions(_calls(spark, sf_dir)).mapping)
+    turn = F.ceil(F.dayofyear("first_ts") / 8)
+    for n in range(1, 5):
+        store.save(mapping.where(turn == n if n < 4 else turn >= n), "turns", n)
+        store.compact()
+    return store
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def src2_store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds of three sessions at one moment, looked up by key."""
+    store = saved_in_turns(spark, sf_dir, _folder(spark))
+    some = [(f"sys_{u % 3}", f"u{u}") for u in (1, 5, 7)]
+    return store.load(some, _AT, ttl=_LONG_TTL).select("system_id", "session_id", "epoch", "placeholder_key", "value")
+
+
+def snk1_store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two saves of the same keys in a store: as its levels add up, and merged into one."""
+    store = MappingStore(spark, _folder(spark), buckets=16)
+    for n, saved in enumerate(_two_saves(spark, sf_dir)):
+        full = saved.selectExpr("*", "'PHONE_NUMBER' AS entity_type", "0 AS idx", "0L AS first_seq", "saved_ts AS first_ts")
+        store.save(full, "saves", n)
+        store.save(full, "saves", n)
+    before = store.read()
+    store.rewrite()
+    after = store.read()
+    columns = ["system_id", "session_id", "placeholder_key", "value", "saved_ts"]
+    return before.select(F.lit("levels").alias("state"), *columns).unionByName(
+        after.select(F.lit("merged").alias("state"), *columns))
+
+
 def snk2_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _two_saves(spark, sf_dir)[0]
     gone = call_table(spark, sf_dir).filter("kind = 'error'").groupBy("system_id", "session_id").agg(
@@ -380,6 +420,11 @@ ORACLES |= {
     "snk3_purge": f"{_ALL_CTES} SELECT system_id, session_id, epoch, placeholder_key, value FROM mapping "
                   f"WHERE saved_ts > timestamp '{_AT}' - interval {TTL} second",
 }
+QUERIES |= {"src2_store_load": src2_store_load, "snk1_store_levels": snk1_store_levels}
+ORACLES["src2_store_load"] = (
+    f"{_ALL_CTES} SELECT system_id, session_id, epoch, placeholder_key, value FROM mapping WHERE first_ts <= timestamp '{_AT}' "
+    f"AND saved_ts > timestamp '{_AT}' - interval {_LONG_TTL} second AND session_id IN ('u1', 'u5', 'u7')"
+)
 # max() over the window must see both saves, so it is taken before the ranking.
 ORACLES["snk1_merge"] = (
     f"WITH {CALLS_CTE}, a AS ({_save_sql(0, 'phone')}), b AS ({_save_sql(1, 'mail_a')}), "
@@ -389,6 +434,8 @@ ORACLES["snk1_merge"] = (
     "(PARTITION BY system_id, session_id, placeholder_key ORDER BY saved_ts DESC) AS rn FROM both_saves) WHERE rn = 1"
 )
 
+ORACLES["snk1_store_levels"] = f"SELECT s.state, m.* FROM ({ORACLES['snk1_merge']}) m, (VALUES ('levels'), ('merged')) s(state)"
+
 # --- restore ------------------------------------------------------------------
 
 _REPLY_COLUMNS = {

@@ -22,6 +22,7 @@ from maskloom.plans.sessions import (
     _calls,
     _filled_replies,
     _reply_text,
+    saved_in_turns,
 )
 from maskloom.session import shared_dir
 from maskloom.sources.corpus import CALL_KEY, as_calls
@@ -80,13 +81,8 @@ def st2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st2_job_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful job's two folders: its texts restored from the mapping it stored."""
-    place, provider = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, jobs.STATE_STORE)
-    try:
-        jobs.mask_session_job(_call_stream(spark, sf_dir), f"{place}/texts", f"{place}/mapping", f"{place}/checkpoint").awaitTermination()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    place = _folder(spark)
+    jobs.mask_session_job(_call_stream(spark, sf_dir), f"{place}/texts", f"{place}/mapping", f"{place}/checkpoint").awaitTermination()
     texts = spark.read.parquet(f"{place}/texts").drop("batch", "epoch").withColumnRenamed("masked_text", "reply")
     back = restore_sessions(texts, jobs.stored_mapping(spark, f"{place}/mapping"), CALL_KEY, "reply")
     return back.select("call_seq", F.col("restored_text").alias("text"), F.contains("reply", F.lit("{{")).alias("masked"))
@@ -104,6 +100,18 @@ def st3_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/out").select("reply_id", "restored_text")
 
 
+def st3_store_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies met by the buckets of a mapping store that four saves have filled, of which three are merged."""
+    place = _folder(spark)
+    store = saved_in_turns(spark, sf_dir, f"{place}/mapping")
+    replies = select_df(_event_stream(spark, sf_dir), _REPLY_COLUMNS).selectExpr(
+        "reply_id", "system_id", "session_id", f"{_REPLY_TEXT} AS text",
+        "cast(ts + late * interval '1' second AS timestamp) AS ts")
+    jobs.restore_stream(replies, store, f"{place}/out", f"{place}/checkpoint",
+                        ["system_id", "session_id", "reply_id"]).awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("reply_id", "restored_text")
+
+
 def st4_once_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call delivered twice; one of each stays."""
     calls = _call_stream(spark, sf_dir)
@@ -126,6 +134,7 @@ def st5_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {
     "st1_stateless": st1_stateless, "st2_sessions": st2_sessions, "st2_job_round_trip": st2_job_round_trip, "st3_restore": st3_restore,
+    "st3_store_restore": st3_store_restore,
     "st4_once_per_call": st4_once_per_call, "st5_audit_windows": st5_audit_windows,
     "st5_session_activity": st5_session_activity,
 }
@@ -135,6 +144,8 @@ ORACLES |= {
     "st2_job_round_trip": f"WITH {CALLS_CTE} SELECT call_seq, text, has_pii AS masked FROM calls",
     "st3_restore": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
                    f"FROM ({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
+    "st3_store_restore": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
+                         f"FROM ({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
     "st4_once_per_call": f"WITH {CALLS_CTE} SELECT call_seq, text FROM calls",
     "st5_audit_windows": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, system_id, "
                          "entity_type, count(*) AS n FROM occ GROUP BY ALL",

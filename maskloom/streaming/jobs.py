@@ -15,6 +15,7 @@ from maskloom.functions.text import SPAN_TYPE, each
 from maskloom.operators.detect import detect
 from maskloom.operators.mask import Masked, mask_sessions, mask_texts
 from maskloom.operators.restore import restore_sessions
+from maskloom.operators.store import BUCKETS, MappingStore
 from maskloom.sources.corpus import CALL_KEY, SESSION, with_session_ids
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,24 +35,26 @@ def once_per_call(calls: DataFrame, delay: str = "10 minutes", key: list[str] |
 class SessionNumbers(StatefulProcessor):
     """Numbers of one session: known values keep theirs, new ones follow on.
 
-    The values live until the session is silent for the TTL in event time; a
-    timer then drops them.  The clock (last call, epoch) stays, so that the next
-    epoch gets a number of its own.  Each session has one writer, so two calls
-    can never claim the same number.
+    All state goes when the session has been silent for the TTL in event time.  Nothing
+    has to outlive that: an epoch's number is that of the TTL-wide bucket of its first call, and
+    epochs of a session never begin in one bucket.  Rows from before the watermark
+    never get here, so none can come back to a closed epoch.  Each session has one writer,
+    so two calls can never claim the same number.
     """
 
     def __init__(self, ttl: int):
-        self._ttl_ms = ttl * 1000
+        self._ttl_us = ttl * 1_000_000
 
     def init(self, handle) -> None:
         self._handle = handle
         self._known = handle.getMapState("known", "k string", "idx int")
         self._counts = handle.getMapState("counts", "entity_type string", "n int")
-        self._clock = handle.getValueState("clock", "last_us bigint, epoch int, closed boolean")
+        self._clock = handle.getValueState("clock", "last_us bigint, epoch int")
 
     def _forget(self) -> None:
         self._known.clear()
         self._counts.clear()
+        self._clock.clear()
 
     def _number(self, key: str) -> tuple[int, bool]:
         known = self._known.getValue((key,))
@@ -66,13 +69,13 @@ class SessionNumbers(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         clock = self._clock.get()
-        last_us, epoch, closed = tuple(clock) if clock is not None else (None, 0, False)
+        last_us, epoch = tuple(clock) if clock is not None else (None, None)
         # One session's rows of one micro-batch, which the trigger bounds.
         for row in sorted(rows, key=lambda r: r.call_seq):
-            if closed or (last_us is not None and row.ts_us - last_us >= self._ttl_ms * 1000):
+            if last_us is None or row.ts_us - last_us >= self._ttl_us:
                 self._forget()
-                epoch, closed = epoch + 1, False
-            last_us = row.ts_us if last_us is None else max(last_us, row.ts_us)
+                epoch, last_us = row.ts_us // self._ttl_us, row.ts_us
+            last_us = max(last_us, row.ts_us)
             found = []
             for k in row.found_keys:
                 idx, first = self._number(k)
@@ -80,17 +83,14 @@ class SessionNumbers(StatefulProcessor):
                 found.append(Row(entity_type=entity, idx=idx, placeholder_key=f"{entity}_{idx}", value=value, first=first))
             yield Row(system_id=key[0], session_id=key[1], call_seq=row.call_seq, ts_us=row.ts_us,
                       epoch=epoch, text=row.text, spans=row.spans, found=found)
-        self._clock.update((last_us, epoch, False))
+        self._clock.update((last_us, epoch))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer(last_us // 1000 + self._ttl_ms)
+        # Past the last moment that still belongs to the epoch, in whole milliseconds.
+        self._handle.registerTimer((last_us + self._ttl_us) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        clock = self._clock.get()
-        if clock is not None:
-            self._forget()
-            # Numbers of a closed epoch are never given out again, even to a late call.
-            self._clock.update((clock[0], clock[1], True))
+        self._forget()
         return iter([])
 
     def close(self) -> None:
@@ -126,41 +126,49 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
         F.expr(rewritten("text", "spans", "found")).alias("masked_text"))
 
 
-_SAVED = [*SESSION, "epoch", "entity_type", "idx", "placeholder_key", "value", "first_seq", "first_ts", "saved_ts"]
+_WRITER = "calls"
 
 
 def mask_session_job(calls: DataFrame, text_path: str, mapping_path: str, checkpoint: str,
-                     ttl: int = DEFAULT_TTL_SECONDS, delay: str = "10 minutes", trigger: dict | None = None,
+                     ttl: int = DEFAULT_TTL_SECONDS, trigger: dict | None = None, buckets: int = BUCKETS,
                      **options) -> StreamingQuery:
-    """Run `mask_session_stream` into two folders: masked texts, and what each batch adds to the mapping.
+    """Mask a stream of calls in their sessions, into masked texts and a `MappingStore`.
 
-    A batch writes folders of its own, so one that runs again replaces its output.  The
-    mapping's folder holds new entries and, without a key, the sessions that were saved
-    again; `stored_mapping` reads it.  Calls older than the watermark are left out by
-    Spark; `mask_missed` finds and masks them.
+    A micro-batch is masked as a batch that continues the stored mapping, of which it reads
+    the buckets of its own sessions and the epochs it can reach.  Text never leaves
+    the JVM, no state is held between batches, and no call is dropped: a late one joins
+    the epoch that is alive when it comes.  A batch that runs again replaces its
+    texts; its additions to the mapping are saved once, as the last thing it does.
     """
+    store = MappingStore(calls.sparkSession, mapping_path, buckets)
+
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        kept.select(*CALL_KEY, "ts", "epoch", "masked_text").write.mode("overwrite").parquet(f"{text_path}/batch={batch_id}")
-        added = kept.select(*SESSION, "epoch", F.inline("found"), F.col("call_seq").alias("first_seq"),
-                            F.col("ts").alias("first_ts"), F.col("ts").alias("saved_ts")).filter("first")
-        saves = kept.groupBy(*SESSION, "epoch").agg(F.max("ts").alias("saved_ts"))
-        added.select(*_SAVED).unionByName(saves, allowMissingColumns=True).write.mode("overwrite").parquet(
-            f"{mapping_path}/batch={batch_id}")
+        if store.committed(_WRITER, batch_id):
+            return
+        kept = with_session_ids(batch).persist()
+        sessions, version = kept.select(*SESSION).distinct(), store.manifest().version or None
+        reach = kept.agg(F.min("ts").alias("first"), F.bool_or(F.col("ts").isNull()).alias("untimed")).first()
+        known = store.read(sessions, version)
+        if reach["first"] is not None and not reach["untimed"]:
+            earliest = F.unix_micros(F.lit(reach["first"])) - ttl * 1_000_000
+            known = known.where(F.coalesce(F.unix_micros("saved_ts") > earliest, F.lit(True)))
+        known = known.persist()
+        done = mask_sessions(kept, ttl, known, history=store.epochs(sessions, version), added_only=True, **options)
+        done.texts.write.mode("overwrite").parquet(f"{text_path}/batch={batch_id}")
+        store.save(done.mapping, _WRITER, batch_id)
+        store.compact()
+        known.unpersist()
         kept.unpersist()
 
     return (
-        mask_session_stream(calls, ttl, delay, **options).writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        calls.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def stored_mapping(spark: SparkSession, mapping_path: str) -> DataFrame:
     """The mapping table that the batches of `mask_session_job` add up to."""
-    rows = spark.read.parquet(mapping_path)
-    saves = rows.groupBy(*SESSION, "epoch").agg(F.max("saved_ts").alias("saved_ts"))
-    entries = rows.filter("placeholder_key IS NOT NULL").drop("saved_ts", "batch")
-    return entries.join(saves, [*SESSION, "epoch"]).select(*_SAVED)
+    return MappingStore(spark, mapping_path).read()
 
 
 def mask_missed(calls: DataFrame, texts: DataFrame, mapping: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,
@@ -170,18 +178,23 @@ def mask_missed(calls: DataFrame, texts: DataFrame, mapping: DataFrame, ttl: int
     return mask_sessions(missed, ttl, mapping, **options)
 
 
-def restore_stream(replies: DataFrame, mapping_path: str, out_path: str, checkpoint: str,
+def restore_stream(replies: DataFrame, mapping: str | MappingStore, out_path: str, checkpoint: str,
                    reply_key: list[str], ttl: int = DEFAULT_TTL_SECONDS, **trigger) -> StreamingQuery:
     """Restore a stream of replies against the mapping as stored at each batch.
 
     Each reply takes the epoch that is alive at its ``ts``; expired sessions stay
     masked.  A batch writes its own folder, so one that runs again replaces its output.
+    Of a `MappingStore` a batch reads the buckets of the sessions whose placeholders it
+    holds; a path is a plain mapping table, read whole.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         # Asked, filled and plain replies all come from the batch; it is read from the source once.
         kept = batch.persist()
-        mapping = batch.sparkSession.read.parquet(mapping_path)
-        back = restore_sessions(kept, mapping, reply_key, ttl=ttl)
+        if isinstance(mapping, MappingStore):
+            known = mapping.read(kept.where(F.contains("text", F.lit("{{"))).select(*SESSION).distinct())
+        else:
+            known = batch.sparkSession.read.parquet(mapping)
+        back = restore_sessions(kept, known, reply_key, ttl=ttl)
         back.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         kept.unpersist()
 

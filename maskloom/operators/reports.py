@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskloom.functions import rulebook as book
+from maskloom.session import cut_lineage
 from maskloom.sources.corpus import SESSION
 
 
@@ -55,23 +56,45 @@ def case_results(expected: DataFrame, predicted: DataFrame, case: str, keys: lis
     return both.groupBy(case).agg(F.bool_and(agree).alias("passed"))
 
 
-# ASCII words and numbers, or single other characters: a value glued to other text is still cut out.
-_TOKEN = "[A-Za-z0-9]+|[^A-Za-z0-9\\\\s]"
+_GRAM = 3
+
+
+def _grams(text: str, size: int) -> str:
+    """All pieces of ``size`` characters of a text, in one pass."""
+    return f"regexp_extract_all({text}, '(?s)(?=(.{{{size}}}))', 1)"
 
 
 def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str]) -> DataFrame:
     """Values of a session, whichever of its calls they came from, still readable in one of its masked texts.
 
-    A text meets only values whose longest token it holds (an equi join), never all of
-    its session's values.  One row per call, type and value; the value itself is left out.
+    Anywhere in the text, inside longer words too.  One row per call, type and value; the value itself is left out.
+
+    Every value is cut into all its pieces of three characters (a shorter value is its own
+    piece), and each text meets the pieces of its session's values, never the values
+    themselves.  A value of which some piece stands in no text of its session is done with.
+    Any other meets the texts that hold its rarest piece, and only there it is looked for.
     """
-    values = mapping.select(*SESSION, "entity_type", "value").distinct().withColumn(
-        "token", F.expr(f"array_sort(regexp_extract_all(value, '{_TOKEN}', 0), "
-                        "(a, b) -> coalesce(nullif(length(b) - length(a), 0), CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END))[0]"))
-    tokens = masked.select(*call_key, F.explode(F.expr(
-        f"array_distinct(regexp_extract_all(masked_text, '{_TOKEN}', 0))")).alias("token"))
-    met = tokens.join(values, [*SESSION, "token"]).select(*call_key, "entity_type", "value")
-    return masked.join(met, call_key).filter(F.contains("masked_text", F.col("value"))).select(*call_key, "entity_type")
+    values = cut_lineage(mapping.select(*SESSION, "entity_type", "value").distinct().where("value <> ''"))
+    # Which of the three lengths of pieces there are.
+    sizes = sorted(r["size"] for r in values.select(F.least(F.length("value"), F.lit(_GRAM)).alias("size")).distinct().collect())
+    if not sizes:
+        return masked.where("false").select(*call_key, F.lit("").alias("entity_type"))
+    cut = " ".join(f"WHEN length(value) {'>=' if n == _GRAM else '='} {n} THEN {_grams('value', n)}" for n in sizes)
+    pieces = values.withColumn("gram", F.explode(F.expr(f"array_distinct(CASE {cut} END)")))
+    keys = list(dict.fromkeys([*SESSION, *call_key]))
+    every = ", ".join(_grams("masked_text", n) for n in sizes)
+    held = masked.select(*keys, F.explode(F.expr(f"array_distinct(concat({every}))")).alias("gram"))
+    # Only pieces of the session's own values go on; the rest of a text's pieces ends here.
+    met = cut_lineage(held.join(pieces.select(*SESSION, "gram").distinct(), [*SESSION, "gram"], "left_semi").select(*keys, "gram"))
+    counts = met.groupBy(*SESSION, "gram").agg(F.count("*").alias("n"))
+    rarest = (
+        pieces.join(counts, [*SESSION, "gram"], "left")
+        .groupBy(*SESSION, "entity_type", "value")
+        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("pieces"), F.count("n").alias("found"))
+        .where("pieces = found").drop("pieces", "found")
+    )
+    candidates = met.join(rarest, [*SESSION, "gram"]).select(*call_key, "entity_type", "value")
+    return masked.join(candidates, call_key).filter(F.contains("masked_text", F.col("value"))).select(*call_key, "entity_type")
 
 
 def top_values(spans: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from maskloom.operators import reports
 from maskloom.operators.detect import detect, span_rows
 from maskloom.operators.mask import mask_sessions
 from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, call_table, digits, pick, select_df, select_sql, texts
-from maskloom.plans.sessions import _calls
+from maskloom.plans.sessions import _ALL_CTES, _MASKED, _calls, _keyed_calls
 from maskloom.sources.corpus import CALL_KEY
 
 QUERIES: dict = {}
@@ -119,6 +119,21 @@ def a4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "system_id", "in_source", F.coalesce("in_masked", F.lit(0)).cast("long").alias("in_masked"))
 
 
+def a4_glued_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks inside longer words: a value of the session with letters around it, one cut short, and a foreign one."""
+    calls = _calls(spark, sf_dir)
+    done = mask_sessions(calls)
+    masked = done.texts.join(call_table(spark, sf_dir).select("call_seq", F.expr(_GLUED).alias("tail")), "call_seq").withColumn(
+        "masked_text", F.concat("masked_text", "tail"))
+    return reports.leaks(masked, done.mapping, CALL_KEY).groupBy("call_seq", "entity_type").agg(F.count("*").alias("n"))
+
+
+_GLUED = (
+    "CASE call_seq % 4 WHEN 0 THEN ' ref' || phone || 'x' WHEN 1 THEN 'z' || mail_b || '.net ' || ip "
+    "WHEN 2 THEN ' ' || substring(phone, 1, 7) ELSE ' ' || reverse(phone) || mail_a END"
+)
+
+
 def a5_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = span_rows(_found(spark, sf_dir), ["system_id"])
     return reports.top_values(spans, 5).select("system_id", "entity_type", "value_hash", "n", "place")
@@ -129,7 +144,7 @@ def a6_rule_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rule_profile(spans, {"all": 0.0, "kept": 0.5})
 
 
-QUERIES |= {"a4_leaks": a4_leaks, "a5_top_values": a5_top_values, "a6_rule_profile": a6_rule_profile}
+QUERIES |= {"a4_leaks": a4_leaks, "a4_glued_leaks": a4_glued_leaks, "a5_top_values": a5_top_values, "a6_rule_profile": a6_rule_profile}
 _RULES_CTE = (
     f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, h AS (SELECT CASE entity_type WHEN 'PHONE_NUMBER' THEN 'D06' WHEN 'EMAIL' THEN 'D01' "
     "ELSE 'D07' END AS rule, count(*) AS hits FROM occ GROUP BY 1)"
@@ -138,6 +153,9 @@ ORACLES |= {
     "a4_leaks": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT system_id, count(*) AS in_source, "
                 "(SELECT count(*) FROM calls c WHERE c.system_id = o.system_id AND has_pii AND kind = 'error') AS in_masked FROM "
                 "(SELECT DISTINCT system_id, session_id, call_seq, entity_type, value FROM occ) o GROUP BY system_id",
+    "a4_glued_leaks": f"{_ALL_CTES}, m AS ({_keyed_calls(f'system_id, session_id, call_seq, {_MASKED} || ({_GLUED}) AS t')}), "
+                      "v AS (SELECT DISTINCT system_id, session_id, entity_type, value FROM occ) "
+                      "SELECT call_seq, entity_type, count(*) AS n FROM m JOIN v USING (system_id, session_id) WHERE contains(t, value) GROUP BY ALL",
     "a5_top_values": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, c AS (SELECT system_id, entity_type, sha256(value) AS value_hash, count(*) AS n "
                      "FROM occ GROUP BY ALL) SELECT system_id, entity_type, value_hash, n, cast(place as int) AS place FROM (SELECT *, row_number() OVER "
                      "(PARTITION BY system_id ORDER BY n DESC, entity_type, value_hash) AS place FROM c) WHERE place <= 5",

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, let, quoted, strings, when
+from maskloom.functions.text import each, let, quoted, when
 
 # How far to look first; further only where too few words were found, so a text with
 # many values is not read in whole for each.
@@ -40,7 +40,7 @@ def _last_words(text: str, start: str) -> str:
             # The first word of a part may be the end of a longer one.
             whole_words = when(complete, before, f"regexp_replace({before}, {quoted('^' + _WORD + '+')}, '')")
             words = each("filter", f"regexp_extract_all({whole_words}, {quoted(_WORD + '+')}, 0)",
-                         lambda w: f"NOT array_contains({strings(_SKIP)}, {w})")
+                         lambda w: f"find_in_set({w}, {quoted(','.join(_SKIP))}) = 0")
             count = when(f"rlike({before}, {quoted(_WORD + '$')})",
                          str(book.CONTEXT_TOKENS + 1), str(book.CONTEXT_TOKENS))
             return let(words, lambda w: (

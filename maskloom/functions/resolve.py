@@ -1,7 +1,8 @@
 """Overlap resolution of spans inside one text.
 
-Every step works on runs of overlapping spans, which are short, so a text with
-very many values never compares all its spans with each other.
+A few spans are compared with each other.  Many are cut into runs that overlap, and each run
+is swept once in sorted order with the furthest end so far, so the time grows with the
+spans however long a run is.
 """
 
 from __future__ import annotations
@@ -9,7 +10,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, empty, gaps, let, per_island, runs, slice_of, span, strings, when
+from maskloom.functions.text import each, empty, gaps, let, per_island, quoted, running_reach, runs, span, when
+
+#: Up to so many spans, comparing each with each is the fastest.
+_FEW = 16
+
+
+def _ordered(run: str, keys: list[Callable[[str], str]]) -> str:
+    """The run sorted by start, then the furthest end first, then ``keys``."""
+    def keyed(s: str) -> str:
+        more = ", ".join(f"'k{i}', {key(s)}" for i, key in enumerate(keys))
+        return f"named_struct('start', {s}.start, 'back', -{s}.end, {more}, 's', {s})"
+
+    return each("transform", f"array_sort({each('transform', run, keyed)})", lambda x: f"{x}.s")
+
+
+def _outstanding(ordered: str, same: Callable[[str, str], str]) -> str:
+    """Of sorted spans those that reach beyond all before them; ``same`` ones stand or fall together."""
+    def sweep(items: str) -> str:
+        def kept(reach: str) -> str:
+            return "flatten(" + runs(
+                items, lambda i: f"NOT ({items}[{i}].start = {items}[{i} - 1].start AND {items}[{i}].end = {items}[{i} - 1].end "
+                                 f"AND {same(f'{items}[{i}]', f'{items}[{i} - 1]')})",
+                lambda first, last: when(f"{first} = 0 OR {reach}[{first} - 1] < {items}[{first}].end",
+                                         f"slice({items}, {first} + 1, {last} - {first} + 1)", empty())) + ")"
+
+        return let(running_reach(items), kept)
+
+    return let(ordered, sweep)
 
 
 def without_contained(run: str) -> str:
@@ -24,33 +52,70 @@ def without_contained(run: str) -> str:
     return each("filter", run, lambda x: f"NOT {each('exists', run, lambda y: better(y, x))}")
 
 
+def without_contained_swept(run: str) -> str:
+    """The same in one sweep for each type and score; there are few of these, whatever the text."""
+    def of_level(items: str, lv: str) -> str:
+        rivals = each("filter", items, lambda s: f"{s}.entity_type = {lv}.entity_type AND {s}.score >= {lv}.score")
+        standing = _outstanding(rivals, lambda x, y: f"{x}.score = {y}.score AND {x}.rule = {y}.rule")
+        return each("filter", standing, lambda x: f"{x}.score = {lv}.score")
+
+    def sweep(items: str) -> str:
+        levels = "array_distinct(" + each(
+            "transform", items, lambda s: f"named_struct('entity_type', {s}.entity_type, 'score', {s}.score)") + ")"
+        return f"flatten({each('transform', levels, lambda lv: of_level(items, lv))})"
+
+    return let(_ordered(run, [lambda s: f"-{s}.score", lambda s: f"{s}.rule"]), sweep)
+
+
 def merged_same_type(text: str, run: str) -> str:
-    """R2: overlapping spans of one type become their union with the best score."""
-    by_type = (
-        f"array_sort({run}, (p, q) -> CASE WHEN p.entity_type < q.entity_type THEN -1 "
-        "WHEN p.entity_type > q.entity_type THEN 1 WHEN p.start < q.start THEN -1 "
-        "WHEN p.start > q.start THEN 1 ELSE p.end - q.end END)"
-    )
+    """R2: overlapping spans of one type become their union with the best score and the first one's rule."""
+    by_type = each("transform", f"array_sort({each('transform', run, lambda s: f'named_struct(\'t\', {s}.entity_type, \'s\', {s})')})",
+                   lambda x: f"{x}.s")
     last = "element_at(acc, -1)"
+    value = f"concat({last}.value, substring(s.value, {last}.end - s.start + 1))"
     union = span(f"{last}.start", f"greatest({last}.end, s.end)", "s.entity_type",
-                 f"greatest({last}.score, s.score)", f"{last}.rule",
-                 slice_of(text, f"{last}.start", f"greatest({last}.end, s.end)"))
+                 f"greatest({last}.score, s.score)", f"{last}.rule", value)
     touching = f"size(acc) > 0 AND {last}.entity_type = s.entity_type AND s.start < {last}.end"
     step = when(touching, f"concat(slice(acc, 1, size(acc) - 1), array({union}))", "concat(acc, array(s))")
     return f"aggregate({by_type}, {empty()}, (acc, s) -> {step})"
 
 
+def merged_same_type_swept(run: str) -> str:
+    """The same in one sweep for each type."""
+    def islands_of(items: str) -> str:
+        def joined(reach: str) -> str:
+            def union(first: str, last: str) -> str:
+                tails = each("transform", f"sequence({first}, {last})", lambda k: when(
+                    f"{k} = {first}", f"{items}[{k}].value",
+                    f"substring({items}[{k}].value, {reach}[{k} - 1] - {items}[{k}].start + 1)"))
+                best = f"array_max({each('transform', f'slice({items}, {first} + 1, {last} - {first} + 1)', lambda s: f'{s}.score')})"
+                one = f"{items}[{first}]"
+                whole = span(f"{one}.start", f"{reach}[{last}]", f"{one}.entity_type", best, f"{one}.rule", f"array_join({tails}, '')")
+                return when(f"{first} = {last}", one, whole)
+
+            return runs(items, lambda i: f"{items}[{i}].start >= {reach}[{i} - 1]", union)
+
+        return let(running_reach(items), joined)
+
+    types = "array_distinct(" + each("transform", run, lambda s: f"{s}.entity_type") + ")"
+
+    def of_type(items: str, t: str) -> str:
+        return let(each("filter", items, lambda s: f"{s}.entity_type = {t}"), islands_of)
+
+    return let(f"array_sort({run})", lambda items: when(
+        f"size({items}) > 1", f"flatten({each('transform', types, lambda t: of_type(items, t))})", items))
+
+
+def _rank(s: str) -> str:
+    return f"find_in_set({s}.entity_type, {quoted(','.join(book.ENTITY_ORDER + book.EXTENDED_ENTITIES))})"
+
+
 def without_conflicts(run: str) -> str:
     """R3, R4: equal span: the higher score stays, then the earlier entity type;
     a span inside a longer one of another type goes whatever its score."""
-    order = strings(book.ENTITY_ORDER + book.EXTENDED_ENTITIES)
-
     def beaten(x: str, y: str) -> str:
-        def rank(s: str) -> str:
-            return f"array_position({order}, {s}.entity_type)"
-
         same = f"{y}.start = {x}.start AND {y}.end = {x}.end"
-        wins = f"({y}.score > {x}.score OR ({y}.score = {x}.score AND {rank(y)} < {rank(x)}))"
+        wins = f"({y}.score > {x}.score OR ({y}.score = {x}.score AND {_rank(y)} < {_rank(x)}))"
         inside = (
             f"{y}.start <= {x}.start AND {y}.end >= {x}.end AND "
             f"({y}.start < {x}.start OR {y}.end > {x}.end)"
@@ -60,6 +125,12 @@ def without_conflicts(run: str) -> str:
     return each("filter", run, lambda x: f"NOT {each('exists', run, lambda y: beaten(x, y))}")
 
 
+def without_conflicts_swept(run: str) -> str:
+    """The same in one sweep."""
+    return _outstanding(_ordered(run, [lambda s: f"-{s}.score", _rank]),
+                        lambda x, y: f"{x}.score = {y}.score AND {x}.entity_type = {y}.entity_type")
+
+
 def clipped(text: str, run: str) -> str:
     """R5: the left one of two overlapping spans ends where the next begins.
 
@@ -67,9 +138,8 @@ def clipped(text: str, run: str) -> str:
     """
     def cut(items: str) -> str:
         end = f"least(s.end, coalesce(get({items}, i + 1).start, s.end))"
-        value = when(f"{end} = s.end", "s.value", slice_of(text, "s.start", end))
-        done = span("s.start", end, "s.entity_type", "s.score", "s.rule", value)
-        return f"transform({items}, (s, i) -> {done})"
+        value = f"substring(s.value, 1, {end} - s.start)"
+        return f"transform({items}, (s, i) -> {span('s.start', end, 's.entity_type', 's.score', 's.rule', value)})"
 
     return let(f"array_sort({run})", cut)
 
@@ -108,14 +178,16 @@ def resolved(text: str, spans: str, merge_blanks: bool = True,
     runs.  Clipping stays inside a run and never opens a gap, so it commutes with
     the merge across blanks.
     """
-    def settle(run: str) -> str:
-        scored = rescore(run) if rescore else run
-        steps = [without_contained, lambda r: merged_same_type(text, r), without_conflicts,
-                 lambda r: clipped(text, r)]
-        out = scored
+    def settled(run: str, steps: list[Callable[[str], str]]) -> str:
         for step in steps:
-            out = let(out, step)
-        return out
-
-    found = per_island(spans, settle)
+            run = let(run, step)
+        return run
+
+    few = [without_contained, lambda r: merged_same_type(text, r), without_conflicts]
+    many = [without_contained_swept, merged_same_type_swept, without_conflicts_swept]
+    # A score is worked out where spans overlap; for many spans in one go.
+    first = [rescore] if rescore else []
+    found = let(spans, lambda given: when(
+        f"size({given}) <= {_FEW}", per_island(given, lambda run: settled(run, [*first, *few])), settled(given, [*first, *many])))
+    found = clipped(text, found)
     return merged_across_blanks(text, found) if merge_blanks else found

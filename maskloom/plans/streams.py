@@ -126,6 +126,14 @@ def st5_audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "system_id", "entity_type", "n")
 
 
+def st5_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows as they close: all that end before the watermark of the last call."""
+    place = _folder(spark)
+    jobs.audit_job(detect(_call_stream(spark, sf_dir)), f"{place}/out", f"{place}/checkpoint", "6 hours", "2 hours").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "system_id", "entity_type", "n")
+
+
 def st5_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _finished(jobs.session_activity(_call_stream(spark, sf_dir)), "complete")
     return done.groupBy("system_id", "session_id").agg(
@@ -136,7 +144,7 @@ QUERIES |= {
     "st1_stateless": st1_stateless, "st2_sessions": st2_sessions, "st2_job_round_trip": st2_job_round_trip, "st3_restore": st3_restore,
     "st3_store_restore": st3_store_restore,
     "st4_once_per_call": st4_once_per_call, "st5_audit_windows": st5_audit_windows,
-    "st5_session_activity": st5_session_activity,
+    "st5_sliding": st5_sliding, "st5_session_activity": st5_session_activity,
 }
 ORACLES |= {
     "st1_stateless": f"WITH {CALLS_CTE} SELECT call_seq, {_OWN} AS masked_text FROM calls",
@@ -149,6 +157,10 @@ ORACLES |= {
     "st4_once_per_call": f"WITH {CALLS_CTE} SELECT call_seq, text FROM calls",
     "st5_audit_windows": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, system_id, "
                          "entity_type, count(*) AS n FROM occ GROUP BY ALL",
+    "st5_sliding": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, placed AS (SELECT unnest(range(0, 3)) AS back, * FROM occ), w AS ("
+                   "SELECT to_timestamp((epoch_us(ts) // 7200000000 - back) * 7200) AT TIME ZONE 'UTC' AS start, system_id, entity_type FROM placed) "
+                   "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, system_id, entity_type, count(*) AS n FROM w "
+                   "WHERE start + interval 6 hour <= (SELECT max(ts) FROM calls WHERE has_pii) - interval 10 minute GROUP BY ALL",
     "st5_session_activity": f"{_ALL_CTES}, s AS (SELECT system_id, session_id, epoch, count(*) AS n FROM ep GROUP BY ALL) "
                             "SELECT system_id, session_id, count(*) AS sessions, cast(sum(n) as bigint) AS calls, max(n) AS longest FROM s GROUP BY system_id, session_id",
 }

@@ -206,13 +206,36 @@ def restore_stream(replies: DataFrame, mapping: str | MappingStore, out_path: st
 
 def audit_windows(detected: DataFrame, width: str = "1 hour", slide: str | None = None,
                   delay: str = "10 minutes") -> DataFrame:
-    """Spans per window, system and type; late rows count within the watermark."""
+    """Spans per window, system and type; late rows count within the watermark.
+
+    In append mode a window comes out once, when the watermark has passed its end, and its state goes then.
+    """
     spans = detected.withWatermark("ts", delay).select("ts", "system_id", F.explode("spans").alias("s"))
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return spans.groupBy(window.alias("w"), "system_id", F.col("s.entity_type").alias("entity_type")).agg(
         F.count("*").alias("n"))
 
 
+def audit_job(detected: DataFrame, path: str, checkpoint: str, width: str = "1 hour", slide: str | None = None,
+              delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
+    """Run `audit_windows` into a folder; it holds the windows that are closed.
+
+    State is what the open windows need.  Spans that come after all their windows have closed are in no
+    window; `late_spans` says how many.
+    """
+    return (
+        audit_windows(detected, width, slide, delay)
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "system_id", "entity_type", "n")
+        .writeStream.outputMode("append").format("parquet").option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def late_spans(query: StreamingQuery) -> int:
+    """Counts that a running or finished `audit_job` has left out as too late, one for each window of a batch's partial count."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def session_activity(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Calls per session between silences of the TTL."""
     return (

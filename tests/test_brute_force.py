@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import resolve
@@ -100,13 +102,15 @@ def _resolve(text: str, spans: list[tuple]) -> list[tuple]:
     return [(s[0], min(s[1], e), s[2]) for s, e in zip(joined, ends)]
 
 
-def test_resolution_equals_loops(spark):
+@pytest.mark.parametrize("most", [9, 60])
+def test_resolution_equals_loops(spark, most):
+    """Up to a few spans, which are compared with each other, and many, which are swept."""
     rng = random.Random(11)
     text = "ab  c d   ef " * 8
     rows = []
     for i in range(800):
         spans = []
-        for j in range(rng.randint(1, 9)):
+        for j in range(rng.randint(1, most)):
             start = rng.randrange(60)
             end = start + rng.randint(1, 14)
             spans.append((start, end, rng.choice(["EMAIL", "PERSON", "HKID"]), rng.choice([0.4, 0.75, 0.95]), f"r{j}", text[start:end]))
@@ -117,3 +121,43 @@ def test_resolution_equals_loops(spark):
     for row in out.collect():
         assert [(s.start, s.end, s.entity_type) for s in row.done] == want[row.id]
         assert all(text[s.start:s.end] == s.value for s in row.done)
+
+
+@pytest.mark.parametrize("step", ["contained", "merged", "conflicts"])
+def test_sweeps_equal_comparisons(spark, step):
+    """Each step on a run with ties of every kind."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        spans = []
+        for _ in range(rng.randint(1, 14)):
+            start = rng.randrange(8)
+            end = start + rng.randint(1, 6)
+            spans.append((start, end, rng.choice(["EMAIL", "PERSON"]), rng.choice([0.4, 0.75]), f"r{rng.randrange(3)}", "abcdefghijklmnop"[start:end]))
+        rows.append((i, "abcdefghijklmnop", spans))
+    df = spark.createDataFrame(rows, f"id int, text string, spans {SPAN_TYPE}")
+    one, other = {
+        "contained": (resolve.without_contained("spans"), resolve.without_contained_swept("spans")),
+        "merged": (resolve.merged_same_type("text", "spans"), resolve.merged_same_type_swept("spans")),
+        "conflicts": (resolve.without_conflicts("spans"), resolve.without_conflicts_swept("spans")),
+    }[step]
+    for r in df.select(F.expr(f"array_sort({one})").alias("a"), F.expr(f"array_sort({other})").alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_a_run_of_very_many_spans(spark):
+    """Twenty thousand spans that all overlap a neighbour, in about four times the time of five thousand."""
+    def spans(n):
+        return [(3 * i, 3 * i + 5, ["EMAIL", "PERSON", "HKID"][i % 3], [0.4, 0.75][i % 2], f"r{i % 5}", "abcde") for i in range(n)]
+
+    def seconds(n):
+        df = spark.createDataFrame([("abc" * n + "de", spans(n))], f"text string, spans {SPAN_TYPE}")
+        begun = time.perf_counter()
+        done = df.select(F.expr(resolve.resolved("text", "spans")).alias("done")).collect()[0]["done"]
+        took = time.perf_counter() - begun
+        assert len(done) == n and all(a.end <= b.start for a, b in zip(done, done[1:]))
+        return took
+
+    seconds(50)
+    few = seconds(5_000)
+    assert seconds(20_000) < 8 * few + 2

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from maskloom.operators.detect import detect
 from maskloom.operators.mask import mask_sessions
 from maskloom.operators.restore import restore_sessions
 from maskloom.sources.corpus import CALL_KEY, CALL_SCHEMA
@@ -73,3 +74,34 @@ def test_missed_calls_are_masked_later(spark):
     late = jobs.mask_missed(every, seen.texts, seen.mapping)
     want = {r["call_seq"]: r["masked_text"] for r in mask_sessions(every).texts.collect() if r["call_seq"] >= 50}
     assert {r["call_seq"]: r["masked_text"] for r in late.texts.collect()} == want
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    """Windows come out once and go from the state; what comes too late is counted apart."""
+    def deliver(rows):
+        spark.createDataFrame(rows, CALL_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "calls"))
+
+    def call(n, seconds):
+        return ("a", f"s{n % 3}", n, START + dt.timedelta(seconds=seconds), "stateful", "write x@corp.org or 10.0.0.7")
+
+    for day in range(6):
+        deliver([call(100 * day + i, 86_400 * day + 600 * i) for i in range(40)])
+    deliver([call(900, 86_400 * 2), call(901, 86_400 * 2 + 60), call(902, 86_400 * 6)])
+    calls = spark.readStream.schema(CALL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "calls"))
+    query = jobs.audit_job(detect(calls), str(tmp_path / "out"), str(tmp_path / "checkpoint"), "2 hours", "1 hour")
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # A day has 8 overlapping windows of two types; the day before is gone by the next batch but one.
+    assert max(held) <= 2 * 8 * 2 and held[-1] <= 4
+    # Two late calls of two types, each in two windows; Spark adds the two up before it drops them.
+    assert jobs.late_spans(query) == 4
+    got = {(r["start"], r["entity_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {}
+    for day in range(6):
+        for i in range(40):
+            hour = (600 * i) // 3600
+            for back in (0, 1):
+                for entity in ("EMAIL", "IP_ADDRESS"):
+                    key = (START + dt.timedelta(days=day, hours=hour - back), entity)
+                    want[key] = want.get(key, 0) + 1
+    assert got == want

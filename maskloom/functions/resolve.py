@@ -170,24 +170,36 @@ def merged_across_blanks(text: str, spans: str) -> str:
         f"size({given}) > 1", let(f"array_sort({given})", merge), given))
 
 
-def resolved(text: str, spans: str, merge_blanks: bool = True,
-             rescore: Callable[[str], str] | None = None) -> str:
-    """All steps; the result is sorted by start and disjoint.
+def rescored(spans: str, rescore: Callable[[str], str]) -> str:
+    """Spans with their scores worked out anew, of a few spans only where they overlap: elsewhere no score decides."""
+    return let(spans, lambda given: when(f"size({given}) <= {_FEW}", per_island(given, rescore), rescore(given)))
 
-    Scores matter only where spans overlap, so ``rescore`` may be left to the
-    runs.  Clipping stays inside a run and never opens a gap, so it commutes with
-    the merge across blanks.
-    """
-    def settled(run: str, steps: list[Callable[[str], str]]) -> str:
+
+def _settled(spans: str, few: list[Callable[[str], str]], many: list[Callable[[str], str]]) -> str:
+    def chain(run: str, steps: list[Callable[[str], str]]) -> str:
         for step in steps:
             run = let(run, step)
         return run
 
-    few = [without_contained, lambda r: merged_same_type(text, r), without_conflicts]
-    many = [without_contained_swept, merged_same_type_swept, without_conflicts_swept]
-    # A score is worked out where spans overlap; for many spans in one go.
-    first = [rescore] if rescore else []
-    found = let(spans, lambda given: when(
-        f"size({given}) <= {_FEW}", per_island(given, lambda run: settled(run, [*first, *few])), settled(given, [*first, *many])))
-    found = clipped(text, found)
+    return let(spans, lambda given: when(
+        f"size({given}) <= {_FEW}", per_island(given, lambda run: chain(run, few)), chain(given, many)))
+
+
+def one_per_type(text: str, spans: str) -> str:
+    """R1, R2: spans of one type no longer overlap."""
+    return _settled(spans, [without_contained, lambda r: merged_same_type(text, r)],
+                    [without_contained_swept, merged_same_type_swept])
+
+
+def disjoint(text: str, spans: str, merge_blanks: bool = True) -> str:
+    """R3 to R6 after that; the result is sorted by start and disjoint.
+
+    Clipping never opens a gap, so it commutes with the merge across blanks.
+    """
+    found = clipped(text, _settled(spans, [without_conflicts], [without_conflicts_swept]))
     return merged_across_blanks(text, found) if merge_blanks else found
+
+
+def resolved(text: str, spans: str, merge_blanks: bool = True) -> str:
+    """All steps in one."""
+    return disjoint(text, one_per_type(text, spans), merge_blanks)

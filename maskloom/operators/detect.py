@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import checks
 from maskloom.functions import rulebook as book
 from maskloom.functions.context import boosted
-from maskloom.functions.resolve import resolved
+from maskloom.functions.resolve import disjoint, one_per_type, rescored
 from maskloom.functions.scan import raw_spans
 from maskloom.functions.text import each, empty, let, quoted, when
 
@@ -31,9 +33,9 @@ def found_sql(text: str, entities: list[str] | None = None, profile: str = "defa
     return found
 
 
-def finished_sql(text: str, spans: str, entities: list[str] | None = None, profile: str = "default", *,
-                 context: str = "all", threshold: float = 0.0, resolve: bool = True, merge_blanks: bool = True) -> str:
-    """Found spans with their scores raised, weak ones dropped and overlaps resolved.
+def finishing(text: str, entities: list[str] | None = None, profile: str = "default", *, context: str = "all",
+              threshold: float = 0.0, resolve: bool = True, merge_blanks: bool = True) -> list[Callable[[str], str]]:
+    """The steps from found spans to finished ones: scores raised, weak ones dropped, overlaps resolved.
 
     ``context`` boosts the score of ``all`` spans, of those that overlap another
     (``overlaps``: enough to decide between them), or of ``none``.
@@ -43,15 +45,21 @@ def finished_sql(text: str, spans: str, entities: list[str] | None = None, profi
     if threshold > 0 and context == "overlaps":
         context = "all"
     types = sorted({r.entity_type for r in book.rules_for(entities, profile)}, key=book.priority_of)
-    out = boosted(text, spans, types) if context == "all" else spans
-    if threshold > 0:
-        out = each("filter", out, lambda s: f"{s}.score >= {threshold}D")
+
+    def scored(spans: str) -> str:
+        out = spans
+        if context == "overlaps" and resolve:
+            out = rescored(spans, lambda run: boosted(text, run, types))
+        elif context == "all":
+            out = boosted(text, spans, types)
+        return each("filter", out, lambda s: f"{s}.score >= {threshold}D") if threshold > 0 else out
+
+    steps = [scored] if context != "none" or threshold > 0 else []
     if resolve:
-        rescore = (lambda run: boosted(text, run, types)) if context == "overlaps" else None
-        out = resolved(text, out, merge_blanks, rescore)
+        steps += [lambda spans: one_per_type(text, spans), lambda spans: disjoint(text, spans, merge_blanks)]
     else:
-        out = f"array_sort({out})"
-    return when(f"size({spans}) > 0", out, spans)
+        steps.append(lambda spans: f"array_sort({spans})")
+    return [lambda spans, step=step: when(f"size({spans}) > 0", step(spans), spans) for step in steps]
 
 
 def _stands(s: str, names: str) -> str:
@@ -61,17 +69,20 @@ def _stands(s: str, names: str) -> str:
 
 def detect(df: DataFrame, text_col: str = "text", out: str = "spans", entities: list[str] | None = None,
            profile: str = "default", extra: str | None = None, **options) -> DataFrame:
-    """Add the spans of ``text_col``; options go to `finished_sql`.  No shuffle.
+    """Add the spans of ``text_col``; options go to `finishing`.  No shuffle.
 
     Each expression sits inside a one-row generator, so later filters on the spans
-    read the finished column instead of repeating the detection.  There are two,
+    read the finished column instead of repeating the detection.  There are several,
     because the analyzer resolves nested functions a level at a time, up to a limit.
     """
-    text = f"`{text_col}`"
-    found = F.expr(found_sql(text, entities, profile, extra)).alias("__found")
-    rows = df.select("*", F.inline(F.array(F.struct(found))))
-    done = F.expr(finished_sql(text, "__found", entities, profile, **options)).alias(out)
-    return rows.select("*", F.inline(F.array(F.struct(done)))).drop("__found")
+    text, column = f"`{text_col}`", "__found0"
+    rows = df.select("*", F.inline(F.array(F.struct(F.expr(found_sql(text, entities, profile, extra)).alias(column)))))
+    steps = finishing(text, entities, profile, **options)
+    for n, step in enumerate(steps, 1):
+        after = out if n == len(steps) else f"__found{n}"
+        rows = rows.select("*", F.inline(F.array(F.struct(F.expr(step(column)).alias(after))))).drop(column)
+        column = after
+    return rows
 
 
 def span_rows(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:

@@ -2,19 +2,27 @@
 
 Each text node belongs to the path of tags from the root to it.  Text length outside
 links and punctuation are summed per path and divided by the path's nodes; both ratios
-are smoothed along the page, fused into one score, averaged per path and compared with a
-share of the best path.  Paths above it hold content.  Their nodes fix the container (the
-article or main element around them, else the deepest element common to all), and every
-text in it counts, however short, but for parts that are marked as something else:
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments.  A word in
-class, id or role marks a part only if it does not hold the page's main share of text by
-score, so a wrapper "right-sidebar" or an article "category-legal" around the text is kept.
+are smoothed along the page, mostly among nodes of one path, fused into one score, averaged per path and compared with a
+share of the best path, which is halved until half of the text is reached.  Blocks with a node of a path above it are content.  They fix where
+the text is: in the articles (or main elements) that hold them, if these hold most of the content,
+else from the first content block, with the headings right before it, to the last.
+In there the gaps are filled, so short paragraphs stay, but not lists of links, nor links
+before or after the content.
+
+Never part of it are menus, headers (an article's own too), footers, asides, forms, scripts and styles
+by their tags, and parts that class, id or role call comments, sidebar, notice, advert or the like,
+whatever their share of the page.  A name that only contains such a word ("right-sidebar",
+"category-legal") may belong to a wrapper around the text: it lowers the scores of what it
+marks by far, which decides if there is text without it and changes nothing if there is
+none.  So does a plain name on or around an article, unless it means comments; a name that only
+contains such a word says nothing of what is around an article.
 
 Pages are independent, so this is one narrow pass without a shuffle.
 
 Results for odd input: null, empty and text-free pages give an empty text; tags that are
 never closed, stray end tags and a cut-off last tag are tolerated; repeated rows are
-extracted one by one, null ids and urls are kept; very long pages are read in whole.
+extracted one by one, null ids and urls are kept; very long pages are read in whole, in
+time that grows with their length.
 """
 
 from __future__ import annotations
@@ -29,14 +37,18 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import arrow_map
 
 #: A path holds content from this share of the best path's score on.
-THRESHOLD = 0.15
+THRESHOLD = 0.3
 #: Weights of the neighbours in page order, for smoothing.
-_KERNEL = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
-#: A part with more than this share of the page is kept whatever its class says; the page's largest article needs less.
-MAIN_SHARE, ARTICLE_SHARE = 0.5, 0.33
+_KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
+#: What a neighbour of another path weighs, against one of the same path.
+_STRANGER = 0.2
+#: What a score is multiplied with under an uncertain mark.
+LOWERED = 0.05
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|<(?![a-zA-Z/!?])|\"[^\"]*+\"|'[^']*+')*+)>",
+    re.DOTALL)
+_TAG_BEGIN = re.compile(r"<[/!?a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "textarea", "title", "iframe", "xmp"}
 #: Parts without text of the article.  An end tag of what is around ends one that is not closed.
@@ -48,12 +60,15 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
               "mtext mtr munder munderover semantics".split())
 #: Elements that hold no article text, whatever they are called.
 _APART = {"nav", "footer", "header", "aside", "form", "menu", "dialog", "button", "head", "figure-caption"} | _HOLDERS
-#: Words in class, id or role that mark a part as something else.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
-    r"footer|header|masthead|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|comments?|commentlist|reply|replies|respond|disqus|widget|toolbar|"
-    r"complementary|contentinfo|search|copyright|legal|disclaimer|pagination|pager)(?=$|[\s_-])", re.I)
+#: Fixed value: words in class, id or role that mark a part as something else.
+_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
+    r"cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|"
+    r"recommended|comments?|commentlist|reply|replies|respond|disqus|widget|toolbar|complementary|contentinfo|search|copyright|"
+    r"legal|disclaimer|pagination|pager)")
+_MARKED = re.compile(rf"(?:^|[\s_-]){_WORDS}(?=$|[\s_-])", re.I)
+#: A name made of nothing but such words.
+_CERTAIN = re.compile(rf"(?:^|(?<=\s)){_WORDS}(?:[_-]+(?:{_WORDS}|bar|box|list|links|section|area|block|wrapper|container|form|\d+))*(?=$|\s)", re.I)
 _READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|disqus)(?=$|[\s_-])", re.I)
 #: Classes that say what an article is about.
 _TOPIC = re.compile(r"(?:^|(?<=\s))(?:category|tag)-\S+", re.I)
@@ -73,23 +88,24 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 class _Element:
     """An open or closed element; ``path`` is the number of its tag path in the page.
 
-    ``marked`` is the innermost element at or above it that a word marks, ``readers`` whether the word means comments.
+    ``mark`` is what names say of it: ``certain``, ``readers`` (certainly comments), ``uncertain`` or empty, and
+    ``marked`` the innermost element at or above it that has one.
     """
 
-    __slots__ = ("tag", "path", "parent", "apart", "depth", "link", "body", "marked", "readers")
+    __slots__ = ("tag", "path", "parent", "apart", "depth", "link", "body", "mark", "marked")
 
     def __init__(self, tag: str, parent: "_Element | None", kind: str, path: int) -> None:
         self.tag, self.parent, self.path = tag, parent, path
         self.apart = kind == "apart" or bool(parent and parent.apart)
-        self.marked = self if kind in ("marked", "readers") else parent.marked if parent else None
-        self.readers = kind == "readers"
+        self.mark = kind if kind != "apart" else ""
+        self.marked = self if self.mark else parent.marked if parent else None
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
         self.body = self if tag in ("article", "main") else parent.body if parent else None
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """``apart`` for no part of an article, ``marked`` or ``readers`` for what a word says so of, else empty."""
+    """``apart`` for no part of an article, or the mark that its names put on an element."""
     if tag in _APART:
         return "apart"
     if not attributes or tag in ("html", "body", "main"):
@@ -104,8 +120,13 @@ def _kind(tag: str, attributes: str) -> str:
             return "apart"
         if name in ("class", "id", "role"):
             value = _TOPIC.sub("", value) if tag == "article" else value
-            if _MARKED.search(value):
-                kind = "readers" if kind == "readers" or _READERS.search(value) else "marked"
+            names = _CERTAIN.findall(value) if kind != "readers" else []
+            if any(_READERS.search(m) for m in names):
+                kind = "readers"
+            elif names and tag != "article" and kind != "readers":
+                kind = "certain"
+            elif not kind and _MARKED.search(value):
+                kind = "uncertain"
     return kind
 
 
@@ -124,11 +145,13 @@ def _parsed(page: str, ignored: set[int]) -> tuple[list[tuple[_Element, str, boo
     """The text nodes without the start tags at ``ignored``, and where holders begin that end with the page only."""
     out: list[tuple[_Element, str, bool]] = []
     at = _Element("", None, "", 0)
-    paths: dict[tuple[int, str], int] = {}
+    paths: dict[tuple[int, str, str], int] = {}
     opened: dict[str, int] = {}
     holders: dict[_Element, int] = {}
     unclosed: set[int] = set()
     end, new_block, size = 0, True, len(page)
+    # No tag ends after this, so none is looked for there.
+    last = page.rfind(">") + 1
 
     def close_to(parent: _Element) -> None:
         nonlocal at
@@ -150,15 +173,16 @@ def _parsed(page: str, ignored: set[int]) -> tuple[list[tuple[_Element, str, boo
             element = element.parent
 
     while end < size:
-        token = _TOKEN.search(page, end)
+        token = _TOKEN.search(page, end, last)
         if token is None:
-            rest = page[end:]
-            cut = re.search(r"<[/!?a-zA-Z][^>]*\Z", rest)
-            put(rest[: cut.start()] if cut else rest)
+            cut = _TAG_BEGIN.search(page, max(end, last))
+            put(page[end : cut.start()] if cut else page[end:])
             break
         put(page[end : token.start()])
         end, tag = token.end(), token[2]
         if not tag:
+            if token[0].startswith("<!--") and not token[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if tag not in _INLINE:
@@ -202,8 +226,9 @@ def _parsed(page: str, ignored: set[int]) -> tuple[list[tuple[_Element, str, boo
                 break
             open_one = open_one.parent
         if not token[3].endswith("/") or tag not in _INLINE:
-            path = paths.setdefault((at.path, tag), len(paths) + 1)
-            at = _Element(tag, at, _kind(tag, token[3]), path)
+            kind = _kind(tag, token[3])
+            path = paths.setdefault((at.path, tag, kind), len(paths) + 1)
+            at = _Element(tag, at, kind, path)
             opened[tag] = opened.get(tag, 0) + 1
             if tag in _HOLDERS:
                 holders[at] = token.start()
@@ -211,6 +236,16 @@ def _parsed(page: str, ignored: set[int]) -> tuple[list[tuple[_Element, str, boo
     return out, unclosed
 
 
+def _weight(element: _Element) -> float:
+    """How much an element's text counts, by what its names say."""
+    if element.apart:
+        return 0.0
+    mark = element.marked
+    while mark is not None and not mark.mark:
+        mark = mark.parent.marked
+    return 1.0 if mark is None else LOWERED
+
+
 def path_scores(nodes: list[tuple[_Element, str]]) -> dict[int, float]:
     """Fused, smoothed ratio of each path; ``nodes`` have visible text only."""
     paths: dict[int, int] = {}
@@ -219,125 +254,146 @@ def path_scores(nodes: list[tuple[_Element, str]]) -> dict[int, float]:
     marks = np.array([0 if e.link or e.apart else len(_PUNCTUATION.findall(t)) for e, t in nodes], float)
     count = np.bincount(of)
     fused = np.ones(len(nodes))
+    # The page's ends are continued by their last node.
+    wide = np.pad(of, 2, mode="edge")
+    shares = np.stack([k * np.where(wide[i : i + len(of)] == of, 1.0, _STRANGER) for i, k in enumerate(_KERNEL)])
+    shares /= shares.sum(0)
     for values in (length, marks + 1):
-        ratio = (np.bincount(of, values) / count)[of]
-        smooth = np.convolve(np.pad(ratio, 2, mode="edge"), _KERNEL, "valid")
+        ratio = (np.bincount(of, values) / count)[wide]
+        smooth = sum(share * ratio[i : i + len(of)] for i, share in enumerate(shares))
         fused *= smooth / max(smooth.max(), 1e-9)
-    # A part that is marked as something else has no share in its neighbours' score.
-    fused = np.where([e.apart for e, _ in nodes], 0.0, np.sqrt(fused))
-    return dict(zip(paths, (np.bincount(of, fused) / count).tolist()))
+    # A part that is marked as something else has no share in its neighbours' score; a node of links gets none from them.
+    weight = np.array([0.0 if e.link else _weight(e) for e, _ in nodes])
+    return dict(zip(paths, (np.bincount(of, np.sqrt(fused) * weight) / count).tolist()))
 
 
-def _set_apart(shown: list[tuple[_Element, str]], elements: set[_Element]) -> None:
-    """Makes ``elements`` apart if what marks them, or is around that, lacks the main share of the page."""
-    own: dict[_Element, float] = {}
+def _set_apart(elements: set[_Element], text: set[_Element]) -> None:
+    """Makes what is certainly marked apart, with all in it; ``text`` are the elements that hold visible text."""
+    around: set[_Element] = set()
     for element in elements:
-        mark = element.marked
-        while mark is not None and mark not in own:
-            own[mark] = 0.0
+        # What is around an article is a wrapper, whatever its name, unless that means comments.
+        body = element.body
+        if body is not None and body.mark != "readers" and body not in around:
+            around.add(body)
+            mark = body.parent.marked
+            while mark is not None and mark.mark != "readers" and mark not in around:
+                around.add(mark)
+                mark.mark = "uncertain" if mark.mark == "certain" else ""
+                mark = mark.parent.marked
+    gone: dict[_Element | None, str] = {None: ""}
+
+    def fate(mark: _Element | None) -> str:
+        line = []
+        while mark not in gone:
+            line.append(mark)
             mark = mark.parent.marked
-    if not own:
-        return
-    scores = path_scores(shown)
-    total, articles, plain_body = 0.0, {}, False
-    for element, text in shown:
-        if element.apart:
-            continue
-        # Links have next to no weight, but a page of links alone has a main share too.
-        size = len(text.strip())
-        mass = (0 if element.link else size * scores[element.path]) + 1e-6 * size
-        total += mass
-        if element.marked is not None:
-            own[element.marked] += mass
-        elif element.body is not None:
-            plain_body = True
-        if element.body is not None:
-            articles[element.body] = articles.get(element.body, 0.0) + mass
-    top = max(articles, key=articles.get, default=None)
-    # Innermost first: what is kept adds to the mark around it, what is not is no longer part of the page.
-    left, kept, dropped = total, set(), set()
-    by_depth: dict[int, list[_Element]] = {}
-    for mark in own:
-        by_depth.setdefault(mark.depth, []).append(mark)
-    for depth in sorted(by_depth, reverse=True):
-        base = left
-        for mark in by_depth[depth]:
-            least = ARTICLE_SHARE if mark is top else MAIN_SHARE
-            # Comments are many parts of comments, so they are compared with the whole page.
-            enough = own[mark] > least * total and not plain_body if mark.readers else own[mark] > least * base
-            if mark in kept or enough:
-                kept.add(mark)
-                around = mark.parent.marked
-                if around is not None:
-                    own[around] += own[mark]
-                    kept.add(around)
-            else:
-                dropped.add(mark)
-                left -= own[mark]
-    if dropped and not any(not e.apart and e.marked not in dropped for e, t in shown):
-        # Nothing would be left of the page.
-        most = max(dropped, key=lambda m: own[m])
-        while most is not None:
-            dropped.discard(most)
-            most = most.parent.marked
-    gone: dict[_Element | None, bool] = {None: False}
-    for mark in sorted(own, key=lambda m: m.depth):
-        gone[mark] = mark in dropped or gone[mark.parent.marked]
+        for m in reversed(line):
+            above = gone[m.parent.marked]
+            gone[m] = "readers" if "readers" in (above, m.mark) else "certain" if "certain" in (above, m.mark) else ""
+        return gone[line[0] if line else mark]
+
+    # Comments go always; other marks don't take the only text there is.
+    plain = any(not e.apart and not fate(e.marked) for e in text)
     for element in elements:
-        element.apart |= gone[element.marked]
+        said = fate(element.marked)
+        element.apart |= said == "readers" or said == "certain" and plain
 
 
-def _common(elements: set[_Element]) -> _Element:
-    """The deepest element around all of ``elements``."""
-    below = dict.fromkeys(elements, 1)
-    for element in elements:
-        above = element.parent
-        while above is not None and above not in below:
-            below[above] = 0
-            above = above.parent
-    for element in sorted(below, key=lambda e: -e.depth):
-        if below[element] == len(elements):
-            return element
-        below[element.parent] += below[element]
-    raise AssertionError("elements of one page share its root")
+class _Block:
+    """Text without a block boundary in it."""
 
+    __slots__ = ("first", "text", "links", "content")
+
+    def __init__(self, first: _Element) -> None:
+        self.first, self.text, self.links, self.content = first, [], True, False
 
-def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
-    nodes = text_nodes(page) if page else []
-    shown = [(e, t) for e, t, _ in nodes if t.strip()]
-    _set_apart(shown, {e for e, _, _ in nodes})
-    if not any(not e.apart for e, _ in shown):
-        return ""
-    scores = path_scores(shown)
-    least = threshold * max(scores.values())
-    chosen = {e for e, _ in shown if not e.apart and scores[e.path] >= least} or {e for e, _ in shown if not e.apart}
-    containers = {e.body for e in chosen} - {None}
-    if not containers:
-        containers = {_common(chosen)}
-    inside: dict[_Element | None, bool] = {None: False}
-
-    def counts(element: _Element) -> bool:
-        line = []
-        while element not in inside:
-            line.append(element)
-            if element in containers:
-                inside[element] = True
-                break
-            element = element.parent
-        for e in line:
-            inside[e] = inside[element]
-        return inside[line[0] if line else element]
 
-    parts: list[str] = []
+def _blocks(nodes: list[tuple[_Element, str, bool]], scores: dict[int, float], least: float) -> list[_Block]:
+    """The blocks that hold visible text, parts that are apart left out."""
+    blocks: list[_Block] = []
     gap = True
     for element, text, new_block in nodes:
         gap |= new_block
-        if not element.apart and counts(element):
-            parts.append(f" {text}" if gap else text)
-            gap = False
-        else:
+        if element.apart:
             gap = True
-    return " ".join("".join(parts).split())
+            continue
+        if gap:
+            blocks.append(_Block(element))
+            gap = False
+        block = blocks[-1]
+        block.text.append(text)
+        if text.strip():
+            block.links &= element.link
+            block.content |= scores[element.path] >= least > 0
+    return [b for b in blocks if "".join(b.text).strip()]
+
+
+def _heading(block: _Block) -> bool:
+    element = block.first
+    while element.tag in _INLINE and element.parent:
+        element = element.parent
+    return element.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _between(blocks: list[_Block], ends: bool) -> list[_Block]:
+    """The blocks with the gaps between content filled; with ``ends`` also what is before and after, but for links."""
+    at = [i for i, b in enumerate(blocks) if b.content]
+    if not at:
+        return []
+    first, last = at[0], at[-1]
+    while first > 0 and _heading(blocks[first - 1]) and not blocks[first - 1].links:
+        first -= 1
+    if ends:
+        first, last = 0, len(blocks) - 1
+        while blocks[first].links and not blocks[first].content:
+            first += 1
+        while blocks[last].links and not blocks[last].content:
+            last -= 1
+    named: set[_Element] = set()
+    for i in at:
+        mark = blocks[i].first.marked
+        while mark is not None and mark not in named:
+            named.add(mark)
+            mark = mark.parent.marked
+    kept = []
+    for i in range(first, last + 1):
+        block = blocks[i]
+        if not block.content:
+            listed = block.links and any(0 <= j < len(blocks) and blocks[j].links for j in (i - 1, i + 1))
+            lowered = _weight(block.first) < 1 and block.first.marked not in named
+            if listed or lowered:
+                continue
+        kept.append(block)
+    return kept
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    nodes = text_nodes(page) if page else []
+    _set_apart({e for e, _, _ in nodes}, {e for e, t, _ in nodes if t.strip()})
+    shown = [(e, t) for e, t, _ in nodes if t.strip() and not e.apart]
+    if not shown:
+        return ""
+    # Apart nodes take part in the smoothing, with nothing of their own.
+    scores = path_scores([(e, t) for e, t, _ in nodes if t.strip()])
+    best = max(scores.values())
+    # Half of the text that counts is content at least: where no path stands out, more of them are.
+    mass = [(scores[e.path], 0 if e.link else len(t.strip()) * _weight(e)) for e, t in shown]
+    while best and 2 * sum(m for score, m in mass if score >= threshold * best) < sum(m for _, m in mass):
+        threshold /= 2
+    blocks = _blocks(nodes, scores, threshold * best)
+    inside: dict[_Element, list[_Block]] = {}
+    held = {True: 0, False: 0}
+    for block in blocks:
+        body = block.first.body
+        if body is not None:
+            inside.setdefault(body, []).append(block)
+        if block.content:
+            held[body is not None] += sum(map(len, block.text))
+    if held[True] and held[True] >= held[False]:
+        chosen = {b for own in inside.values() for b in _between(own, True)}
+    else:
+        chosen = set(_between([b for b in blocks if b.first.body is None], False)) or set(blocks)
+    return " ".join(" ".join("".join(b.text) for b in blocks if b in chosen).split())
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",

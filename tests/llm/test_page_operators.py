@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -109,6 +110,87 @@ def test_parts_without_text_end_where_they_should(page, want):
     assert tag_paths.main_text(page) == want
 
 
+LONG = "<p>Much longer than the text, really. It goes on, and on, with marks; and more of them.</p>" * 12
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=comments>{}</div>", "<div class='comment-list'><article class=comment>{}</article></div>", "<ol class=commentlist><li>{}</ol>",
+    "<div class=sidebar>{}</div>", "<div class=cookie-notice>{}</div>", "<section id=newsletter-box>{}</section>", "<div class='right-sidebar'>{}</div>",
+    "<div class=sponsored-links>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>",
+])
+@pytest.mark.parametrize("frame", ["<div id=c>{}</div>", "<article>{}</article>", "<div class=no-sidebar><main>{}</main></div>"])
+def test_other_parts_go_whatever_their_share(part, frame):
+    for page in (frame.format(BODY) + part.format(LONG), part.format(LONG) + frame.format(BODY)):
+        assert tag_paths.main_text(f"<html><body>{page}</body></html>") == WANT
+
+
+LINKS = "<div>" + "".join(f"<a href=/{i}>Link {i}</a><br>" for i in range(8)) + "</div>"
+TWO = "<div class=a><p>First text, long enough. It says, what it says.</p></div><div class=b><p>Second text, as long. It says more, too.</p></div>"
+TWO_WANT = "First text, long enough. It says, what it says. Second text, as long. It says more, too."
+
+
+@pytest.mark.parametrize("page, want", [
+    (LINKS + TWO + "<div>Imprint</div>", TWO_WANT), (TWO + LINKS, TWO_WANT), (TWO.replace("</div><div", f"</div>{LINKS}<div"), TWO_WANT),
+    (TWO.replace("</p></div>", "</p></div><p>Ti.</p>", 1), TWO_WANT.replace("Second", "Ti. Second")),
+    (f"<div>Motto</div><h2>Head</h2>{TWO}<p><a href=/x>Read more</a></p>", f"Head {TWO_WANT}"),
+    (f"<article class=teaser><a href=/y><b>Other</b></a></article><article>{TWO}<a href=/x>Read more</a></article>", TWO_WANT),
+    (f"<article><header><h1>Head</h1><p>By me, today.</p></header>{TWO}</article>", TWO_WANT),
+    (f"<article><p>Teaser, short.</p></article><div>{LONG}</div>", " ".join(re.sub("<.*?>", " ", LONG).split())),
+    ("<a href=/1>One</a> <a href=/2>Two</a>", "One Two"), ("<div class=sidebar><p>All, there is.</p></div>", "All, there is."),
+    ("<div class=comments><p>Nice one, thanks.</p></div>", ""),
+])
+def test_scores_select_the_blocks(page, want):
+    assert tag_paths.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_the_scores_decide(monkeypatch):
+    pages = [f"<body>{LINKS}{TWO}<div>Imprint</div></body>", f"<body><div>Motto</div><ul><li>x</ul>{TWO}</body>"]
+    assert all(tag_paths.main_text(p) == TWO_WANT for p in pages)
+    monkeypatch.setattr(tag_paths, "path_scores", lambda nodes: {e.path: 1.0 for e, _ in nodes})
+    assert all(tag_paths.main_text(p) != TWO_WANT for p in pages)
+
+
+def test_scores_equal_brute_force():
+    """Ratios, smoothing and fusion in loops."""
+    rng = random.Random(9)
+    for _ in range(30):
+        page = "".join(rng.choice(["<p>", "<div>", "</div>", "<a>", "</a>", "<nav>", "</nav>", "<li class=x-side>", "a, b. ", "word ", "x" * 40, "<b>", "</b>"]) for _ in range(60))
+        nodes = [(e, t) for e, t, _ in tag_paths.text_nodes(page) if t.strip()]
+        if not nodes:
+            continue
+        fused = [1.0] * len(nodes)
+        for measure in (lambda t: len(t.strip()), lambda t: sum(c in ".,;:!?" for c in t)):
+            plus = 0 if measure("ab") else 1
+            per_path = {}
+            for e, t in nodes:
+                per_path.setdefault(e.path, []).append((0 if e.link or e.apart else measure(t)) + plus)
+            ratio = [sum(per_path[e.path]) / len(per_path[e.path]) for e, _ in nodes]
+            smooth, last = [], len(nodes) - 1
+            for i, (e, _) in enumerate(nodes):
+                near = [(w, min(max(i + d, 0), last)) for d, w in zip(range(-2, 3), (0.1, 0.2, 0.4, 0.2, 0.1))]
+                near = [(w * (1 if nodes[j][0].path == e.path else 0.2), ratio[j]) for w, j in near]
+                smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+            fused = [f * x / max(max(smooth), 1e-9) for f, x in zip(fused, smooth)]
+        want = {}
+        for (e, _), f in zip(nodes, fused):
+            weight = 0 if e.apart or e.link else 0.05 if e.marked else 1
+            want.setdefault(e.path, []).append(f ** 0.5 * weight)
+        got = tag_paths.path_scores(nodes)
+        assert got.keys() == want.keys() and all(abs(got[k] - sum(v) / len(v)) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a "', "<!x", "<!--x", "</p ", "<p a=<", "<svg>", "<div class=ad>", "<div class=x-ad><article>"])
+def test_hostile_pages_take_linear_time(unit):
+    def seconds(n):
+        page = "<p>Text, here.</p>" + unit * n + ">"
+        begun = time.perf_counter()
+        tag_paths.main_text(page)
+        return time.perf_counter() - begun
+
+    seconds(500)
+    assert seconds(16_000) < 10 * seconds(4_000) + 0.5
+
+
 def test_one_of_several_articles_is_not_lost_for_its_topic():
     page = f"<article class=post>{BODY}</article><article class='post category-legal'>{BODY}</article>"
     assert tag_paths.main_text(page) == f"{WANT} {WANT}"

@@ -2,8 +2,8 @@
 
 Lines are normalised (words joined by one space, ASCII letters in lower case) and
 hashed; for each host, the distinct documents that hold a line are counted.  A line is
-above the limit of its host if more than ``min_docs`` documents and more than ``share`` of
-the host's documents hold it.  Such lines are removed, and a document that loses more than
+above the limit of its host if more than ``share`` of the host's documents hold it, and more than ``min_docs``,
+which only keeps a host of a few documents from losing what some of them happen to share.  Such lines are removed, and a document that loses more than
 ``depleted`` of its words is rejected.  Base rules on a document's own text come first.
 
 Counts are summed on the map side, and a line that a third of all documents hold is
@@ -19,14 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import WordHashes, arrow_map, slices, words_of
 from maskloom.session import cut_lineage
 
-MIN_DOCS = 20
-SHARE = 0.005
+MIN_DOCS = 5
+SHARE = 0.05
 DEPLETED = 0.5
 MIN_WORDS = 50
 #: Per cent of the words that may stand in repeated 3-word windows.
@@ -60,9 +60,14 @@ def line_hash(line: str) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words).lower())).view(np.int64))
 
 
+def _row_key(key: str, text: str, host: str) -> Column:
+    """Hash of a row's id, text and host; it tells a null from the value beside it."""
+    return F.xxhash64(*[c for name in (key, text, host) for c in (F.col(name).isNull(), F.col(name))])
+
+
 def _measured(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (key, host)}
-    rows = docs.select(F.xxhash64(key, text, host).alias("_rk"), F.col(key).alias("doc_id"), F.col(host).alias("host"), text)
+    rows = docs.select(_row_key(key, text, host).alias("_rk"), F.col(key).alias("doc_id"), F.col(host).alias("host"), text)
     known = WordHashes()
 
     def run(batch):
@@ -129,9 +134,11 @@ def query(docs: DataFrame) -> DataFrame:
 def without_frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
                            **limits) -> DataFrame:
     """The rows that are kept, all columns as they were but for the lines taken out of ``text``."""
-    said = judged(docs, key, text, host, **limits).where("kept").select("_rk", F.col("removed").alias("_removed"))
     names, schema, at = docs.columns, docs.schema, docs.columns.index(text)
-    rows = docs.withColumn("_rk", F.xxhash64(key, text, host)).join(said.dropDuplicates(["_rk"]), "_rk")
+    # The row travels as one value, so its own columns may be called anything.
+    said = judged(docs, key, text, host, **limits).where("kept").select("_rk", "removed").dropDuplicates(["_rk"])
+    rows = docs.select(_row_key(key, text, host).alias("_rk"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")).join(said, "_rk")
+    flat = rows.select(*[F.col("row").getField(n).alias(f"c{i}") for i, n in enumerate(names)], "removed")
 
     def run(batches):
         for batch in slices(batches, 256):
@@ -144,7 +151,7 @@ def without_frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select(*names, "_removed").mapInArrow(run, schema)
+    return flat.mapInArrow(run, schema)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

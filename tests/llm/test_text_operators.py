@@ -398,3 +398,24 @@ def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
                           "n_docs long, n_tokens long").write.parquet(f"{place}/ledger/batch=1")
     assert not rollup.committed(1) and rollup.commit(1, rows)
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 2)]
+
+
+def test_lines_are_removed_and_documents_rejected_by_the_given_limits(spark):
+    """At hosts of 10, 50 and 500 documents, with the limits of the query."""
+    rows, at = [], 0
+    for host, size in (("a", 10), ("b", 50), ("c", 500)):
+        for i in range(size):
+            own = " ".join(f"{host}{i}x{k}" for k in range(60))
+            lines = (["menu of every page here"] if i % 8 == 0 else []) + ([f"long passage {k} that some share" for k in range(12)] if i % 14 == 0 else [])
+            rows.append((at, "\n".join([own, *lines]), host, "k", 1))
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _rk string, _removed int").repartition(4)
+    got = {r["doc_id"]: r for r in line_frequency.query(df).collect()}
+    kept = {r["doc_id"]: r for r in line_frequency.without_frequent_lines(df).collect()}
+    for doc_id, text, host, _, _ in rows:
+        i = doc_id - {"a": 0, "b": 10, "c": 60}[host]
+        lost = 0 if host == "a" else (5 if i % 8 == 0 else 0) + (72 if host == "c" and i % 14 == 0 else 0)
+        assert got[doc_id]["n_words_removed"] == lost and not got[doc_id]["base_failed"]
+        assert got[doc_id]["kept"] == (lost <= 0.5 * len(text.split())) == (doc_id in kept)
+        assert doc_id not in kept or (kept[doc_id]["_rk"], kept[doc_id]["_removed"]) == ("k", 1)
+    assert 0 < len(rows) - len(kept) < 60

@@ -20,10 +20,10 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.files import Folder
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.operators.mapping import ENTRY_KEY, load_mapping
 from maskloom.operators.numbering import MAPPING_COLUMNS
@@ -64,56 +64,12 @@ class Manifest:
         return cls(raw["version"], raw["buckets"], levels, raw["done"])
 
 
-class _Folder:
-    """Small files in a folder that any file system Spark knows may hold."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._path = self._hadoop.Path(path)
-        conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path.getFileSystem(conf)
-        self._context = self._hadoop.FileContext.getFileContext(self._fs.makeQualified(self._path).toUri(), conf)
-        kind = getattr(self._hadoop, "Options$Rename")
-        self._never_over = spark.sparkContext._gateway.new_array(kind, 1)
-        self._never_over[0] = kind.NONE
-
-    def names(self) -> list[str]:
-        if not self._fs.exists(self._path):
-            return []
-        return [f.getPath().getName() for f in self._fs.listStatus(self._path)]
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._hadoop.Path(self._path, name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def publish(self, name: str, text: str) -> bool:
-        """Put a whole file in place; false if there is one of that name."""
-        self._fs.mkdirs(self._path)
-        draft, place = self._hadoop.Path(self._path, f".{uuid.uuid4().hex}"), self._hadoop.Path(self._path, name)
-        stream = self._fs.create(draft, False)
-        try:
-            stream.write(text.encode())
-        finally:
-            stream.close()
-        try:
-            self._context.rename(draft, place, self._never_over)
-        except Py4JJavaError as failed:
-            if "FileAlreadyExists" not in failed.java_exception.getClass().getName():
-                raise
-            self._fs.delete(draft, False)
-            return False
-        return True
-
-
 class MappingStore:
     """A mapping table at ``path``, made with the first save."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, fanout: int = FANOUT) -> None:
         self.spark, self.path, self._new_buckets, self.fanout = spark, path.rstrip("/"), buckets, fanout
-        self._folder = _Folder(spark, f"{self.path}/manifest")
+        self._folder = Folder(spark, f"{self.path}/manifest")
 
     # --- versions ---------------------------------------------------------------
 
@@ -153,7 +109,7 @@ class MappingStore:
         ordered = ["bucket", *SESSION, "epoch", "placeholder_key"]
         dealt = rows.select(*MAPPING_COLUMNS, self.bucket_of(buckets).alias("bucket")).repartitionByRange(*ordered)
         dealt.sortWithinPartitions(*ordered).write.partitionBy("bucket").parquet(place)
-        held = sorted(int(n.removeprefix("bucket=")) for n in _Folder(self.spark, place).names() if n.startswith("bucket="))
+        held = sorted(int(n.removeprefix("bucket=")) for n in Folder(self.spark, place).names() if n.startswith("bucket="))
         return Level(name, tier, tuple(held)) if held else None
 
     def committed(self, writer: str, batch: int) -> bool:

@@ -3,9 +3,10 @@
 A batch of changes (insert, delete, revise) becomes signed rows: a delete takes off what the
 document last counted, a revision takes that off and adds the new count.  The signed rows
 go to a ledger, their sums by group to a rollup, each in the folder of the batch, and the
-totals are the sum of all rollups.  The rollup's commit is the batch's commit: a batch that
-is committed is not applied again, one that broke off is written anew over its remains, and
-readers see committed batches only.  A commit reads the ledger, not the corpus.
+totals are the sum of all rollups.  A batch is committed by a small file that one rename puts in
+place when both are written: a batch that is committed is not applied again, one that broke
+off, whatever it has written, is written anew over its remains, and readers see committed
+batches only.  A commit reads the ledger, not the corpus.
 
 Results for odd input: a null count is 0; null ids, sources, languages and tokenizers are
 values of their own; of several changes to a document and tokenizer in one batch the last by
@@ -19,11 +20,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maskloom.files import Folder
 from maskloom.session import cut_lineage, shared_dir
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
@@ -43,28 +44,30 @@ class Rollup:
     """A ledger and its totals in a folder that all executors see."""
 
     def __init__(self, spark: SparkSession, place: str) -> None:
-        self.spark, self.place = spark, place
+        self.spark, self.place, self._commits = spark, place, Folder(spark, f"{place}/commits")
+
+    def _done(self) -> list[int]:
+        """Numbers of the committed batches."""
+        return sorted(int(n) for n in self._commits.names() if not n.startswith("."))
 
     def _read(self, what: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.place}/{what}")
-        except AnalysisException as missing:
-            if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        """The rows of all committed batches."""
+        done = self._done()
+        if not done:
+            return None
+        return self.spark.read.parquet(f"{self.place}/{what}").where(F.col("batch").isin(done))
 
     def committed(self, batch: int) -> bool:
-        return self._read(f"rollup/batch={batch}") is not None
+        return batch in self._done()
 
     def _counted(self, key_kind: str) -> DataFrame:
         """What each document counts now: ``doc_id`` and group with ``n_tokens``."""
-        rollup, ledger = self._read("rollup"), self._read("ledger")
-        if rollup is None or ledger is None:
+        ledger = self._read("ledger")
+        if ledger is None:
             return self.spark.createDataFrame(
                 [], f"doc_id {key_kind}, source string, lang string, tokenizer string, n_tokens long")
-        done = [r["batch"] for r in rollup.select("batch").distinct().collect()]
         return (
-            ledger.where(F.col("batch").isin(done)).groupBy("doc_id", *GROUP)
+            ledger.groupBy("doc_id", *GROUP)
             .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
             .where("n_docs > 0").drop("n_docs")
         )
@@ -94,7 +97,7 @@ class Rollup:
         signed = self.spark.read.parquet(f"{self.place}/ledger/batch={batch}")
         (signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
          .write.mode("overwrite").parquet(f"{self.place}/rollup/batch={batch}"))
-        return True
+        return self._commits.publish(str(batch), "")
 
     def totals(self) -> DataFrame:
         """``source``, ``lang``, ``tokenizer``, ``n_docs``, ``n_tokens`` of all committed batches."""

@@ -419,3 +419,19 @@ def test_lines_are_removed_and_documents_rejected_by_the_given_limits(spark):
         assert got[doc_id]["kept"] == (lost <= 0.5 * len(text.split())) == (doc_id in kept)
         assert doc_id not in kept or (kept[doc_id]["_rk"], kept[doc_id]["_removed"]) == ("k", 1)
     assert 0 < len(rows) - len(kept) < 60
+
+
+def test_a_batch_with_all_its_files_but_no_commit_does_not_count(spark, tmp_path):
+    """As it is when the driver is lost after the last file and before the commit."""
+    place, schema = str(tmp_path / "tokens"), "doc_id long, source string, lang string, tokenizer string, change string, n_tokens long, seq int"
+
+    def rows(*changes):
+        return spark.createDataFrame([(1, "a", "en", "t", change, n, 0) for change, n in changes], schema)
+
+    rollup = token_rollup.Rollup(spark, place)
+    assert rollup.commit(1, rows(("insert", 5)))
+    spark.createDataFrame([(1, "a", "en", "t", 1, 100)], "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long").write.parquet(f"{place}/ledger/batch=2")
+    spark.createDataFrame([("a", "en", "t", 1, 100)], "source string, lang string, tokenizer string, n_docs long, n_tokens long").write.parquet(f"{place}/rollup/batch=2")
+    assert not rollup.committed(2) and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 5)]
+    assert rollup.commit(2, rows(("revise", 7))) and not rollup.commit(2, rows(("revise", 9)))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 7)]

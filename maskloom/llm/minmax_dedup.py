@@ -4,7 +4,9 @@ A document is its set of distinct 5-word shingles.  Under each of ``PERMUTATIONS
 hash functions both the least and the greatest value are kept, so half as many
 evaluations give a signature of the same length, each half unbiased for the Jaccard
 similarity.  ``BANDS`` bands of ``ROWS`` values bucket the documents; at a similarity
-of 0.85 a pair shares no bucket with a probability below one in a million.
+of 0.85 a pair shares no bucket with a probability below one in a million, of 0.8 in
+ten thousand.  Pairs that share one are compared on the full sets unless their signatures
+agree less than a pair at the threshold does by 7.5 standard deviations.
 
 Documents with equal sets are one class and go on as one.  Candidates are confirmed
 on the full sets.  No bucket is expanded into all its pairs: first each class meets the
@@ -28,7 +30,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,10 +41,8 @@ from maskloom.session import cut_lineage
 SHINGLE = 5
 PERMUTATIONS = 60
 BANDS, ROWS = 24, 5
-#: Links need 100 * |A and B| >= SIMILARITY * |A or B|.
+#: Links need 100 * |A and B| >= similarity * |A or B|; this is the default.
 SIMILARITY = 85
-#: Of the 120 compared values so many agree at least; at 0.85 fewer are 7 deviations off.
-_LEAST_AGREEING = 72
 #: Classes of one block of a bucket.
 _BLOCK = 256
 
@@ -99,13 +99,20 @@ def _node(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
 
 
-def _with_row_key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("_rk", F.xxhash64(F.col(key), F.col(text)))
+def least_agreeing(similarity: int) -> int:
+    """How many values of a signature agree at least in a pair as similar as this."""
+    n, p = 2 * PERMUTATIONS, similarity / 100
+    return max(0, int(n * p - 7.5 * (n * p * (1 - p)) ** 0.5))
+
+
+def _row_key(key: str, text: str) -> Column:
+    """Hash of a row's id and text; it tells a null from the value beside it."""
+    return F.xxhash64(*[c for name in (key, text) for c in (F.col(name).isNull(), F.col(name))])
 
 
 def _signed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_rk``, id, set size, class and, for its buckets, bands and sketch of each row."""
-    rows = _with_row_key(docs.select(key, text), key, text).select("_rk", F.col(key).alias("doc_id"), text)
+    rows = docs.select(_row_key(key, text).alias("_rk"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     words = WordHashes()
 
@@ -130,26 +137,28 @@ def _agreeing(one: pa.Array, other: pa.Array) -> np.ndarray:
     return (a == b).sum(1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
     small, large = sorted((len(a), len(b)))
-    if 100 * small < SIMILARITY * large:
+    if 100 * small < similarity * large:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+    return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, similarity: int) -> DataFrame:
+    least = least_agreeing(similarity)
+
     def run(batch):
-        ok = _agreeing(batch.column(2), batch.column(3)) >= _LEAST_AGREEING if batch.num_rows else []
+        ok = _agreeing(batch.column(2), batch.column(3)) >= least if batch.num_rows else []
         kept = batch.filter(pa.array(ok, pa.bool_()))
         return {"a": kept.column(0), "b": kept.column(1)}
 
     return arrow_map(pairs.select("a", "b", "a_sketch", "b_sketch"), "a long, b long", run, 4096)
 
 
-def _confirmed(pairs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, similarity: int) -> DataFrame:
     def run(batch):
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity)
               for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         kept = batch.filter(pa.array(ok, pa.bool_()))
         return {"a": kept.column(0), "b": kept.column(1)}
@@ -163,19 +172,19 @@ def _with(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
     return pairs
 
 
-def _merging_links(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
+def _merging_links(left: list[dict], right: list[dict] | None, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
     """Links between members of different components, at most one per merge; the likeliest pairs first."""
     members = left + (right or [])
     sketch = [np.frombuffer(m["sketch"], np.uint8) for m in members]
     comps = np.unique([m["comp"] for m in members], return_inverse=True)[1]
-    n = len(left)
+    n, least = len(left), least_agreeing(similarity)
     split = range(n) if right else range(1, n)
     found_a, found_b, found_n = [], [], []
     table = np.stack(sketch)
     for i in split:
         others = np.arange(n, len(members)) if right else np.arange(i)
         agreeing = (table[others] == table[i]).sum(1)
-        ok = (agreeing >= _LEAST_AGREEING) & (comps[others] != comps[i])
+        ok = (agreeing >= least) & (comps[others] != comps[i])
         found_a.append(np.full(ok.sum(), i))
         found_b.append(others[ok])
         found_n.append(agreeing[ok])
@@ -201,13 +210,13 @@ def _merging_links(left: list[dict], right: list[dict] | None) -> list[tuple[int
     for k in np.argsort(-np.concatenate(found_n), kind="stable"):
         i, j = int(a[k]), int(b[k])
         x, y = root(comps[i]), root(comps[j])
-        if x != y and linked(values(i), values(j)):
+        if x != y and linked(values(i), values(j), similarity):
             parent[x] = y
             out.append((members[i]["node"], members[j]["node"]))
     return out
 
 
-def _links_in_blocks(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_in_blocks(open_rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links between components inside the buckets of ``open_rows`` (band, node, comp)."""
     sizes = open_rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") < _BLOCK).groupBy("band").agg(F.sum("n").alias("n_small"))
@@ -238,14 +247,17 @@ def _links_in_blocks(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batch):
         out = []
         for left, right in zip(batch.column(0), batch.column(1)):
-            out += _merging_links(left.as_py(), right.as_py())
+            out += _merging_links(left.as_py(), right.as_py(), similarity)
         return {"a": [a for a, _ in out], "b": [b for _, b in out]}
 
     return arrow_map(alone.unionByName(across), "a long, b long", run, 4)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_rk`` (row key), ``doc_id``, ``n_shingles``, ``component_id``, ``node`` and ``component`` (label) of every row."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """``_rk`` (row key), ``doc_id``, ``n_shingles``, ``component_id``, ``node`` and ``component`` (label) of every row.
+
+    ``similarity`` is the least one of a link, in hundredths.
+    """
     signed = cut_lineage(_signed_rows(docs, key, text))
     classes = cut_lineage(
         signed.where("node IS NOT NULL").groupBy("node")
@@ -265,11 +277,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     asked = members.select("node").distinct().join(classes.select("node", "_rk", "sketch"), "node")
     # Repeated rows have one row key and one set.
     sets = cut_lineage(arrow_map(
-        _with_row_key(docs.select(key, text), key, text).join(asked, "_rk").select("node", "sketch", text),
+        docs.select(_row_key(key, text).alias("_rk"), F.col(text).alias("text")).join(asked, "_rk")
+        .select("node", "sketch", "text"),
         "node long, sketch binary, set binary", full_sets).dropDuplicates(["node"]))
 
     pairs = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut_lineage(_confirmed(_with(_likely(_with(pairs, sets, "sketch")), sets, "set")))
+    links = cut_lineage(_confirmed(_with(_likely(_with(pairs, sets, "sketch"), similarity), sets, "set"), similarity))
     labels = components(links)
     # A bucket of two has been decided by its only pair.
     rows = members.where("n > 2").join(labels, "node", "left").select(
@@ -282,7 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .where("low <> high").groupBy("n", "x", "s").agg(F.min("band").alias("band"))
     )
     open_rows = cut_lineage(rows.join(several.select("band"), "band"))
-    more = cut_lineage(_links_in_blocks(open_rows, sets))
+    more = cut_lineage(_links_in_blocks(open_rows, sets, similarity))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     ids = (
@@ -304,14 +317,17 @@ def query(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows, all columns as they were, of one document per group: that with the smallest id."""
     # All rows with the smallest id, or all without one if nobody has an id; empty sets are linked with nothing and stay.
-    found = near_duplicates(docs, key, text).where("doc_id <=> component_id")
+    found = near_duplicates(docs, key, text, similarity).where("doc_id <=> component_id")
     empty = F.when(F.col("n_shingles") == 0, F.col("_rk"))
     kept = found.groupBy("component", empty.alias("e")).agg(F.min("_rk").alias("_rk")).select(
         "_rk", F.col("e").isNotNull().alias("_empty"))
     # Rows meet by their key already, so numbering those that repeat needs no further exchange.
     again = F.row_number().over(Window.partitionBy("_rk").orderBy("_rk"))
-    rows = _with_row_key(docs, key, text).join(kept, "_rk").withColumn("_n", again)
-    return rows.where("_n = 1 OR _empty").select(*docs.columns)
+    # The row travels as one value, so its own columns may be called anything.
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    rows = docs.select(_row_key(key, text).alias("_rk"), whole.alias("row")).join(kept, "_rk").withColumn("_n", again)
+    return rows.where("_n = 1 OR _empty").select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)])

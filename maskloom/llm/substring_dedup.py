@@ -244,8 +244,12 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
     """The rows, all columns as they were, with repeated passages cut out of ``text``.
 
     A text that loses nothing stays as it is, white space included.  A row left
-    without a word goes, if it had one before.
+    without a word goes, if it had one before.  Columns may have any name.
     """
-    done = remove_repeated(docs, text, width).where("_n_words = 0 OR _n_removed < _n_words")
-    new = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col(text))
-    return done.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    names = docs.columns
+    # All but the text travels as one value, so that no column can clash with those added on the way.
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text]
+    packed = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*others, F.lit(0).alias("last")).alias("row"))
+    done = remove_repeated(packed, "text", width).where("_n_words = 0 OR _n_removed < _n_words")
+    new = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    return done.select(*[(new if c == text else F.col("row").getField(f"c{i}")).alias(c) for i, c in enumerate(names)])

@@ -69,9 +69,25 @@ def test_language_of_odd_rows(spark, docs, odd, none):
     assert kept.columns == odd.columns and kept.where("text IS NULL OR trim(text) = ''").count() == 0
     nothing = language_id.train_on(none)
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
+    # Nothing to tell languages by: what has a letter stays.
+    assert {r["doc_id"] for r in language_id.keep_identified(odd, nothing).collect()} == {None, *range(4, 15)}
     assert language_id.query(none).count() == 0
 
 
+def test_texts_in_no_learned_language_go(docs):
+    model = language_id.train(docs)
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(100))
+             for _ in range(50)]
+    clean = [r["text"] for r in docs.collect()]
+    assert all(map(model.has_language, clean))
+    strict = [t for t in clean if model.has_language(t, 0.3)]
+    assert len(strict) > 0.95 * len(clean) and sum(model.has_language(t, 0.3) for t in noise) < 5
+    assert not any(map(model.has_language, (None, "", "12 %")))
+    alone = language_id.train(docs.where("lang = 'en'"))
+    assert alone.least_score() == 1 and all(map(alone.has_language, clean))
+
+
 def test_language_model_does_not_see_held_out_labels(docs):
     wrong = docs.withColumn("lang", F.when(language_id.held_out(), "xx").otherwise(F.col("lang")))
     assert "xx" not in {r["lang_pred"] for r in language_id.query(wrong).select("lang_pred").distinct().collect()}
@@ -80,7 +96,7 @@ def test_language_model_does_not_see_held_out_labels(docs):
 # --- near duplicates -----------------------------------------------------------
 
 
-def _near_groups(rows):
+def _near_groups(rows, similarity=85):
     """Exact answer: all pairs."""
     sets = {}
     for i, t in rows:
@@ -97,7 +113,7 @@ def _near_groups(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= similarity * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     smallest = {}
@@ -151,6 +167,30 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert minmax_dedup.one_of_each(none).count() == 0
 
 
+def test_links_at_another_similarity(spark):
+    rng = random.Random(13)
+    rows = []
+    for group in range(40):
+        base = _sentence(rng, 200).split()
+        rows.append((10 * group, " ".join(base)))
+        for i in range(1, 5):
+            copy = list(base)
+            for k in range(rng.randrange(10)):
+                copy[20 * k + rng.randrange(15)] = "changed"
+            rows.append((10 * group + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for similarity in (80, 90):
+        got = {r["doc_id"]: r["component_id"] for r in minmax_dedup.near_duplicates(df, similarity=similarity).collect()}
+        assert got == {i: c for i, (_, c, _) in _near_groups(rows, similarity).items()}
+
+
+def test_keys_tell_nulls_apart(spark):
+    rows = [("x y", None), (None, "x y"), ("x y", "x y"), (None, None)]
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len({r["_rk"] for r in got}) == 4
+    assert sorted(r["n_shingles"] for r in got) == [0, 0, 1, 1]
+
+
 def test_one_of_each_group_whatever_the_ids(spark):
     words = [f"w{i}" for i in range(400)]
     one, near, other = " ".join(words), " ".join([*words[:399], "x"]), " ".join(reversed(words))

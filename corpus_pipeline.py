@@ -11,21 +11,26 @@ from maskloom.llm import bpe, decontaminate, language_id, minmax_dedup, substrin
 from maskloom.llm.common import table
 from maskloom.session import shared_dir
 
+#: Least similarity of a link in this corpus, in hundredths.
+SIMILARITY = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language."""
+    """Documents whose text is in one of the languages learned here; all with a letter if there are none."""
     return language_id.keep_identified(docs, language_id.train_on(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    return minmax_dedup.one_of_each(docs)
+    """One document, that with the smallest id, of each group of documents linked at ``SIMILARITY`` or more."""
+    return minmax_dedup.one_of_each(docs, similarity=SIMILARITY)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere too are cut out of the text; ``n_chars`` follows."""
     cut = substring_dedup.without_repeats(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,12 +9,16 @@ payloads of at least ``min_bytes`` bytes, that with the largest key is the respo
 others become revisits that refer to it.
 
 Archives are written and read by Spark's own sources (text writer with bytes as they
-are, binary files), so they can be in any store.  Files roll after ``per_file`` records.
+are, binary files), so they can be in any store.  A file is full at ``file_bytes`` bytes
+before compression, whatever the number of its records; a record is never split, so only one that
+is longer by itself makes a longer file.  A worker holds a file of each version at most.
 
 Results for odd input: a null payload is empty; a null url leaves out the target; records
 with a null key never are what others refer to unless all keys are null, and then all
 stay responses; repeated rows with the largest key are all responses; an empty table gives
-archives without records and no rows; blanks and control characters in a url are escaped.
+archives without records and no rows; blanks and control characters in a url, and what
+a header line can't hold in a key of text, are escaped.  Keys may be of any type that casts to a
+string and back.
 """
 
 from __future__ import annotations
@@ -23,26 +27,32 @@ import base64
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from maskloom.llm.common import slices
 from maskloom.session import cut_lineage, shared_dir
 
 MIN_BYTES = 1000
-PER_FILE = 4000
+FILE_BYTES = 32 << 20
 #: Field names in the version block of each ARC version.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 _DATE = "20240101000000"
+_ARC_GAP, _WARC_GAP = b"\n", b"\r\n\r\n"
 _KEY_HEADER = "X-Page-Id"
+#: A revisit names the key of its response beside the record's identifier.
+_REFERS_TO_KEY = "X-Refers-To-Page-Id"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -52,8 +62,12 @@ def _escaped(url: str | None) -> str:
     return "%2D" if url == "-" else quote(url, safe="".join(map(chr, range(33, 127))))
 
 
-def _http(key, payload: bytes) -> bytes:
-    named = "" if key is None else f"{_KEY_HEADER}: {key}\r\n"
+def _key_line(key: str) -> str:
+    return quote(key, safe="".join(c for c in map(chr, range(33, 127)) if c != "%"))
+
+
+def _http(key: str | None, payload: bytes) -> bytes:
+    named = "" if key is None else f"{_KEY_HEADER}: {_key_line(key)}\r\n"
     return (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
             f"{named}\r\n").encode() + payload
 
@@ -114,6 +128,12 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + gap, payload
 
 
+def key_of(headers: dict[str, str], name: str = _KEY_HEADER) -> str | None:
+    """The key that a record's headers state."""
+    said = headers.get(name.lower())
+    return None if said is None else unquote(said)
+
+
 def record_id(key: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {digest}')}>"
 
@@ -125,8 +145,8 @@ def _sha1(body: bytes) -> str:
 def warc_record(arc: ArcRecord, refers_to: str | None = None) -> bytes:
     """The WARC record; a revisit of ``refers_to`` (key of the response) keeps the head only."""
     headers, head, payload = http_parts(arc.block)
-    key = headers.get(_KEY_HEADER.lower()) or f"{arc.url} {arc.date}"
-    digest = _sha1(payload)
+    key, digest = key_of(headers), _sha1(payload)
+    key = f"{arc.url} {arc.date}" if key is None else key
     block = arc.block if refers_to is None else head
     d = arc.date
     fields = [
@@ -139,6 +159,7 @@ def warc_record(arc: ArcRecord, refers_to: str | None = None) -> bytes:
         ("WARC-Block-Digest", _sha1(block)),
         ("WARC-Profile", _PROFILE if refers_to is not None else None),
         ("WARC-Refers-To", record_id(refers_to, digest) if refers_to is not None else None),
+        (_REFERS_TO_KEY, _key_line(refers_to) if refers_to is not None else None),
         ("Content-Type", "application/http; msgtype=response" if head else arc.kind),
         ("Content-Length", str(len(block))),
     ]
@@ -172,143 +193,155 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def _write(rows: DataFrame, path: str, between: str, per_file: int) -> None:
-    # The text writer puts out a string's bytes as they are.
-    (rows.select(F.col("record").cast("string")).write.option("lineSep", between)
-     .option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path))
+class _File:
+    """A file being filled; it goes out as one row."""
+
+    def __init__(self, between: bytes, head: bytes) -> None:
+        self._between, self._records, self.size = between, [head], len(head) + len(between)
+
+    def add(self, record: bytes) -> None:
+        self._records.append(record)
+        self.size += len(record) + len(self._between)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self._between.join(self._records)], pa.binary())], names=["file"])
+
+
+def _write(files: DataFrame, path: str, between: bytes) -> None:
+    # The text writer puts out a string's bytes as they are; each row is a file.
+    (files.select(F.col("file").cast("string")).write.option("lineSep", between.decode())
+     .option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-              per_file: int = PER_FILE) -> None:
-    """ARC files of the pages, of version 1 and 2 in turn."""
+              file_bytes: int = FILE_BYTES) -> None:
+    """ARC files of the pages; the hash of its key says if a page goes to a file of version 1 or 2."""
 
     def run(batches):
-        made = offset = 0
+        # Version -> number, name and content of its open file.
+        files, made = {}, 0
         for batch in slices(batches, 64):
-            out = []
             for k, u, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                number, row = divmod(made, per_file)
-                version, name = 1 + number % 2, f"pages-{number}.arc"
-                if row == 0:
-                    out.append(arc_version_block(version, name))
-                    offset, made = len(out[-1]) + 1, made + 1
-                out.append(arc_record(version, u, _http(k, (h or "").encode("utf-8", "surrogatepass")), offset, name))
-                offset, made = offset + len(out[-1]) + 1, made + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                version = 1 + zlib.crc32(str(k).encode("utf-8", "surrogatepass")) % 2
+                if version not in files:
+                    name, made = f"pages-{made}.arc", made + 1
+                    files[version] = name, _File(_ARC_GAP, arc_version_block(version, name))
+                name, file = files[version]
+                file.add(arc_record(version, u, _http(k, (h or "").encode("utf-8", "surrogatepass")), file.size, name))
+                if file.size >= file_bytes:
+                    yield files.pop(version)[1].batch()
+        for _, file in files.values():
+            yield file.batch()
 
-    _write(pages.select(key, url, html).mapInArrow(run, "record binary"), path, "\n", per_file)
+    rows = pages.select(F.col(key).cast("string"), url, html)
+    _write(rows.mapInArrow(run, "file binary"), path, _ARC_GAP)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def arc_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``key``, ``digest`` and ``bytes`` of each record's payload."""
+def _parsed(spark: SparkSession, path: str, parse: Callable, schema: str, weight: Callable) -> DataFrame:
+    """Rows that ``parse`` makes of each file, handed on some megabytes at a time."""
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         for batch in slices(batches, 1):
-            keys, digests, sizes = [], [], []
-            for arc in parse_arc(batch.column(0)[0].as_py()):
-                headers, _, payload = http_parts(arc.block)
-                k = headers.get(_KEY_HEADER.lower())
-                keys.append(int(k) if k else None)
-                digests.append(hashlib.sha1(payload).digest())
-                sizes.append(len(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(sizes, pa.int64())], names=["key", "digest", "bytes"])
+            found, held = [], 0
+            for row in parse(batch.column(0)[0].as_py()):
+                found.append(row)
+                held += weight(row)
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), kinds)], names=kinds.names)
+                    found, held = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), kinds)], names=kinds.names)
 
-    return _files(spark, path).mapInArrow(run, "key long, digest binary, bytes long")
+    return _files(spark, path).mapInArrow(run, schema)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_BYTES, per_file: int = PER_FILE) -> None:
-    """WARC files of the ARC files, equal payloads as revisits."""
+def arc_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``key``, ``digest`` and ``bytes`` of each record's payload."""
+
+    def parse(content):
+        for arc in parse_arc(content):
+            headers, _, payload = http_parts(arc.block)
+            yield key_of(headers), hashlib.sha1(payload).digest(), len(payload)
+
+    return _parsed(spark, path, parse, "key string, digest binary, bytes long", lambda row: 100)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES,
+            key_kind: str = "long") -> None:
+    """WARC files of the ARC files, equal payloads as revisits; keys are compared as ``key_kind``."""
     several = cut_lineage(
         arc_digests(spark, arc_path).where(F.col("bytes") >= min_bytes)
-        .groupBy("digest").agg(F.max("key").alias("response"), F.count("*").alias("n"))
-        .where("n > 1 AND response IS NOT NULL").select("digest", "response"))
+        .groupBy("digest").agg(F.max(F.col("key").cast(key_kind)).alias("response"), F.count("*").alias("n"))
+        .where("n > 1 AND response IS NOT NULL").select("digest", F.col("response").cast("string").alias("response")))
 
-    def records(batches):
-        for batch in slices(batches, 1):
-            found, weight = [], 0
-            for arc in parse_arc(batch.column(0)[0].as_py()):
-                headers, _, payload = http_parts(arc.block)
-                k = headers.get(_KEY_HEADER.lower())
-                found.append((int(k) if k else None, hashlib.sha1(payload).digest(), arc.url, arc.ip, arc.date, arc.kind,
-                              arc.block))
-                weight += len(arc.block)
-                if weight > 4_000_000:
-                    yield _rows(found)
-                    found, weight = [], 0
-            if found:
-                yield _rows(found)
-
-    def _rows(found):
-        kinds = [pa.int64(), pa.binary(), *[pa.string()] * 4, pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)],
-                                          names=["key", "digest", "url", "ip", "date", "kind", "block"])
+    def parse(content):
+        for arc in parse_arc(content):
+            headers, _, payload = http_parts(arc.block)
+            yield key_of(headers), hashlib.sha1(payload).digest(), arc.url, arc.ip, arc.date, arc.kind, arc.block
 
-    parsed = _files(spark, arc_path).mapInArrow(
-        records, "key long, digest binary, url string, ip string, date string, kind string, block binary")
+    parsed = _parsed(
+        spark, arc_path, parse, "key string, digest binary, url string, ip string, date string, kind string, block binary",
+        lambda row: 200 + len(row[-1]))
     joined = parsed.join(several, "digest", "left").select(
         F.when(~F.col("key").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"),
         "url", "ip", "date", "kind", "block")
 
     def warc(batches):
-        made = 0
+        file = None
         for batch in slices(batches, 64):
-            out = []
             for refers_to, *arc in zip(*(c.to_pylist() for c in batch.columns)):
-                if made % per_file == 0:
-                    out.append(warc_info())
-                    made += 1
-                out.append(warc_record(ArcRecord(*arc), None if refers_to is None else str(refers_to)))
-                made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                file = file or _File(_WARC_GAP, warc_info())
+                file.add(warc_record(ArcRecord(*arc), refers_to))
+                if file.size >= file_bytes:
+                    yield file.batch()
+                    file = None
+        if file:
+            yield file.batch()
 
-    _write(joined.mapInArrow(warc, "record binary"), warc_path, "\r\n\r\n", per_file)
+    _write(joined.mapInArrow(warc, "file binary"), warc_path, _WARC_GAP)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record but for the warcinfo ones; payload sizes and digests of revisits are those they state."""
-
-    def run(batches):
-        for batch in slices(batches, 1):
-            out = []
-            for fields, block in parse_warc(batch.column(0)[0].as_py()):
-                if fields["warc-type"] == "warcinfo":
-                    continue
-                headers, _, payload = http_parts(block)
-                key = headers.get(_KEY_HEADER.lower())
-                if fields["warc-type"] == "response":
-                    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                else:
-                    size = int(headers["content-length"])
-                    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                out.append((int(key) if key else None, size, digest, fields["warc-type"], fields["warc-record-id"],
-                            fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields["warc-date"]))
-            if out:
-                kinds = [pa.int64(), pa.int64(), *[pa.string()] * 6]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                    names=["key", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id", "url", "date"])
-
-    return _files(spark, path).mapInArrow(
-        run, "key long, payload_bytes long, payload_digest string, record_type string, record_id string, "
-        "refers_to_id string, url string, date string")
+    """A row per record but for the warcinfo ones; payload sizes and digests of revisits are those they state.
+
+    A record that refers to another by key must do so by the identifier that follows from it.
+    """
+
+    def parse(content):
+        for fields, block in parse_warc(content):
+            if fields["warc-type"] == "warcinfo":
+                continue
+            headers, _, payload = http_parts(block)
+            refers_to = key_of(fields, _REFERS_TO_KEY)
+            if fields["warc-type"] == "response":
+                size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+            else:
+                size, stated = int(headers["content-length"]), fields["warc-payload-digest"]
+                digest = base64.b32decode(stated.removeprefix("sha1:")).hex()
+                if refers_to is not None and fields["warc-refers-to"] != record_id(refers_to, stated):
+                    raise ValueError(f"{fields['warc-record-id']} refers to another record than that of {refers_to}")
+            yield (key_of(headers), size, digest, fields["warc-type"], fields["warc-record-id"], refers_to,
+                   fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields["warc-date"])
+
+    return _parsed(
+        spark, path, parse, "key string, payload_bytes long, payload_digest string, record_type string, record_id string, "
+        "refers_to string, refers_to_id string, url string, date string", lambda row: 500)
 
 
 def query(pages: DataFrame) -> DataFrame:
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     place = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_arc(pages, f"{place}/arc")
-    convert(spark, f"{place}/arc", f"{place}/warc")
-    records = cut_lineage(read_warc(spark, f"{place}/warc"))
-    # A record id of repeated rows stands once here.
-    asked = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
-        F.max("key").alias("refers_to"))
-    return records.join(cut_lineage(asked), "refers_to_id", "left").select(
-        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    convert(spark, f"{place}/arc", f"{place}/warc", key_kind=kind)
+    # A revisit states what it refers to, so nothing has to be joined.
+    return read_warc(spark, f"{place}/warc").select(
+        F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 ORACLE = f"""

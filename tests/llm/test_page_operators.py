@@ -290,23 +290,46 @@ def test_archives_of_pages_and_odd_pages(pages, odd, none):
         assert sorted((tuple(r) for r in arc_convert.query(df).collect()), key=str) == _records(rows)
 
 
-def test_files_hold_records_of_both_versions(spark, pages, tmp_path):
+def test_files_roll_by_bytes_and_are_of_both_versions(spark, pages, tmp_path):
     arc, warc = str(tmp_path / "arc"), str(tmp_path / "warc")
-    arc_convert.write_arc(pages.coalesce(1), arc, per_file=30)
-    arc_convert.convert(spark, arc, warc, per_file=30)
-    versions = set()
+    long = spark.createDataFrame([(-1, None, "x" * 100_000)], "page_id long, url string, html string")
+    pages = pages.unionByName(long)
+    limit, longest = 30_000, pages.selectExpr("max(length(html))").first()[0]
+    arc_convert.write_arc(pages.coalesce(1), arc, file_bytes=limit)
+    arc_convert.convert(spark, arc, warc, file_bytes=limit)
+    versions, sizes = {}, []
     for f in (tmp_path / "arc").glob("*.gz"):
         content = gzip.decompress(f.read_bytes())
-        versions.add(content.split(b"\n")[1][:1])
+        versions[content.split(b"\n")[1][:1]] = content
+        sizes.append(len(content))
         assert list(arc_convert.parse_arc(content)) == list(arc_convert.parse_arc(f.read_bytes()))
-    assert versions == {b"1", b"2"}
+    assert set(versions) == {b"1", b"2"}
+    assert len(sizes) > 3 and max(sizes) < limit + longest + 1000
+    # The offsets that version 2 states are where its records begin.
+    second = versions[b"2"]
+    for record in arc_convert.parse_arc(second):
+        at = second.index(record.block)
+        line = second[:at].rstrip(b"\n").rsplit(b"\n", 1)[-1]
+        assert second.index(line) == int(line.split(b" ")[-3])
     for f in (tmp_path / "warc").glob("*.gz"):
         (first, _), *rest = arc_convert.parse_warc(f.read_bytes())
         assert first["warc-type"] == "warcinfo"
         for fields, block in rest:
             assert fields["warc-date"] == "2024-01-01T00:00:00Z"
             assert fields["warc-block-digest"] == arc_convert._sha1(block)
-    assert arc_convert.read_warc(spark, warc).count() == pages.count()
+    records = arc_convert.read_warc(spark, warc)
+    assert records.count() == pages.count()
+    # What revisits refer to by identifier and by key is one record, a response.
+    ids = {r["key"]: (r["record_id"], r["record_type"]) for r in records.collect()}
+    for r in records.where("record_type = 'revisit'").collect():
+        assert ids[r["refers_to"]] == (r["refers_to_id"], "response")
+
+
+def test_archives_with_keys_of_text(spark):
+    html = "<p>" + "word " * 300
+    rows = [("a", html), ("b", html), ("z %41\r\n\u00e9", html), ("", "short"), (None, html)]
+    pages = spark.createDataFrame([(k, "http://a/", h) for k, h in rows], "page_id string, url string, html string")
+    assert sorted((tuple(r) for r in arc_convert.query(pages).collect()), key=str) == _records(rows)
 
 
 def test_foreign_and_broken_arc_files():

@@ -11,7 +11,7 @@ agree less than a pair at the threshold does by 7.5 standard deviations.
 Documents with equal sets are one class and go on as one.  Candidates are confirmed
 on the full sets.  No bucket is expanded into all its pairs: first each class meets the
 first class of its buckets; what then is still in several components meets in blocks of
-bounded size, pairs of one component are skipped, and each block returns at most one
+bounded number and bytes, pairs of one component are skipped, and each block returns at most one
 link per merge.  Every pair that shares a bucket and could join two components is
 tested, so no link is lost.
 
@@ -43,8 +43,9 @@ PERMUTATIONS = 60
 BANDS, ROWS = 24, 5
 #: Links need 100 * |A and B| >= similarity * |A or B|; this is the default.
 SIMILARITY = 85
-#: Classes of one block of a bucket.
+#: A block of a bucket holds about 256 units; a class is one, and one more for each 64 KB of its set.
 _BLOCK = 256
+_UNIT = 8192
 
 
 def shingles(text: str | None, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -217,8 +218,8 @@ def _merging_links(left: list[dict], right: list[dict] | None, similarity: int =
 
 
 def _links_in_blocks(open_rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between components inside the buckets of ``open_rows`` (band, node, comp)."""
-    sizes = open_rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    """Links between components inside the buckets of ``open_rows`` (band, node, comp, units)."""
+    sizes = open_rows.groupBy("band", "comp").agg(F.sum("units").alias("n"))
     small = sizes.where(F.col("n") < _BLOCK).groupBy("band").agg(F.sum("n").alias("n_small"))
     # A large component has blocks of its own, so that pairs inside it need no task at all.
     block = F.when(
@@ -262,11 +263,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = cut_lineage(
         signed.where("node IS NOT NULL").groupBy("node")
         .agg(F.min("doc_id").alias("first_id"), F.min("_rk").alias("_rk"), F.count("*").alias("copies"),
-             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+             (1 + F.floor(F.first("n_shingles") / _UNIT)).alias("units"))
     )
-    buckets = classes.select("node", F.explode("bands").alias("band"))
+    buckets = classes.select("node", "units", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(buckets.join(shared, "band").select("band", "leader", "node", "n"))
+    members = cut_lineage(buckets.join(shared, "band").select("band", "leader", "node", "n", "units"))
 
     words = WordHashes()
 
@@ -286,13 +288,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     labels = components(links)
     # A bucket of two has been decided by its only pair.
     rows = members.where("n > 2").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("comp"))
+        "band", "node", "units", F.coalesce("component", "node").alias("comp"))
+    # Two independent hashes of a bucket's classes, 128 bits that don't depend on their order.
+    content = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (1, 2)]
     several = (
         rows.groupBy("band")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"),
-             F.expr("bit_xor(node)").alias("x"), F.sum(F.pmod("node", F.lit(1 << 31))).alias("s"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *content)
         # Buckets of the same classes need one look.
-        .where("low <> high").groupBy("n", "x", "s").agg(F.min("band").alias("band"))
+        .where("low <> high").groupBy("n", "h1", "h2").agg(F.min("band").alias("band"))
     )
     open_rows = cut_lineage(rows.join(several.select("band"), "band"))
     more = cut_lineage(_links_in_blocks(open_rows, sets, similarity))

@@ -119,6 +119,27 @@ def st4_once_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(jobs.once_per_call(twice, "40 days").select("call_seq", "text"))
 
 
+#: Calls delivered after all others; the older ones of them are late.
+_LAST = "call_seq % 7 = 3"
+
+
+def st4_late_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that come too late are set apart and masked afterwards; all texts restored from the mapping stored."""
+    place = _folder(spark)
+    calls = _calls(spark, sf_dir)
+    late = jobs.LateCalls(spark, f"{place}/late")
+    for number, part in enumerate((f"NOT {_LAST}", _LAST)):
+        calls.where(part).write.parquet(f"{place}/calls/part={number}")
+        stream = spark.readStream.schema(calls.schema).option("recursiveFileLookup", "true").parquet(f"{place}/calls")
+        jobs.mask_session_job(
+            stream, f"{place}/texts", f"{place}/mapping", f"{place}/checkpoint", late=late).awaitTermination()
+        jobs.mask_late(late, f"{place}/texts", f"{place}/mapping")
+    texts = spark.read.parquet(f"{place}/texts").withColumnRenamed("masked_text", "reply")
+    back = restore_sessions(texts.drop("epoch"), jobs.stored_mapping(spark, f"{place}/mapping"), CALL_KEY, "reply")
+    return back.select("call_seq", F.col("restored_text").alias("text"), F.contains("reply", F.lit("{{")).alias("masked"),
+                       (F.col("batch") < 0).alias("late"))
+
+
 def st5_audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = jobs.audit_windows(detect(_call_stream(spark, sf_dir)), "1 hour")
     done = _finished(counts, "complete")
@@ -143,7 +164,7 @@ def st5_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {
     "st1_stateless": st1_stateless, "st2_sessions": st2_sessions, "st2_job_round_trip": st2_job_round_trip, "st3_restore": st3_restore,
     "st3_store_restore": st3_store_restore,
-    "st4_once_per_call": st4_once_per_call, "st5_audit_windows": st5_audit_windows,
+    "st4_once_per_call": st4_once_per_call, "st4_late_calls": st4_late_calls, "st5_audit_windows": st5_audit_windows,
     "st5_sliding": st5_sliding, "st5_session_activity": st5_session_activity,
 }
 ORACLES |= {
@@ -155,6 +176,8 @@ ORACLES |= {
     "st3_store_restore": f"{_SEEN} SELECT reply_id, {_reply_text('got_phone', 'got_mail')} AS restored_text "
                          f"FROM ({_filled_replies('seen', 'r.system_id', _BY_REPLY)})",
     "st4_once_per_call": f"WITH {CALLS_CTE} SELECT call_seq, text FROM calls",
+    "st4_late_calls": f"WITH {CALLS_CTE} SELECT call_seq, text, has_pii AS masked, {_LAST} AND ts < (SELECT max(ts) FROM calls "
+                      f"WHERE NOT {_LAST}) - interval 10 minute AS late FROM calls",
     "st5_audit_windows": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, system_id, "
                          "entity_type, count(*) AS n FROM occ GROUP BY ALL",
     "st5_sliding": f"WITH {CALLS_CTE}, {OCCURRENCES_CTE}, placed AS (SELECT unnest(range(0, 3)) AS back, * FROM occ), w AS ("

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
+from maskloom.files import Folder
 from maskloom.functions.numbering import rewritten, value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
 from maskloom.functions.text import SPAN_TYPE, each
@@ -126,39 +128,98 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
         F.expr(rewritten("text", "spans", "found")).alias("masked_text"))
 
 
-_WRITER = "calls"
+_WRITER, _LATE_WRITER = "calls", "late calls"
+
+
+class LateCalls:
+    """Side output of `mask_session_job`: calls from before the watermark, for `mask_late` to take up.
+
+    A micro-batch writes its late calls, with the watermark they missed, to a folder of its own
+    and then a mark with the watermark after it, the latest time so far less ``delay``.  The next batch
+    reads one mark, so a batch that runs again, or after a restart, sets the same calls
+    apart.  Calls without a time are never late.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, delay: str = "10 minutes") -> None:
+        self.spark, self._path, self._delay = spark, path, delay
+        self._marks, self._claims = Folder(spark, f"{path}/marks"), Folder(spark, f"{path}/claims")
+
+    def _marked(self) -> list[int]:
+        return sorted(int(n) for n in self._marks.names() if not n.startswith("."))
+
+    def _mark(self, batch: int) -> dict:
+        return json.loads(self._marks.read(str(batch)))
+
+    def set_apart(self, calls: DataFrame, batch: int) -> DataFrame:
+        """The calls that are in time; the late ones are written."""
+        before = [n for n in self._marked() if n < batch]
+        limit = self._mark(before[-1])["watermark"] if before else None
+        late = F.coalesce(F.unix_micros("ts") < F.lit(limit).cast("long"), F.lit(False))
+        seen = calls.agg(
+            F.unix_micros(F.max("ts") - F.expr(f"INTERVAL {self._delay}")).alias("reached"), F.count_if(late).alias("late")).first()
+        if seen["late"]:
+            (calls.where(late).withColumn("watermark", F.timestamp_micros(F.lit(limit)))
+             .write.mode("overwrite").parquet(f"{self._path}/calls/batch={batch}"))
+        reached = max((x for x in (limit, seen["reached"]) if x is not None), default=None)
+        self._marks.publish(str(batch), json.dumps({"watermark": reached, "late": seen["late"]}))
+        return calls.where(~late)
+
+    def claim(self, first: int) -> tuple[int, list[str]]:
+        """Last batch to take up from ``first`` on, and the folders that hold late calls.
+
+        The range is written down before it is used: an attempt that follows a broken one takes the same.
+        """
+        waiting = [n for n in self._marked() if n >= first]
+        if str(first) not in self._claims.names():
+            if not any(self._mark(n)["late"] for n in waiting):
+                return first - 1, []
+            self._claims.publish(str(first), str(waiting[-1]))
+        last = int(self._claims.read(str(first)))
+        return last, [f"{self._path}/calls/batch={n}" for n in waiting if n <= last and self._mark(n)["late"]]
+
+
+def _mask_into(store: MappingStore, calls: DataFrame, texts: str, writer: str, number: int, ttl: int, options: dict) -> None:
+    """Mask ``calls`` as a batch that continues ``store``; text goes to a folder of its own, then the mapping is saved."""
+    kept = with_session_ids(calls).persist()
+    sessions, version = kept.select(*SESSION).distinct(), store.manifest().version or None
+    reach = kept.agg(F.min("ts").alias("first"), F.bool_or(F.col("ts").isNull()).alias("untimed")).first()
+    known = store.read(sessions, version)
+    if reach["first"] is not None and not reach["untimed"]:
+        earliest = F.unix_micros(F.lit(reach["first"])) - ttl * 1_000_000
+        known = known.where(F.coalesce(F.unix_micros("saved_ts") > earliest, F.lit(True)))
+    known = known.persist()
+    done = mask_sessions(kept, ttl, known, history=store.epochs(sessions, version), added_only=True, **options)
+    done.texts.write.mode("overwrite").parquet(texts)
+    store.save(done.mapping, writer, number)
+    store.compact()
+    known.unpersist()
+    kept.unpersist()
 
 
 def mask_session_job(calls: DataFrame, text_path: str, mapping_path: str, checkpoint: str,
                      ttl: int = DEFAULT_TTL_SECONDS, trigger: dict | None = None, buckets: int = BUCKETS,
-                     **options) -> StreamingQuery:
+                     late: LateCalls | None = None, **options) -> StreamingQuery:
     """Mask a stream of calls in their sessions, into masked texts and a `MappingStore`.
 
     A micro-batch is masked as a batch that continues the stored mapping, of which it reads
     the buckets of its own sessions and the epochs it can reach.  Text never leaves
     the JVM, no state is held between batches, and no call is dropped: a late one joins
-    the epoch that is alive when it comes.  A batch that runs again replaces its
-    texts; its additions to the mapping are saved once, as the last thing it does.
+    the epoch that is alive when it comes, or goes to ``late`` if that is given.  A batch that
+    runs again replaces its texts; its additions to the mapping are saved once, as the last
+    thing it does.
     """
     store = MappingStore(calls.sparkSession, mapping_path, buckets)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         if store.committed(_WRITER, batch_id):
             return
-        kept = with_session_ids(batch).persist()
-        sessions, version = kept.select(*SESSION).distinct(), store.manifest().version or None
-        reach = kept.agg(F.min("ts").alias("first"), F.bool_or(F.col("ts").isNull()).alias("untimed")).first()
-        known = store.read(sessions, version)
-        if reach["first"] is not None and not reach["untimed"]:
-            earliest = F.unix_micros(F.lit(reach["first"])) - ttl * 1_000_000
-            known = known.where(F.coalesce(F.unix_micros("saved_ts") > earliest, F.lit(True)))
-        known = known.persist()
-        done = mask_sessions(kept, ttl, known, history=store.epochs(sessions, version), added_only=True, **options)
-        done.texts.write.mode("overwrite").parquet(f"{text_path}/batch={batch_id}")
-        store.save(done.mapping, _WRITER, batch_id)
-        store.compact()
-        known.unpersist()
-        kept.unpersist()
+        if late is None:
+            _mask_into(store, batch, f"{text_path}/batch={batch_id}", _WRITER, batch_id, ttl, options)
+            return
+        # What is late, and the calls in time, both come from the batch; it is read from the source once.
+        read = batch.persist()
+        _mask_into(store, late.set_apart(read, batch_id), f"{text_path}/batch={batch_id}", _WRITER, batch_id, ttl, options)
+        read.unpersist()
 
     return (
         calls.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
@@ -166,6 +227,25 @@ def mask_session_job(calls: DataFrame, text_path: str, mapping_path: str, checkp
     )
 
 
+def mask_late(late: LateCalls, text_path: str, mapping_path: str, ttl: int = DEFAULT_TTL_SECONDS,
+              buckets: int = BUCKETS, **options) -> int:
+    """Mask the late calls that have been set apart since the last time; the number of folders read.
+
+    Nothing else is read of the calls.  They continue the stored mapping as a batch does, each in the
+    epoch that is alive then, and count once: their texts are a folder of the texts, under a
+    number below zero, with the time they count as met, their session's last save; an attempt that broke off is done again over its remains.  A
+    session has one writer, so run it while the job is between two runs.
+    """
+    store = MappingStore(late.spark, mapping_path, buckets)
+    last, folders = late.claim(store.manifest().done.get(_LATE_WRITER, -1) + 1)
+    if folders:
+        found = with_session_ids(late.spark.read.parquet(*folders).drop("watermark"))
+        saves = store.epochs(found.select(*SESSION).distinct()).groupBy(*SESSION).agg(F.max("saved_ts").alias("saved"))
+        met = found.join(saves, SESSION, "left").withColumn("ts", F.greatest("ts", "saved")).drop("saved")
+        _mask_into(store, met, f"{text_path}/batch={-1 - last}", _LATE_WRITER, last, ttl, options)
+    return len(folders)
+
+
 def stored_mapping(spark: SparkSession, mapping_path: str) -> DataFrame:
     """The mapping table that the batches of `mask_session_job` add up to."""
     return MappingStore(spark, mapping_path).read()

@@ -76,6 +76,58 @@ def test_missed_calls_are_masked_later(spark):
     assert {r["call_seq"]: r["masked_text"] for r in late.texts.collect()} == want
 
 
+def test_late_calls_are_set_apart_and_masked_once(spark, tmp_path, monkeypatch):
+    """Late calls come between batches; the catch-up reads only these, and an attempt that breaks off counts once."""
+    rows, place = _rows(), lambda name: str(tmp_path / name)
+    late = jobs.LateCalls(spark, place("late"), "30 seconds")
+    held_back = [r for r in rows if r[2] in (4, 6, 17, 31)]
+    in_time = [r for r in rows if r not in held_back]
+
+    def deliver(some):
+        spark.createDataFrame(some, CALL_SCHEMA).coalesce(1).write.mode("append").parquet(place("calls"))
+        stream = spark.readStream.schema(CALL_SCHEMA).parquet(place("calls"))
+        jobs.mask_session_job(stream, place("texts"), place("mapping"), place("checkpoint"), late=late).awaitTermination()
+
+    def catch_up():
+        return jobs.mask_late(late, place("texts"), place("mapping"))
+
+    def apart():
+        return spark.read.parquet(place("late/calls"))
+
+    untimed = ("a", "s9", 100, None, "stateful", "write u0@mail.com")
+    deliver(in_time[:20])
+    assert catch_up() == 0
+    deliver(held_back[:2] + in_time[20:30] + [untimed])
+    assert {r["call_seq"] for r in apart().collect()} == {4, 6}
+    assert {r["watermark"] for r in apart().collect()} == {max(r[3] for r in in_time[:20]) - dt.timedelta(seconds=30)}
+
+    # The first attempt breaks off after its texts are written; the second is made when more has come.
+    with monkeypatch.context() as broken:
+        def save(*_):
+            raise RuntimeError("lost")
+
+        broken.setattr(jobs.MappingStore, "save", save)
+        with pytest.raises(RuntimeError):
+            catch_up()
+    deliver(in_time[30:] + held_back[2:3])
+    assert catch_up() == 1 and catch_up() == 1 and catch_up() == 0
+    # A batch of late calls alone.
+    deliver(held_back[3:])
+    assert catch_up() == 1 and catch_up() == 0
+
+    texts = spark.read.parquet(place("texts"))
+    every = [*rows, untimed]
+    assert sorted(r["call_seq"] for r in texts.collect()) == sorted(r[2] for r in every)
+    assert {r["call_seq"] for r in texts.where("batch < 0").collect()} == {4, 6, 17, 31}
+    assert texts.where("contains(masked_text, '@')").count() == 0
+    mapping = jobs.stored_mapping(spark, place("mapping"))
+    keys = ["session_id", "epoch", "placeholder_key"]
+    assert mapping.groupBy(*keys).count().where("count > 1").count() == 0
+    assert mapping.groupBy("session_id", "epoch", "entity_type", "value").count().where("count > 1").count() == 0
+    back = restore_sessions(texts.drop("batch", "epoch"), mapping, CALL_KEY, "masked_text")
+    assert {r["call_seq"]: r["restored_text"] for r in back.collect()} == {r[2]: r[5] for r in every}
+
+
 def test_closed_windows_leave_the_state(spark, tmp_path):
     """Windows come out once and go from the state; what comes too late is counted apart."""
     def deliver(rows):

@@ -57,6 +57,7 @@ def case_results(expected: DataFrame, predicted: DataFrame, case: str, keys: lis
 
 
 _GRAM = 3
+_BLOCK_CALLS = 64
 
 
 def _grams(text: str, size: int) -> str:
@@ -70,9 +71,12 @@ def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str]) -> DataFra
     Anywhere in the text, inside longer words too.  One row per call, type and value; the value itself is left out.
 
     Every value is cut into all its pieces of three characters (a shorter value is its own
-    piece), and each text meets the pieces of its session's values, never the values
-    themselves.  A value of which some piece stands in no text of its session is done with.
-    Any other meets the texts that hold its rarest piece, and only there it is looked for.
+    piece), and so are the texts.  The texts of a session are dealt into blocks of some 64, so that what
+    they have in common is moved once for a block, and no block grows with its session.  Pieces of texts
+    meet those of their session's values, never the values themselves.  A value of which some piece stands in no
+    text of its session is done with.  Any other meets the blocks that hold its rarest piece, and only there it is looked for.
+
+    Pieces are many more than the files they are read from tell, so no side is to be broadcast by the size of these.
     """
     values = cut_lineage(mapping.select(*SESSION, "entity_type", "value").distinct().where("value <> ''"))
     # Which of the three lengths of pieces there are.
@@ -81,20 +85,42 @@ def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str]) -> DataFra
         return masked.where("false").select(*call_key, F.lit("").alias("entity_type"))
     cut = " ".join(f"WHEN length(value) {'>=' if n == _GRAM else '='} {n} THEN {_grams('value', n)}" for n in sizes)
     pieces = values.withColumn("gram", F.explode(F.expr(f"array_distinct(CASE {cut} END)")))
-    keys = list(dict.fromkeys([*SESSION, *call_key]))
+    texts = _in_blocks(masked, call_key)
     every = ", ".join(_grams("masked_text", n) for n in sizes)
-    held = masked.select(*keys, F.explode(F.expr(f"array_distinct(concat({every}))")).alias("gram"))
-    # Only pieces of the session's own values go on; the rest of a text's pieces ends here.
-    met = cut_lineage(held.join(pieces.select(*SESSION, "gram").distinct(), [*SESSION, "gram"], "left_semi").select(*keys, "gram"))
-    counts = met.groupBy(*SESSION, "gram").agg(F.count("*").alias("n"))
+    held = (
+        texts.select(*SESSION, "block", F.explode(F.expr(f"array_distinct(concat({every}))")).alias("gram"))
+        .groupBy("block", *SESSION, "gram").agg(F.count("*").alias("n"))
+    )
+    # Only pieces of the session's own values go on; the rest of a block's pieces ends here.
+    own = pieces.select(*SESSION, "gram").distinct()
+    met = cut_lineage(held.join(own.hint("merge"), [*SESSION, "gram"], "left_semi").select(*SESSION, "block", "gram", "n"))
+    counts = met.groupBy(*SESSION, "gram").agg(F.sum("n").alias("n"))
     rarest = (
-        pieces.join(counts, [*SESSION, "gram"], "left")
+        pieces.join(counts.hint("merge"), [*SESSION, "gram"], "left")
         .groupBy(*SESSION, "entity_type", "value")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("pieces"), F.count("n").alias("found"))
         .where("pieces = found").drop("pieces", "found")
     )
-    candidates = met.join(rarest, [*SESSION, "gram"]).select(*call_key, "entity_type", "value")
-    return masked.join(candidates, call_key).filter(F.contains("masked_text", F.col("value"))).select(*call_key, "entity_type")
+    candidates = met.join(rarest.hint("merge"), [*SESSION, "gram"]).select(*SESSION, "block", "entity_type", "value", "gram")
+    keys = list(dict.fromkeys([*SESSION, *call_key]))
+    holds = F.contains("masked_text", F.col("value"))
+    # A piece that begins or ends inside a character of two halves is not found as such.
+    looked = texts.join(candidates.hint("merge"), [*SESSION, "block"]).filter(holds | F.contains("masked_text", F.col("gram")))
+    # Calls of one key count once for each of them that holds the piece.
+    times = F.count("*") * F.count_if(holds)
+    return (
+        looked.dropna(subset=call_key).groupBy(*keys, "entity_type", "value").agg(times.cast("int").alias("times"))
+        .select(*call_key, "entity_type", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("turn")).drop("turn")
+    )
+
+
+def _in_blocks(masked: DataFrame, call_key: list[str]) -> DataFrame:
+    """The texts, written once, with the ``block`` of their session they are in."""
+    keys = list(dict.fromkeys([*SESSION, *call_key]))
+    calls = masked.groupBy(*SESSION).agg(F.count("*").alias("calls"))
+    number = F.pmod(F.xxhash64(*keys), F.ceil(F.col("calls") / _BLOCK_CALLS))
+    return cut_lineage(masked.select(*keys, "masked_text").join(calls.hint("merge"), SESSION).select(
+        *keys, "masked_text", F.xxhash64(*SESSION, number).alias("block")))
 
 
 def top_values(spans: DataFrame, k: int) -> DataFrame:

@@ -40,3 +40,20 @@ def test_glued_short_and_foreign_values(spark):
 
 def test_no_values_and_no_texts(spark):
     assert _got(spark, [("a", "s", 1, "x")], []) == [] == _got(spark, [], [("a", "s", "EMAIL", "x")])
+
+
+def test_texts_of_many_blocks_and_repeated_calls(spark):
+    texts = [("a", "s", i, f"call {i} of john{i % 40}@mail.com and 612{i % 7}") for i in range(300)]
+    values = [("a", "s", "EMAIL", f"john{i}@mail.com") for i in range(60)] + [("a", "s", "PHONE_NUMBER", f"612{i}") for i in range(9)]
+    assert _got(spark, texts, values) == _brute(texts, values) != []
+    # Two calls of one key count once for each other, as they always have.
+    assert _got(spark, [texts[0], texts[0]], values) == sorted(_brute(texts[:1], values) * 4)
+
+
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark, capsys):
+    texts = [("a", f"s{i % 9}", i, f"call {i} of john{i}@mail.com") for i in range(200)]
+    values = [("a", f"s{i % 9}", "EMAIL", f"john{i}@mail.com") for i in range(200)]
+    found = leaks(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(values, VALUES), ["system_id", "session_id", "call_seq"])
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3

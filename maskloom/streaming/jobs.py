@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from maskloom.files import Folder
-from maskloom.functions.numbering import rewritten, value_key
+from maskloom.functions.numbering import value_key
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
-from maskloom.functions.text import SPAN_TYPE, each
+from maskloom.functions.text import each, splice, with_lookup
 from maskloom.operators.detect import detect
 from maskloom.operators.mask import Masked, mask_sessions, mask_texts
 from maskloom.operators.restore import restore_sessions
@@ -42,6 +42,9 @@ class SessionNumbers(StatefulProcessor):
     epochs of a session never begin in one bucket.  Rows from before the watermark
     never get here, so none can come back to a closed epoch.  Each session has one writer,
     so two calls can never claim the same number.
+
+    State is asked over a socket, so a batch asks for a value it has not yet met only, and puts away
+    what the epoch that is alive at its end has gained; epochs that begin and end within a batch never get there.
     """
 
     def __init__(self, ttl: int):
@@ -58,38 +61,51 @@ class SessionNumbers(StatefulProcessor):
         self._counts.clear()
         self._clock.clear()
 
-    def _number(self, key: str) -> tuple[int, bool]:
-        known = self._known.getValue((key,))
-        if known is not None:
-            return known[0], False
-        entity = (key.split("\n", 1)[0],)
-        held = self._counts.getValue(entity)
-        idx = held[0] if held is not None else 0
-        self._counts.updateValue(entity, (idx + 1,))
-        self._known.updateValue((key,), (idx,))
-        return idx, True
+    def _ends(self, last_us: int) -> int:
+        """Past the last moment that still belongs to the epoch, in whole milliseconds."""
+        return (last_us + self._ttl_us) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         clock = self._clock.get()
         last_us, epoch = tuple(clock) if clock is not None else (None, None)
+        if clock is not None:
+            self._handle.deleteTimer(self._ends(last_us))
+        # What this batch has met of the epoch, what it has added, and whether state knows more of it.
+        known, counts, added, stored = {}, {}, [], clock is not None
+
+        def number(k: str) -> int:
+            """The value's number, or -1 less that number where it is new."""
+            if k not in known and stored:
+                held = self._known.getValue((k,))
+                if held is not None:
+                    known[k] = held[0]
+            if k in known:
+                return known[k]
+            entity = k.split("\n", 1)[0]
+            if entity not in counts:
+                held = self._counts.getValue((entity,)) if stored else None
+                counts[entity] = held[0] if held is not None else 0
+            known[k] = counts[entity]
+            counts[entity] += 1
+            added.append(k)
+            return -1 - known[k]
+
         # One session's rows of one micro-batch, which the trigger bounds.
         for row in sorted(rows, key=lambda r: r.call_seq):
             if last_us is None or row.ts_us - last_us >= self._ttl_us:
-                self._forget()
+                if stored:
+                    self._forget()
+                known, counts, added, stored = {}, {}, [], False
                 epoch, last_us = row.ts_us // self._ttl_us, row.ts_us
             last_us = max(last_us, row.ts_us)
-            found = []
-            for k in row.found_keys:
-                idx, first = self._number(k)
-                entity, value = k.split("\n", 1)
-                found.append(Row(entity_type=entity, idx=idx, placeholder_key=f"{entity}_{idx}", value=value, first=first))
-            yield Row(system_id=key[0], session_id=key[1], call_seq=row.call_seq, ts_us=row.ts_us,
-                      epoch=epoch, text=row.text, spans=row.spans, found=found)
+            yield Row(system_id=key[0], session_id=key[1], call_seq=row.call_seq, ts_us=row.ts_us, epoch=epoch, text=row.text,
+                      cuts=row.cuts, found_keys=row.found_keys, numbers=[number(k) for k in row.found_keys])
+        for k in added:
+            self._known.updateValue((k,), (known[k],))
+        for entity in {k.split("\n", 1)[0] for k in added}:
+            self._counts.updateValue((entity,), (counts[entity],))
         self._clock.update((last_us, epoch))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        # Past the last moment that still belongs to the epoch, in whole milliseconds.
-        self._handle.registerTimer((last_us + self._ttl_us) // 1000 + 1)
+        self._handle.registerTimer(self._ends(last_us))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._forget()
@@ -112,21 +128,39 @@ def mask_session_stream(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, delay:
     )
     known = with_session_ids(calls)
     found = known.withColumn("spans", F.col(spans)) if spans else detect(known, **{"context": "overlaps", **options})
+    positions = "transform(found_keys, (k, i) -> named_struct('k', k, 'v', i))"
+    cuts = with_lookup(positions, lambda get: "flatten(" + each(
+        "transform", "spans", lambda s: f"array({s}.start, {s}.end, {get(value_key(s))})") + ")")
     ready = (
         found.withWatermark("ts", delay)
         .select(*CALL_KEY, "ts", F.unix_micros("ts").alias("ts_us"), "text", "spans",
                 F.expr(numbered_keys).alias("found_keys"))
+        .select(*CALL_KEY, "ts", "ts_us", "text", F.expr(cuts).alias("cuts"), "found_keys")
     )
+    # Rows pass through Python, so spans go as three numbers each: start, end, and which of the keys.
     out = (
-        f"system_id string, session_id string, call_seq bigint, ts_us bigint, epoch int, text string, "
-        f"spans {SPAN_TYPE}, found array<{_ENTRY}>"
+        "system_id string, session_id string, call_seq bigint, ts_us bigint, epoch int, text string, "
+        "cuts array<int>, found_keys array<string>, numbers array<int>"
     )
     numbered = ready.groupBy(*SESSION).transformWithState(
         SessionNumbers(ttl), outputStructType=out, outputMode="Append", timeMode="EventTime")
-    return numbered.select(
-        *CALL_KEY, F.timestamp_micros("ts_us").alias("ts"), "epoch", "found",
-        F.expr(rewritten("text", "spans", "found")).alias("masked_text"))
-
+    rows = numbered.select(
+        *CALL_KEY, F.timestamp_micros("ts_us").alias("ts"), "epoch", "text",
+        F.inline(F.array(F.struct(F.expr(_FOUND).alias("found"), F.expr(_PLACES).alias("places")))))
+    return rows.select(*CALL_KEY, "ts", "epoch", "found", F.expr(splice(
+        "text", "places", lambda s: f"concat('{{{{', found[{s}.nth].placeholder_key, '}}}}')")).alias("masked_text"))
+
+
+_NUMBER = "CASE WHEN numbers[i] < 0 THEN -1 - numbers[i] ELSE numbers[i] END"
+_FOUND = (
+    f"CAST(transform(found_keys, (k, i) -> named_struct('entity_type', substring_index(k, '\n', 1), 'idx', {_NUMBER}, "
+    f"'placeholder_key', concat(substring_index(k, '\n', 1), '_', {_NUMBER}), 'value', substring(k, locate('\n', k) + 1), "
+    f"'first', numbers[i] < 0)) AS array<{_ENTRY}>)"
+)
+_PLACES = (
+    "transform(CASE WHEN size(cuts) > 0 THEN sequence(0, size(cuts) - 3, 3) ELSE CAST(array() AS array<int>) END, "
+    "i -> named_struct('start', cuts[i], 'end', cuts[i + 1], 'nth', cuts[i + 2]))"
+)
 
 _WRITER, _LATE_WRITER = "calls", "late calls"
 

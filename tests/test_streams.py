@@ -157,3 +157,87 @@ def test_closed_windows_leave_the_state(spark, tmp_path):
                     key = (START + dt.timedelta(days=day, hours=hour - back), entity)
                     want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+class _Asked:
+    """State of one key in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers, self.asked = {}, None, set(), 0
+
+    def getMapState(self, name, *_):
+        own, outer = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def getValue(self, key):
+                outer.asked += 1
+                return own.get(key)
+
+            def updateValue(self, key, value):
+                outer.asked += 1
+                own[key] = value
+
+            def clear(self):
+                outer.asked += 1
+                own.clear()
+
+        return Map()
+
+    def getValueState(self, *_):
+        outer = self
+
+        class Value:
+            def get(self):
+                outer.asked += 1
+                return outer.value
+
+            def update(self, value):
+                outer.asked += 1
+                outer.value = value
+
+            def clear(self):
+                outer.asked += 1
+                outer.value = None
+
+        return Value()
+
+    def listTimers(self):
+        self.asked += 1
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.asked += 1
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+
+def _numbered(batches, ttl):
+    from pyspark.sql import Row
+
+    handle, out, asked = _Asked(), [], []
+    numbers = jobs.SessionNumbers(ttl)
+    numbers.init(handle)
+    for batch in batches:
+        before = handle.asked
+        rows = [Row(call_seq=n, ts_us=ts * 1_000_000, text="", spans=[], cuts=[], found_keys=keys) for n, ts, keys in batch]
+        out += [(r.call_seq, r.epoch, r.numbers) for r in numbers.handleInputRows(("a", "s"), iter(rows), None)]
+        asked.append(handle.asked - before)
+        assert len(handle.timers) == 1
+    return out, asked
+
+
+def test_state_is_asked_for_what_outlives_a_batch():
+    calls = [(n, 100 * n, [f"EMAIL\nx{n % 3}", f"EMAIL\ny{n}", f"IP_ADDRESS\nz{n % 2}"]) for n in range(400)]
+    # Silences of the TTL between all calls: epochs that end within the batch need no state.
+    out, asked = _numbered([calls], 100)
+    assert [n for _, _, n in out] == [[-1, -2, -1]] * 400 and asked[0] < 20
+    # One epoch over two batches: known values keep their numbers, others follow on.
+    whole, _ = _numbered([calls], 3600)
+    parts, _ = _numbered([calls[:11], calls[11:]], 3600)
+    assert whole == parts
+    short = [(n, n, [f"EMAIL\nx{n % 3}"]) for n in range(400)]
+    _, asked = _numbered([short[:200], short[200:]], 3600)
+    assert max(asked) < 20

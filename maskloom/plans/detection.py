@@ -10,6 +10,7 @@ from maskloom.functions.rulebook import RULE_BY_ID
 from maskloom.operators.detect import detect, score_milli, span_rows
 from maskloom.operators.names import detect_with_gazetteer, detect_with_model, model_span_rows
 from maskloom.plans.fixtures import (
+    built_texts,
     RULE_CASES,
     digits,
     pick,
@@ -174,7 +175,7 @@ _MODEL_COLUMNS = {
 
 
 def _model_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    built = select_df(table(spark, sf_dir, "customer"), _MODEL_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _MODEL_COLUMNS)
     docs = built.selectExpr("doc_id", "'Mr ' || value || ' called about ' || name AS text")
     spans = built.selectExpr("doc_id", "3 AS start", "3 + length(value) AS end", "lang")
     outside = built.selectExpr("doc_id", "500 AS start", "505 AS end", "lang")
@@ -238,7 +239,7 @@ _FORM_COLUMNS = {
 
 def v8_form_field_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form-field rule gives way to an overlapping Chinese model span."""
-    built = select_df(table(spark, sf_dir, "customer"), _FORM_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _FORM_COLUMNS)
     docs = built.selectExpr("doc_id", "'姓名：' || name || '。' AS text")
     spans = built.filter("has_model").selectExpr("doc_id", "3 AS start", "3 + length(name) AS end", "'zh' AS lang")
     rows = span_rows(detect_with_model(docs, spans, "doc_id"), ["doc_id"])
@@ -259,7 +260,7 @@ _BLANK_COLUMNS = {
 
 
 def v9_blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = select_df(table(spark, sf_dir, "customer"), _BLANK_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _BLANK_COLUMNS)
     return detect(built).select("doc_id", F.size("spans").alias("n_spans"))
 
 
@@ -283,7 +284,7 @@ _NAME_TEXT = (
 
 
 def d32_gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = select_df(table(spark, sf_dir, "customer"), _NAME_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _NAME_COLUMNS)
     docs = built.selectExpr("doc_id", f"{_NAME_TEXT} AS text")
     rows = span_rows(detect_with_gazetteer(docs, entities=["PERSON"]), ["doc_id"])
     return rows.select("doc_id", "start", "value", score_milli(F.col("score")))
@@ -311,7 +312,7 @@ _CONTEXT_TEXT = (
 
 
 def _context_scores(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
-    built = select_df(table(spark, sf_dir, "customer"), _CONTEXT_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _CONTEXT_COLUMNS)
     docs = built.selectExpr("doc_id", f"{_CONTEXT_TEXT} AS text")
     rows = span_rows(detect(docs, entities=["PHONE_NUMBER"], threshold=threshold), ["doc_id"])
     return rows.select("doc_id", "value", score_milli(F.col("score")))

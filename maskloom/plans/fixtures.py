@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.session import spread
 
+#: Rows of a table from which texts are made, in one task at most.
+ROWS_PER_TASK = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +26,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
+def built_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows from which texts are made that are then searched."""
+    return spread(table(spark, sf_dir, name), ROWS_PER_TASK)
+
+
 def select_sql(columns: Mapping[str, str], source: str, where: str | None = None) -> str:
     body = ", ".join(f"{e} AS {n}" for n, e in columns.items())
     return f"SELECT {body} FROM {source}" + (f" WHERE {where}" if where else "")
@@ -169,7 +177,7 @@ def _spark_sql(expr: str) -> str:
 
 
 def rule_texts(spark: SparkSession, sf_dir: str, rule_id: str) -> DataFrame:
-    keyed = texts(spark, sf_dir, "customer").selectExpr("c_custkey AS k")
+    keyed = built_texts(spark, sf_dir, "customer").selectExpr("c_custkey AS k")
     columns = {n: _spark_sql(e) for n, e in RULE_CASES[rule_id].columns().items()}
     built = select_df(keyed, columns)
     return built.selectExpr("doc_id", "prefix || value || suffix AS text", "wanted", "value", "length(prefix) AS at")
@@ -226,7 +234,7 @@ OCCURRENCES_CTE = (
 
 def call_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``calls`` with the columns they were built from."""
-    base = select_df(texts(spark, sf_dir, "events"), CALL_COLUMNS)
+    base = select_df(built_texts(spark, sf_dir, "events"), CALL_COLUMNS)
     return base.selectExpr("*", f"{CALL_TEXT} AS text")
 
 

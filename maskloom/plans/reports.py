@@ -9,7 +9,7 @@ from maskloom.functions.rulebook import ENTITY_ORDER
 from maskloom.operators import reports
 from maskloom.operators.detect import detect, span_rows
 from maskloom.operators.mask import mask_sessions
-from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, call_table, digits, pick, select_df, select_sql, texts
+from maskloom.plans.fixtures import CALLS_CTE, OCCURRENCES_CTE, built_texts, call_table, digits, pick, select_df, select_sql
 from maskloom.plans.sessions import _ALL_CTES, _MASKED, _calls, _keyed_calls
 from maskloom.sources.corpus import CALL_KEY
 
@@ -61,7 +61,7 @@ _HITS = [(0, "PHONE_NUMBER", "phone"), (1, "EMAIL", "mail"), (2, "LICENSE_PLATE"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    built = select_df(texts(spark, sf_dir, "customer"), _LABELLED)
+    built = select_df(built_texts(spark, sf_dir, "customer"), _LABELLED)
     wanted = None
     for shape, entity, column in _LABELS:
         part = built.filter(f"shape = {shape}").selectExpr("case_id", f"'{entity}' AS entity_type", f"{column} AS value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import resolve
 from maskloom.functions.text import per_island, span
 from maskloom.operators.detect import score_milli, span_rows
-from maskloom.plans.fixtures import SPAN_TEXT, shaped_spans, texts
+from maskloom.plans.fixtures import SPAN_TEXT, built_texts, shaped_spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,7 @@ def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = ", ".join(
         span(s["start"], s["end"], s["entity_type"], f"{s['score_milli']} / 1000D", s["rule"], "NULL")
         for s in shaped_spans())
-    keyed = texts(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{SPAN_TEXT} AS text")
+    keyed = built_texts(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{SPAN_TEXT} AS text")
     valued = keyed.selectExpr("k AS doc_id", "text", f"array({items}) AS spans")
     filled = "transform(spans, s -> " + span(
         "s.start", "s.end", "s.entity_type", "s.score", "s.rule", "substring(text, s.start + 1, s.end - s.start)") + ")"

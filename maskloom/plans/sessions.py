@@ -27,6 +27,7 @@ from maskloom.plans.detection import CARD_RES, EMAIL_RE, IP_RE, LUHN_SUM
 from maskloom.plans.fixtures import (
     CALLS_CTE,
     OCCURRENCES_CTE,
+    built_texts,
     call_table,
     masked_text_sql,
     select_df,
@@ -454,7 +455,7 @@ def _reply_text(phone: str, mail: str) -> str:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = select_df(table(spark, sf_dir, "events"), _REPLY_COLUMNS)
+    built = select_df(built_texts(spark, sf_dir, "events"), _REPLY_COLUMNS)
     return built.selectExpr(
         "reply_id", "system_id", "session_id", f"{_REPLY_TEXT} AS text", "kind",
         "cast(ts + late * interval '1' second AS timestamp) AS ts")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskloom.operators.detect import detect
 from maskloom.operators.mask import mask_sessions
 from maskloom.operators.restore import restore_sessions
-from maskloom.plans.fixtures import CALL_TEXT, CALLS_CTE, OCCURRENCES_CTE, CALL_COLUMNS, select_df, table
+from maskloom.plans.fixtures import CALL_TEXT, CALLS_CTE, OCCURRENCES_CTE, CALL_COLUMNS, ROWS_PER_TASK, select_df, table
 from maskloom.plans.sessions import (
     _ALL_CTES,
     _BY_REPLY,
@@ -24,7 +24,7 @@ from maskloom.plans.sessions import (
     _reply_text,
     saved_in_turns,
 )
-from maskloom.session import shared_dir
+from maskloom.session import shared_dir, tasks_for
 from maskloom.sources.corpus import CALL_KEY, as_calls
 from maskloom.streaming import jobs
 
@@ -37,8 +37,9 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.repartition(tasks_for(events, ROWS_PER_TASK))
 
 
 def _call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,15 +54,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.option("compression", "zstd").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Deal rows out anew where the input has fewer splits than there are cores.
 
     A file of one row group is one task however many cores wait.  A large input
-    has more splits than cores and is left alone.
+    has more splits than cores and is left alone, unless ``rows_per_task`` is given: a split of short rows
+    that are made into long work holds too many of them, so these are counted (from the files'
+    footers) and a task gets no more than that.
     """
+    wanted = tasks_for(df, rows_per_task)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def tasks_for(df: DataFrame, rows_per_task: int | None = None) -> int:
+    """As many tasks as there are cores, or as it takes that none has more than ``rows_per_task``."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return max(cores, -(-df.count() // rows_per_task)) if rows_per_task else cores

@@ -234,3 +234,15 @@ def test_round_trip_key(spark):
     back = restore_sessions(done.texts.withColumnRenamed("masked_text", "text"), done.mapping, CALL_KEY)
     both = back.select(*CALL_KEY, "restored_text").join(calls, CALL_KEY)
     assert both.filter(F.col("restored_text") != F.col("text")).count() == 0 and both.count() == 50
+
+
+def test_made_texts_are_dealt_by_rows(spark, tmp_path):
+    """A file of short rows is few splits, however long the work on them is."""
+    from maskloom.plans import fixtures
+    from maskloom.session import spread
+
+    spark.range(3000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = spread(spark.read.parquet(f"{tmp_path}/customer.parquet"), 100)
+    assert made.rdd.getNumPartitions() == 30 and made.count() == 3000
+    assert max(len(p) for p in made.rdd.glom().collect()) <= 200
+    assert fixtures.built_texts(spark, str(tmp_path), "customer").count() == 3000

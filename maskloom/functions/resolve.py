@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from maskloom.functions import rulebook as book
-from maskloom.functions.text import each, empty, gaps, let, per_island, quoted, running_reach, runs, span, when
+from maskloom.functions.text import apart, each, empty, gaps, let, per_island, quoted, running_reach, runs, span, when
 
 #: Up to so many spans, comparing each with each is the fastest.
 _FEW = 16
@@ -196,8 +196,21 @@ def disjoint(text: str, spans: str, merge_blanks: bool = True) -> str:
 
     Clipping never opens a gap, so it commutes with the merge across blanks.
     """
-    found = clipped(text, _settled(spans, [without_conflicts], [without_conflicts_swept]))
-    return merged_across_blanks(text, found) if merge_blanks else found
+    def settled(items: str) -> str:
+        found = clipped(text, _settled(items, [without_conflicts], [without_conflicts_swept]))
+        return merged_across_blanks(text, found) if merge_blanks else found
+
+    blank = (
+        " OR (x[i].entity_type = x[i - 1].entity_type AND x[i].start > x[i - 1].end "
+        "AND rlike(substring({text}, x[i - 1].end + 1, x[i].start - x[i - 1].end), '^ +$'))"
+    )
+
+    # A few spans that neither overlap nor have only blanks between them stay as they are.
+    def few(items: str) -> str:
+        more = blank.replace("x[", f"{items}[").replace("{text}", text) if merge_blanks else ""
+        return when(f"size({items}) BETWEEN 2 AND {_FEW}", when(apart(items, more), items, settled(items)), settled(items))
+
+    return let(f"sort_array({spans})", few)
 
 
 def resolved(text: str, spans: str, merge_blanks: bool = True) -> str:

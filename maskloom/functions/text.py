@@ -215,11 +215,15 @@ def islands(spans: str) -> str:
     return let(f"array_sort({spans})", cut)
 
 
+def apart(items: str, more: str = "", first: str = "i") -> str:
+    """True when no two neighbours of at least two sorted spans overlap, so no two at all; nor does ``more`` hold for any ``i``."""
+    return f"NOT exists(sequence(1, size({items}) - 1), {first} -> {items}[{first}].start < {items}[{first} - 1].end{more})"
+
+
 def per_island(spans: str, body: Callable[[str], str]) -> str:
-    """Apply ``body`` to each overlapping run; lone spans pass through."""
-    return let(spans, lambda items: when(
-        f"size({items}) > 1",
-        "flatten(" + each("transform", islands(items),
-                          lambda run: when(f"size({run}) > 1", body(run), run)) + ")",
-        items,
-    ))
+    """Apply ``body`` to each overlapping run; lone spans pass through, at little cost where all are."""
+    def settled(items: str) -> str:
+        return when(apart(items), items, "flatten(" + each(
+            "transform", islands(items), lambda run: when(f"size({run}) > 1", body(run), run)) + ")")
+
+    return let(spans, lambda items: when(f"size({items}) > 1", let(f"sort_array({items})", settled), items))

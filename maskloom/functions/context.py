@@ -26,6 +26,9 @@ _SKIP = (
     "their this that it i we you as by with from"
 ).split()
 
+# Whole words that are no stop words, found in one pass however many of the others there are.
+_COUNTS = rf"(?<!{_WORD})(?!(?:{'|'.join(_SKIP)})(?!{_WORD})){_WORD}++"
+
 
 def _terms(entity: str) -> str:
     # A token holds no blank, so a term of several words can never be inside one.
@@ -44,8 +47,7 @@ def _last_words(text: str, start: str) -> str:
         def look(before: str) -> str:
             # The first word of a part may be the end of a longer one.
             whole_words = when(complete, before, f"regexp_replace({before}, {quoted('^' + _WORD + '+')}, '')")
-            words = each("filter", f"regexp_extract_all({whole_words}, {quoted(_WORD + '+')}, 0)",
-                         lambda w: f"find_in_set({w}, {quoted(','.join(_SKIP))}) = 0")
+            words = f"regexp_extract_all({whole_words}, {quoted(_COUNTS)}, 0)"
             count = when(f"rlike({before}, {quoted(_WORD + '$')})",
                          str(book.CONTEXT_TOKENS + 1), str(book.CONTEXT_TOKENS))
             return let(words, lambda w: (

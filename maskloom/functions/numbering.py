@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from maskloom.functions.text import each, let, quoted, splice, when, with_lookup
+from maskloom.functions.text import each, gaps, let, quoted, splice, when, with_lookup
 
 ENTRY_TYPE = "array<struct<entity_type:string,idx:int,placeholder_key:string,value:string>>"
 PLACEHOLDER = r"\{\{([A-Z_]+)_([0-9]+)\}\}"
@@ -21,11 +21,47 @@ def value_key(s: str) -> str:
     return f"concat({s}.entity_type, '\\n', {s}.value)"
 
 
-def entries(spans: str, order: str = "right_to_left") -> str:
-    """Each distinct (type, value) with its number; types count on their own."""
+def values_in(spans: str, order: str = "right_to_left") -> str:
+    """The distinct value keys of the spans, as they are numbered."""
     check_order(order)
     items = f"reverse({spans})" if order == "right_to_left" else spans
-    keys = f"array_distinct({each('transform', items, value_key)})"
+    return f"array_distinct({each('transform', items, value_key)})"
+
+
+#: Up to so many values, looking through all of them is the fastest.
+_FEW = 16
+
+
+def cut_text(text: str, spans: str, order: str = "right_to_left") -> str:
+    """``struct<pieces, seats, tail>``: the text before each (sorted, disjoint) span, the place of its value
+    among `values_in`, and the text after the last span.  Nothing of a value is left in it."""
+    def seats(keys: str) -> str:
+        few = each("transform", spans, lambda s: f"CAST(array_position({keys}, {value_key(s)}) - 1 AS INT)")
+        many = with_lookup(f"transform({keys}, (k, i) -> named_struct('k', k, 'v', i))",
+                           lambda get: each("transform", spans, lambda s: get(value_key(s))))
+        return when(f"size({keys}) <= {_FEW}", few, many)
+
+    return (
+        f"named_struct('pieces', {gaps(text, spans)}, 'seats', {let(values_in(spans, order), seats)}, "
+        f"'tail', substring({text}, element_at({spans}, -1).end + 1))"
+    )
+
+
+def filled(cut: str, marks: str) -> str:
+    """The text of `cut_text` with a placeholder in each gap: ``marks`` has a ``mark`` for each place, in their order.
+
+    A place may come twice with one mark, but with two it is an error.
+    """
+    def fill(items: str) -> str:
+        done = f"concat(array_join(zip_with({cut}.pieces, {cut}.seats, (p, n) -> concat(p, get({items}, n).mark)), ''), {cut}.tail)"
+        return when(f"size({items}) = array_max({cut}.seats) + 1", done, "raise_error('a value has several numbers')")
+
+    return let(when(f"size({marks}) > array_max({cut}.seats) + 1", f"array_distinct({marks})", marks), fill)
+
+
+def entries(spans: str, order: str = "right_to_left") -> str:
+    """Each distinct (type, value) with its number; types count on their own."""
+    keys = values_in(spans, order)
 
     def of_type(all_keys: str) -> str:
         def numbered(t: str) -> str:

@@ -7,20 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.numbering import entries, mapping_of, rewritten, value_key
+from maskloom.functions.numbering import cut_text, entries, filled, mapping_of, rewritten
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
-from maskloom.functions.text import splice, with_lookup
 from maskloom.operators.detect import detect
 from maskloom.operators.numbering import (
     MAPPING_COLUMNS,
     VALUE_GROUP,
     as_mapping,
+    distinct_values,
     first_met,
     number_values,
     values_of,
 )
 from maskloom.operators.sessions import epoch_ends, session_ticks, with_epoch
-from maskloom.session import cut_lineage
+from maskloom.session import cut_lineage, join_hashed
 from maskloom.sources.corpus import CALL_KEY, with_session_ids
 
 
@@ -55,22 +55,23 @@ def mask_texts(df: DataFrame, text_col: str = "text", order: str = "right_to_lef
     return out.drop("__found", "__spans")
 
 
-def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame) -> DataFrame:
+def place_numbers(hits: DataFrame, values: DataFrame, numbered: DataFrame, order: str = "right_to_left") -> DataFrame:
     """Each call's spans replaced by the numbers its session gave them.
 
-    Only calls with spans get here.  Their values (see ``values_of``; no text)
-    meet the numbers on the full value key, then come back to their own call; no
-    session is ever gathered as a whole.
+    Only calls with spans get here, told apart by ``row``.  Their values (see ``values_of``; no text)
+    meet the numbers on the full value key, then come back to their own row as placeholders by place; no
+    session is ever gathered as a whole.  A text is cut at its spans before it moves.
     """
     known = numbered.select(*VALUE_GROUP, "value", "idx")
     placeholder = F.concat(F.lit("{{"), "entity_type", F.lit("_"), F.col("idx").cast("string"), F.lit("}}"))
-    per_call = (
-        values.join(known, [*VALUE_GROUP, "value"])
-        .groupBy(*CALL_KEY)
-        .agg(F.collect_set(F.struct("k", placeholder.alias("v"))).alias("places"))
+    met = join_hashed(values.select("row", "place", *VALUE_GROUP, "value"), known, [*VALUE_GROUP, "value"])
+    # Dealt out first: no row has two values in one task before, so adding up there would be in vain.
+    per_row = (
+        met.select("row", F.struct("place", placeholder.alias("mark")).alias("seat")).repartition("row")
+        .groupBy("row").agg(F.sort_array(F.collect_list("seat")).alias("marks"))
     )
-    put = with_lookup("places", lambda get: splice("text", "spans", lambda s: get(value_key(s))))
-    return hits.join(per_call, CALL_KEY).withColumn("masked_text", F.expr(put)).drop("places")
+    ready = hits.select("*", F.expr(cut_text("text", "spans", order)).alias("cut")).drop("text", "spans")
+    return ready.join(per_row.hint("merge"), "row").withColumn("masked_text", F.expr(filled("cut", "marks"))).drop("cut", "marks", "row")
 
 
 def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFrame | None = None,
@@ -83,19 +84,19 @@ def mask_sessions(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS, old: DataFra
     such as `detect_with_model` makes.  With ``added_only`` the mapping holds what these calls
     add to ``old`` and, without a placeholder, the sessions they save again.  Detected calls are written once to
     the checkpoint folder: numbering, rewriting and the untouched calls all read
-    them, and writing costs far less than detecting again.  So are the numbers,
-    which both results need.  A text is shuffled at most once, to meet its own
+    them, and writing costs far less than detecting again.  So is every table between that more than
+    one step reads: session times, the values of each call, those of each session, and the numbers.  A text is shuffled at most once, to meet its own
     call's placeholders; calls without personal data are not shuffled at all.
     """
     calls = with_session_ids(calls)
     ready = calls.withColumn("spans", F.col(spans)) if spans else detect(calls, **_lean(detection))
-    found = cut_lineage(ready.select(*CALL_KEY, "ts", "text", "spans"))
-    ticks = session_ticks(found, ttl, old if history is None else history)
+    found = cut_lineage(ready.select(F.monotonically_increasing_id().alias("row"), *CALL_KEY, "ts", "text", "spans"))
+    ticks = cut_lineage(session_ticks(found, ttl, old if history is None else history))
     hits = found.filter(F.size("spans") > 0)
-    keyed = with_epoch(hits.select(*CALL_KEY, "ts", "spans"), ticks, ttl)
-    values = values_of(keyed, order)
-    numbered = cut_lineage(number_values(first_met(values), old))
-    masked = place_numbers(hits, values, numbered).select(*CALL_KEY, "ts", "masked_text")
+    keyed = with_epoch(hits.select("row", *CALL_KEY, "ts", distinct_values("spans", order)), ticks, ttl)
+    values = cut_lineage(values_of(keyed))
+    numbered = cut_lineage(number_values(cut_lineage(first_met(values)), old))
+    masked = place_numbers(hits, values, numbered, order).select(*CALL_KEY, "ts", "masked_text")
     clean = found.filter(F.size("spans") == 0).select(
         *CALL_KEY, "ts", F.col("text").alias("masked_text"))
     ends = epoch_ends(ticks)

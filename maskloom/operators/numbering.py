@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskloom.functions.numbering import check_order, value_key
-from maskloom.functions.text import each
+from maskloom.functions.numbering import values_in
+from maskloom.session import join_hashed
 from maskloom.sources.corpus import CALL_KEY, SESSION
 
 CHUNK_CALLS = 4096
@@ -24,19 +24,20 @@ MAPPING_COLUMNS = [
 ]
 
 
-def values_of(keyed: DataFrame, order: str = "right_to_left") -> DataFrame:
+def distinct_values(spans: str = "spans", order: str = "right_to_left") -> Column:
+    """``found``: the distinct values of a call as strings, as they are numbered: from the last back, unless ``left_to_right``."""
+    return F.expr(values_in(spans, order)).alias("found")
+
+
+def values_of(keyed: DataFrame) -> DataFrame:
     """One row per distinct value of a call, with its ``place`` in that call.
 
-    ``keyed`` holds call keys, ``ts``, ``epoch`` and ``spans``.  A call is numbered
-    from its last value back, unless ``left_to_right``.  No shuffle.
+    ``keyed`` holds ``row``, call keys, ``ts``, ``epoch`` and ``found`` (see :func:`distinct_values`).  No shuffle.
     """
-    check_order(order)
-    spans = "reverse(spans)" if order == "right_to_left" else "spans"
-    distinct = f"array_distinct({each('transform', spans, value_key)})"
-    rows = keyed.select(*CALL_KEY, "ts", "epoch", F.posexplode(F.expr(distinct)).alias("place", "k"))
+    rows = keyed.select("row", *CALL_KEY, "ts", "epoch", F.posexplode("found").alias("place", "k"))
     return rows.select(
         "*", F.substring_index("k", "\n", 1).alias("entity_type"),
-        F.expr("substring(k, locate('\\n', k) + 1)").alias("value"))
+        F.expr("substring(k, locate('\\n', k) + 1)").alias("value")).drop("k")
 
 
 def first_met(values: DataFrame) -> DataFrame:
@@ -52,19 +53,20 @@ def first_met(values: DataFrame) -> DataFrame:
 
 def ranked(values: DataFrame, chunk_calls: int = CHUNK_CALLS) -> DataFrame:
     """Add ``rank`` (from 0) inside each group, in order of ``first_seq, place``."""
-    chunked = values.withColumn("chunk", F.expr(f"first_seq div {chunk_calls}L"))
+    part = [*VALUE_GROUP, "chunk"]
+    chunked = values.withColumn("chunk", F.expr(f"first_seq div {chunk_calls}L")).withColumn("__key", F.xxhash64(*part))
     before = W.partitionBy(*VALUE_GROUP).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    # Most groups lie in one chunk; only what follows another is joined.
     bases = (
-        chunked.groupBy(*VALUE_GROUP, "chunk").agg(F.count("*").alias("n"))
-        .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
+        chunked.groupBy("__key", *part).agg(F.count("*").alias("n"))
+        .withColumn("base", F.sum("n").over(before)).drop("n").where("base > 0")
     )
-    inside = W.partitionBy(*VALUE_GROUP, "chunk").orderBy("first_seq", "place")
+    inside = W.partitionBy("__key", *part).orderBy("first_seq", "place")
     return (
         chunked.withColumn("in_chunk", F.row_number().over(inside) - 1)
-        .join(bases, [*VALUE_GROUP, "chunk"])
-        .withColumn("rank", (F.col("base") + F.col("in_chunk")).cast("int"))
-        .drop("chunk", "base", "in_chunk")
+        .join(bases.hint("merge"), ["__key", *part], "left")
+        .withColumn("rank", (F.coalesce("base", F.lit(0)) + F.col("in_chunk")).cast("int"))
+        .drop("__key", "chunk", "base", "in_chunk")
     )
 
 
@@ -83,7 +85,7 @@ def number_values(values: DataFrame, old: DataFrame | None = None,
     if old is None:
         return ranked(values, chunk_calls).withColumnRenamed("rank", "idx").drop("place").select("*", *never)
     known = old.select(*VALUE_GROUP, "value", F.col("idx").alias("old_idx"))
-    fresh = values.join(known, [*VALUE_GROUP, "value"], "left_anti")
+    fresh = join_hashed(values, known, [*VALUE_GROUP, "value"], "left_anti")
     counts = old.groupBy(*VALUE_GROUP).agg(F.count("*").cast("int").alias("held"))
     new = (
         ranked(fresh, chunk_calls).join(counts, VALUE_GROUP, "left")
@@ -101,7 +103,7 @@ def as_mapping(numbered: DataFrame, ends: DataFrame) -> DataFrame:
     ``ends`` gives the last save of the epochs in this run; others keep theirs.
     """
     return (
-        numbered.join(ends, [*SESSION, "epoch"], "left")
+        join_hashed(numbered, ends, [*SESSION, "epoch"], "left")
         .withColumn("saved_ts", F.greatest("saved_ts", "saved_before"))
         .withColumn("placeholder_key", placeholder_key(F.col("entity_type"), F.col("idx")))
         .select(*MAPPING_COLUMNS)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskloom.functions.rulebook import DEFAULT_TTL_SECONDS
+from maskloom.session import join_hashed
 from maskloom.sources.corpus import SESSION
 
 
@@ -62,8 +63,9 @@ def session_ticks(calls: DataFrame, ttl: int = DEFAULT_TTL_SECONDS,
 def with_epoch(rows: DataFrame, ticks: DataFrame, ttl: int = DEFAULT_TTL_SECONDS) -> DataFrame:
     """The rows with their epoch; ``ts`` of a late one is the save that it came after."""
     met = F.when(F.col("ts").isNotNull(), F.greatest("ts", "since"))
-    return rows.withColumn("bucket", bucket_of("ts", ttl)).join(
-        ticks.select(*SESSION, "bucket", "epoch", "since"), [*SESSION, "bucket"]).withColumn("ts", met).drop("bucket", "since")
+    known = ticks.select(*SESSION, "bucket", "epoch", "since")
+    return join_hashed(rows.withColumn("bucket", bucket_of("ts", ttl)), known, [*SESSION, "bucket"]).withColumn(
+        "ts", met).drop("bucket", "since")
 
 
 def epoch_ends(ticks: DataFrame) -> DataFrame:

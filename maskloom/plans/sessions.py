@@ -127,7 +127,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def m4_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masking the later calls on a stored mapping ends as one run would."""
     early, late = _halves(spark, sf_dir)
-    stored = mask_sessions(early).mapping
+    stored = cut_lineage(mask_sessions(early).mapping)
     grown = mask_sessions(late, old=stored).mapping
     return grown.select("system_id", "session_id", "entity_type", "idx", "value", "first_seq", "saved_ts")
 

@@ -13,6 +13,7 @@ from maskloom.operators.numbering import first_met, number_values
 from maskloom.operators.restore import restore_as_of, restore_own, restore_sessions, unresolved
 from maskloom.operators.sessions import session_ticks, with_epoch
 from maskloom.operators.tenancy import parse_tenants, resolve_callers
+from maskloom.session import join_hashed
 from maskloom.sources.corpus import CALL_KEY, as_calls, write_masked
 
 START = dt.datetime(2024, 1, 1)
@@ -246,3 +247,47 @@ def test_made_texts_are_dealt_by_rows(spark, tmp_path):
     assert made.rdd.getNumPartitions() == 30 and made.count() == 3000
     assert max(len(p) for p in made.rdd.glom().collect()) <= 200
     assert fixtures.built_texts(spark, str(tmp_path), "customer").count() == 3000
+
+
+def test_results_read_finished_tables(spark):
+    """Session times, values and numbers are worked out once: neither result ranks or unfolds anything again."""
+    done = mask_sessions(_calls(spark, [("a", "s", n, 1000 * n, f"a{n}@b.com and 1{n}@b.com") for n in range(4)]))
+    for result in (done.mapping, done.texts):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
+
+
+def test_calls_that_share_their_key(spark):
+    """Each is filled with the numbers of its own epoch, though one value has two."""
+    done = mask_sessions(_calls(spark, [
+        ("a", "s", 1, 0, "a@b.com"), ("a", "s", 1, 7200, "c@d.com, a@b.com, z@y.com"), ("a", "s", 1, 10, "a@b.com!")]))
+    assert sorted(r.masked_text for r in done.texts.collect()) == [
+        "{{EMAIL_0}}", "{{EMAIL_0}}!", "{{EMAIL_2}}, {{EMAIL_1}}, {{EMAIL_0}}"]
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 600])
+@pytest.mark.parametrize("order", ["right_to_left", "left_to_right"])
+def test_many_values_in_a_call(spark, n, order):
+    mails = [f"u{i}@b.com" for i in range(n)]
+    done = mask_sessions(_calls(spark, [("a", "s", 1, 0, "見 " + "; ".join(mails + mails[:2]) + " 完")]), order=order)
+    # From the right, the repeated ones are met first.
+    met = list(dict.fromkeys(reversed(mails + mails[:2]))) if order == "right_to_left" else mails
+    marks = [f"{{{{EMAIL_{met.index(m)}}}}}" for m in mails + mails[:2]]
+    assert done.texts.first().masked_text == "見 " + "; ".join(marks) + " 完"
+
+
+def test_a_number_twice_is_an_error(spark):
+    """A stored mapping that gives a value two numbers can't be continued; one that repeats a row can."""
+    calls = _calls(spark, [("a", "s", 1, 0, "a@b.com, c@d.com")])
+    old = mask_sessions(calls).mapping
+    again = _calls(spark, [("a", "s", 2, 5, "to a@b.com, c@d.com")])
+    assert mask_sessions(again, old=old.unionByName(old)).texts.first().masked_text == "to {{EMAIL_1}}, {{EMAIL_0}}"
+    twice = old.unionByName(old.withColumn("idx", F.col("idx") + 7))
+    with pytest.raises(PySparkException):
+        mask_sessions(again, old=twice).texts.collect()
+
+
+def test_keys_of_two_widths_meet(spark):
+    """A join by hash compares values, not their width."""
+    left, right = spark.range(5).selectExpr("id AS k", "'x' AS s"), spark.range(3).selectExpr("cast(id AS int) AS k", "'x' AS s", "id AS v")
+    assert sorted(r.v for r in join_hashed(left, right, ["k", "s"]).collect()) == [0, 1, 2]

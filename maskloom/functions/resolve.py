@@ -200,17 +200,16 @@ def disjoint(text: str, spans: str, merge_blanks: bool = True) -> str:
         found = clipped(text, _settled(items, [without_conflicts], [without_conflicts_swept]))
         return merged_across_blanks(text, found) if merge_blanks else found
 
-    blank = (
-        " OR (x[i].entity_type = x[i - 1].entity_type AND x[i].start > x[i - 1].end "
-        "AND rlike(substring({text}, x[i - 1].end + 1, x[i].start - x[i - 1].end), '^ +$'))"
-    )
+    return let(f"sort_array({spans})", lambda items: when(plain(text, items, merge_blanks), items, settled(items)))
 
-    # A few spans that neither overlap nor have only blanks between them stay as they are.
-    def few(items: str) -> str:
-        more = blank.replace("x[", f"{items}[").replace("{text}", text) if merge_blanks else ""
-        return when(f"size({items}) BETWEEN 2 AND {_FEW}", when(apart(items, more), items, settled(items)), settled(items))
 
-    return let(f"sort_array({spans})", few)
+def plain(text: str, items: str, merge_blanks: bool = True) -> str:
+    """A few sorted spans that neither overlap nor have only blanks between them: all steps leave them as they are."""
+    blank = (
+        f" OR ({items}[i].entity_type = {items}[i - 1].entity_type AND {items}[i].start > {items}[i - 1].end "
+        f"AND rlike(substring({text}, {items}[i - 1].end + 1, {items}[i].start - {items}[i - 1].end), '^ +$'))"
+    )
+    return f"CASE WHEN size({items}) BETWEEN 2 AND {_FEW} THEN {apart(items, blank if merge_blanks else '')} ELSE false END"
 
 
 def resolved(text: str, spans: str, merge_blanks: bool = True) -> str:

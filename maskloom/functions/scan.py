@@ -8,6 +8,8 @@ other rules run behind cheap gates that most texts fail.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from maskloom.functions import checks
 from maskloom.functions import rulebook as book
 from maskloom.functions.rulebook import Rule
@@ -23,11 +25,11 @@ from maskloom.functions.text import (
     marked,
     marked_values,
     per_island,
-    piece_starts,
     quoted,
     slice_of,
     span,
     when,
+    with_starts,
     without_marks,
 )
 
@@ -90,23 +92,20 @@ def _whole_text(rules: list[Rule], text: str) -> str:
 
 def _digit_windows(text: str) -> str:
     """``array<struct<base, body>>``: digit runs with their surroundings."""
-    def window(pieces: str, starts: str, i: str) -> str:
+    def window(pieces: str, start: Callable[[str], str], i: str) -> str:
         behind = f"concat(coalesce(right(get({pieces}, {i} - 2), 1), ''), {pieces}[{i} - 1])"
         return let(f"right({behind}, {_BEFORE})", lambda before: (
-            f"named_struct('base', {starts}[{i}] - length({before}), 'body', "
+            f"named_struct('base', {start(i)} - length({before}), 'body', "
             f"concat({before}, {pieces}[{i}], left({pieces}[{i} + 1], {_AFTER})))"))
 
     def cut(pieces: str) -> str:
-        return let(piece_starts(pieces),
-                   lambda starts: at_odd(pieces, lambda i: window(pieces, starts, i)))
+        return with_starts(pieces, lambda start: at_odd(pieces, lambda i: window(pieces, start, i)))
 
     return let(mark(text, _RUN), lambda m: when(
         marked(m), let(f"split({m}, {quoted(MARK)})", cut), "NULL"))
 
 
 def _digit_family(rules: list[Rule], text: str) -> str:
-    any_rule = quoted("|".join(r.inline for r in rules))
-
     def place(windows: str, hit: str) -> str:
         """Spans of one rule: its marked digest, cut back into the windows."""
         inside = when(marked("piece"), _spans_of(hit, "piece", "w.base"), empty())
@@ -114,7 +113,7 @@ def _digit_family(rules: list[Rule], text: str) -> str:
 
     def run_rules(windows: str, digest: str) -> str:
         spans = each("transform", _hits(rules, digest, needs=True), lambda h: place(windows, h))
-        return when(f"rlike({digest}, {any_rule})", _checked(f"flatten({spans})"), empty())
+        return _checked(f"flatten({spans})")
 
     return let(_digit_windows(text), lambda windows: when(
         f"{windows} IS NOT NULL",

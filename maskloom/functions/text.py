@@ -17,6 +17,7 @@ MARK = "\ue000"
 CUT = "\ue001"
 STAND_IN = "\ue002"
 _BLOCK = 256
+_FEW_PIECES = 9
 
 SPAN_TYPE = (
     "array<struct<start:int,end:int,entity_type:string,score:double,rule:string,value:string>>"
@@ -113,12 +114,18 @@ def at_odd(pieces: str, body: Callable[[str], str]) -> str:
     return each("transform", f"sequence(1, size({pieces}) - 2, 2)", body)
 
 
+def with_starts(pieces: str, body: Callable[[Callable[[str], str]], str]) -> str:
+    """``body(start)`` where ``start(i)`` is the offset of a piece; of a few pieces those before are measured anew each time."""
+    few = body(lambda i: f"length(array_join(slice({pieces}, 1, {i}), ''))")
+    return when(f"size({pieces}) <= {_FEW_PIECES}", few, let(piece_starts(pieces), lambda starts: body(lambda i: f"{starts}[{i}]")))
+
+
 def marked_values(text: str) -> str:
     """``array<struct<start, value>>`` of the marked pieces of a marked text."""
     def read(pieces: str) -> str:
         one = f"array(named_struct('start', length({pieces}[0]), 'value', {pieces}[1]))"
-        many = let(piece_starts(pieces), lambda starts: at_odd(
-            pieces, lambda i: f"named_struct('start', {starts}[{i}], 'value', {pieces}[{i}])"))
+        many = with_starts(pieces, lambda start: at_odd(
+            pieces, lambda i: f"named_struct('start', {start(i)}, 'value', {pieces}[{i}])"))
         return when(f"size({pieces}) = 3", one, many)
 
     return let(f"split({text}, {quoted(MARK)})", read)

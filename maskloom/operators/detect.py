@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import checks
 from maskloom.functions import rulebook as book
 from maskloom.functions.context import boosted
-from maskloom.functions.resolve import disjoint, one_per_type, rescored
+from maskloom.functions.resolve import disjoint, one_per_type, plain, rescored
 from maskloom.functions.scan import raw_spans
 from maskloom.functions.text import each, empty, let, quoted, when
 
@@ -78,11 +78,20 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "spans", entities:
     text, column = f"`{text_col}`", "__found0"
     rows = df.select("*", F.inline(F.array(F.struct(F.expr(found_sql(text, entities, profile, extra)).alias(column)))))
     steps = finishing(text, entities, profile, **options)
+    # Most texts hold nothing to resolve: that is seen once, and the steps are then passed over.
+    settles = options.get("resolve", True) and options.get("context", "all") != "all" and options.get("threshold", 0) <= 0
+    if settles:
+        seen = [F.expr(f"sort_array({column})").alias("__sorted")]
+        rows = rows.select("*", F.inline(F.array(F.struct(*seen)))).drop(column)
+        column = "__sorted"
+        same = F.expr(plain(text, column, options.get("merge_blanks", True))).alias("__plain")
+        rows = rows.select("*", F.inline(F.array(F.struct(same))))
     for n, step in enumerate(steps, 1):
         after = out if n == len(steps) else f"__found{n}"
-        rows = rows.select("*", F.inline(F.array(F.struct(F.expr(step(column)).alias(after))))).drop(column)
+        done = when("__plain", column, step(column)) if settles else step(column)
+        rows = rows.select("*", F.inline(F.array(F.struct(F.expr(done).alias(after))))).drop(column)
         column = after
-    return rows
+    return rows.drop("__plain")
 
 
 def span_rows(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:

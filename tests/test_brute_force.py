@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import resolve
 from maskloom.functions import rulebook as book
-from maskloom.functions.text import SPAN_TYPE
+from maskloom.functions.resolve import plain
+from maskloom.functions.text import MARK, SPAN_TYPE, marked_values
 from maskloom.operators.detect import detect
 
 _PARTS = (
@@ -161,3 +162,26 @@ def test_a_run_of_very_many_spans(spark):
     seconds(50)
     few = seconds(5_000)
     assert seconds(20_000) < 8 * few + 2
+
+
+def test_starts_of_few_and_many_pieces(spark):
+    """Offsets of marked values, on both sides of the size up to which pieces are measured anew."""
+    texts = ["é".join(f"𝒳{MARK}v{i}{MARK}" for i in range(n)) + "." for n in range(1, 8)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(marked_values("text")).alias("got"))
+    for r in rows.collect():
+        bare = r.text.replace(MARK, "")
+        assert len(r.got) == r.text.count(MARK) // 2
+        assert all(bare[g.start:g.start + len(g.value)] == g.value for g in r.got)
+
+
+def test_plain_spans_pass_the_steps(spark):
+    """Few spans apart are seen as such; overlapping ones, lone ones, many, and those with blanks between are not."""
+    kind = "id int, x array<struct<start int, end int, entity_type string, score double, rule string, value string>>"
+    text = "abcdefghij  klmnopq" * 20
+    def at(*spans):
+        return [(a, b, t, 0.5, "D01", text[a:b]) for a, b, t in spans]
+    cases = [at((0, 3, "E"), (5, 8, "E")), at((0, 6, "E"), (5, 8, "P")), at((0, 3, "E")), at((0, 10, "E"), (12, 15, "E")),
+             at((0, 10, "E"), (12, 15, "P")), at(*[(5 * i, 5 * i + 2, "E") for i in range(17)])]
+    df = spark.createDataFrame(list(enumerate(cases)), kind).withColumn("text", F.lit(text))
+    got = {r.id: r.p for r in df.select("id", F.expr(plain("text", "x")).alias("p")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskloom.functions import rulebook as book
-from maskloom.session import cut_lineage
+from maskloom.session import cut_lineage, join_hashed
 from maskloom.sources.corpus import SESSION
 
 
@@ -58,6 +58,8 @@ def case_results(expected: DataFrame, predicted: DataFrame, case: str, keys: lis
 
 _GRAM = 3
 _BLOCK_CALLS = 64
+#: Most values of a session that are looked for one by one in each of its texts.
+_FEW_VALUES = 1024
 
 
 def _grams(text: str, size: int) -> str:
@@ -65,20 +67,61 @@ def _grams(text: str, size: int) -> str:
     return f"regexp_extract_all({text}, '(?s)(?=(.{{{size}}}))', 1)"
 
 
-def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str]) -> DataFrame:
+def known_values(mapping: DataFrame) -> DataFrame:
+    """The values of each session, once each and written once; none is empty."""
+    return cut_lineage(mapping.select(*SESSION, "entity_type", "value").distinct().where("value <> ''"))
+
+
+def leaks(masked: DataFrame, mapping: DataFrame, call_key: list[str], known: DataFrame | None = None,
+          few: int = _FEW_VALUES) -> DataFrame:
     """Values of a session, whichever of its calls they came from, still readable in one of its masked texts.
 
     Anywhere in the text, inside longer words too.  One row per call, type and value; the value itself is left out.
 
+    A session with a ``few`` values at most has them in one list, which its texts meet: looking for
+    each in each text is then cheaper than cutting the texts up.  Sessions with more go by pieces
+    (see `_by_pieces`), and so do those in which calls of one key have different texts, as these count by pieces held.
+    ``known`` are the mapping's values, where `known_values` has found them before.
+
+    Lists and texts are more than the files they are read from tell, so no side is to be broadcast by the size of these.
+    """
+    keys = list(dict.fromkeys([*SESSION, *call_key]))
+    values = known_values(mapping) if known is None else known
+    texts = cut_lineage(masked.select(*keys, "masked_text"))
+    calls, held = texts.dropna(subset=call_key), F.xxhash64("masked_text")
+    again = cut_lineage(
+        calls.groupBy(*keys).agg(F.count("*").cast("int").alias("times"), (F.min(held) != F.max(held)).alias("differ")).where("times > 1"))
+    differing = again.where("differ").select(*SESSION).distinct()
+    counts = values.groupBy(*SESSION).agg(F.count("*").alias("n"))
+    lists = (
+        values.join(counts.where(F.col("n") <= few).hint("merge"), SESSION, "left_semi")
+        .join(differing.hint("merge"), SESSION, "left_anti")
+        .groupBy(*SESSION).agg(F.collect_list(F.struct("entity_type", "value")).alias("wanted"))
+    )
+    repeated = not again.isEmpty()
+    # Calls of one key count once for each other.
+    counted = join_hashed(calls, again.drop("differ"), keys, "left") if repeated else calls
+    readable = F.filter("wanted", lambda w: F.contains("masked_text", w["value"]))["entity_type"]
+    # Through a one-row generator, or else the check for empty lists would look for all values once more.
+    met = join_hashed(counted, lists, SESSION).select("*", F.inline(F.array(F.struct(readable.alias("types")))))
+    types = F.flatten(F.array_repeat("types", F.coalesce("times", F.lit(1)))) if repeated else F.col("types")
+    found = met.select(*call_key, F.explode(types).alias("entity_type"))
+    others = cut_lineage(counts.where(F.col("n") > few).select(*SESSION).unionByName(differing).distinct())
+    if others.isEmpty():
+        return found
+    rest = [rows.join(others.hint("merge"), SESSION, "left_semi") for rows in (texts, values)]
+    return found.unionByName(_by_pieces(rest[0], cut_lineage(rest[1]), call_key))
+
+
+def _by_pieces(masked: DataFrame, values: DataFrame, call_key: list[str]) -> DataFrame:
+    """The same for sessions of any number of values, given once each.
+
     Every value is cut into all its pieces of three characters (a shorter value is its own
     piece), and so are the texts.  The texts of a session are dealt into blocks of some 64, so that what
     they have in common is moved once for a block, and no block grows with its session.  Pieces of texts
     meet those of their session's values, never the values themselves.  A value of which some piece stands in no
     text of its session is done with.  Any other meets the blocks that hold its rarest piece, and only there it is looked for.
-
-    Pieces are many more than the files they are read from tell, so no side is to be broadcast by the size of these.
     """
-    values = cut_lineage(mapping.select(*SESSION, "entity_type", "value").distinct().where("value <> ''"))
     # Which of the three lengths of pieces there are.
     sizes = sorted(r["size"] for r in values.select(F.least(F.length("value"), F.lit(_GRAM)).alias("size")).distinct().collect())
     if not sizes:

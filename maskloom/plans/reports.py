@@ -110,9 +110,10 @@ def a4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_in = call_table(spark, sf_dir).filter("has_pii AND kind = 'error'").select("call_seq", "phone")
     masked = done.texts.join(left_in, "call_seq", "left").withColumn(
         "masked_text", F.concat_ws("", "masked_text", F.concat(F.lit(" again:"), "phone")))
+    known = reports.known_values(done.mapping)
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
-        return reports.leaks(texts, done.mapping, CALL_KEY).groupBy("system_id").agg(F.count("*").alias(name))
+        return reports.leaks(texts, done.mapping, CALL_KEY, known).groupBy("system_id").agg(F.count("*").alias(name))
 
     source = counted(calls.withColumnRenamed("text", "masked_text"), "in_source")
     return source.join(counted(masked, "in_masked"), "system_id", "left").select(

@@ -57,3 +57,38 @@ def test_no_side_is_broadcast_by_the_size_of_its_files(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+def _by(spark, few, texts, values):
+    key = ["system_id", "session_id", "call_seq"]
+    found = leaks(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(values, VALUES), key, few=few)
+    return sorted(tuple(r) for r in found.collect())
+
+
+def test_sessions_of_few_and_of_many_values_find_the_same(spark):
+    rng = random.Random("few")
+
+    def some(most):
+        return "".join(rng.choice("ab陳 ") for _ in range(rng.randrange(most)))
+
+    texts = [("x", f"s{rng.randrange(4)}", i, some(30)) for i in range(60)] + [("x", None, 70, "abab"), ("x", "s1", None, "abab"), ("x", "s1", 71, None)]
+    values = [("x", f"s{min(rng.randrange(8), 4)}", rng.choice(["EMAIL", "PERSON"]), some(6)) for _ in range(60)] + [("x", None, "EMAIL", "ab")]
+    wanted = _brute([t for t in texts if None not in t[:3]], [v for v in values if None not in v])
+    assert _by(spark, 0, texts, values) == _by(spark, 7, texts, values) == _by(spark, 1024, texts, values) == wanted != []
+
+
+def test_calls_of_one_key_count_alike_in_lists_and_by_pieces(spark):
+    same, other = ("a", "s", 1, "john@mail.com or 6123"), ("a", "t", 1, "john@mail.com")
+    texts = [same, same, same, ("a", "s", 2, "6123"), other, other, ("a", "t", 2, "no john"), ("a", "u", 1, "6123, 6124"), ("a", "u", 1, "none"), ("a", "u", 2, "6123")]
+    values = [("a", s, "EMAIL", "john@mail.com") for s in "st"] + [("a", s, "PHONE_NUMBER", "6123") for s in "su"]
+    wanted = [("a", "s", 1, "EMAIL")] * 9 + [("a", "s", 1, "PHONE_NUMBER")] * 9 + [("a", "s", 2, "PHONE_NUMBER")] + [("a", "t", 1, "EMAIL")] * 4
+    wanted += [("a", "u", 1, "PHONE_NUMBER"), ("a", "u", 2, "PHONE_NUMBER")]
+    assert _by(spark, 0, texts, values) == _by(spark, 1, texts, values) == _by(spark, 1024, texts, values) == wanted
+
+
+def test_texts_are_cut_up_only_for_sessions_of_many_values(spark, capsys):
+    texts = spark.createDataFrame([("a", "s", i, f"call {i} of john{i}@mail.com") for i in range(20)], TEXTS)
+    values = spark.createDataFrame([("a", "s", "EMAIL", f"john{i}@mail.com") for i in range(20)], VALUES)
+    for few, cut in ((1024, False), (20, False), (19, True)):
+        leaks(texts, values, ["system_id", "session_id", "call_seq"], **({"few": few} if few < 1024 else {})).explain()
+        assert ("regexp_extract_all" in capsys.readouterr().out) is cut
